@@ -9,6 +9,7 @@ from pyspark.sql.types import DateType, StructField, StructType
 from pressloom.functions.dates import as_of_literal
 from pressloom.operators.skew import first_per
 from pressloom.schemas import ITEM_SCHEMA
+from pressloom.sources.scratch import cut_lineage
 
 
 def new_items(batch: DataFrame, stored: DataFrame) -> DataFrame:
@@ -34,8 +35,11 @@ def write_items(items: DataFrame, path: str, mode: str = "append") -> None:
 
 
 def append_items(batch: DataFrame, stored: DataFrame, path: str) -> DataFrame:
-    """Add what is new to the table at ``path``; returns the rows that were added."""
-    fresh = new_items(batch, stored)
+    """Add what is new to the table at ``path``; returns the rows that were added.
+
+    They are fixed in the checkpoint folder first: ``stored`` may be the very table written.
+    """
+    fresh = cut_lineage(new_items(batch, stored))
     write_items(fresh, path)
     return fresh
 
@@ -75,3 +79,34 @@ def run_record(
     stats = feeds.agg(F.to_json(F.map_from_entries(entries)).alias("statistics"))
     one = lambda df: df.withColumn("_one", F.lit(1))
     return one(closed).join(one(stats), "_one").drop("_one")
+
+
+def publish(df: DataFrame, root: str, version: int) -> str:
+    """Write a whole new version of a table next to the ones being read."""
+    path = f"{root.rstrip('/')}/v={version:09d}"
+    df.write.mode("overwrite").parquet(path)
+    return path
+
+
+def current_version(spark: SparkSession, root: str) -> int | None:
+    """The newest version that was written completely, or None."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(root)
+    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(folder):
+        return None
+    done = [
+        int(s.getPath().getName()[2:])
+        for s in fs.listStatus(folder)
+        if s.getPath().getName().startswith("v=")
+        and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
+    ]
+    return max(done, default=None)
+
+
+def read_current(spark: SparkSession, root: str, schema: StructType) -> DataFrame:
+    """The newest complete version of a table; empty when there is none."""
+    version = current_version(spark, root)
+    if version is None:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{root.rstrip('/')}/v={version:09d}")
