@@ -111,7 +111,30 @@ def top_similar_large(
 
     With ``within_days`` only candidates published that close to the query count (both sides
     need ``published_at``); time buckets then keep distant periods apart.
+
+    Candidates with the very same vector score alike, so without a window only the first ``k``
+    of them are compared. With ``k=None`` each distinct vector is reported once, under its first
+    candidate and with the number of its ``copies``: whole results, but no product of two groups
+    of copies.
     """
+    if k is None and within_days is not None:
+        raise ValueError("within_days needs k")
+    if k is None:
+        first = candidates.groupBy("embedding").agg(
+            F.min(F.struct("cand_pos", "cand_id")).alias("_f"), F.count(F.lit(1)).alias("copies")
+        ).select("_f.cand_id", "_f.cand_pos", "embedding", "copies")
+        found = _block_join(queries, first, threshold, None, None, pivots, candidate_block, query_block)
+        return found.join(first.select("cand_id", "copies"), "cand_id")
+    if within_days is None:
+        same = Window.partitionBy("embedding").orderBy("cand_pos", "cand_id")
+        candidates = candidates.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k).drop("_n")
+    return _block_join(queries, candidates, threshold, k, within_days, pivots, candidate_block, query_block)
+
+
+def _block_join(
+    queries: DataFrame, candidates: DataFrame, threshold: float, k: int | None, within_days: int | None,
+    pivots: int, candidate_block: int, query_block: int,
+) -> DataFrame:
     spark = queries.sparkSession
     timed = ["published_at"] if within_days is not None else []
     length = vectors.norm(vectors.as_doubles(F.col("embedding")))
@@ -169,14 +192,18 @@ def top_similar_large(
         if q.empty or c.empty:
             return pd.DataFrame(columns=["query_id", "cand_id", "cand_pos", "score"])
         q_unit, _ = _unit_rows(_matrix(q["embedding"]))
-        c_unit, _ = _unit_rows(_matrix(c["embedding"]))
+        c_unit, _ = _unit_rows(_matrix(c["embedding_"]))
         scores = np.round((q_unit @ c_unit.T + 1) / 2, _DECIMALS)
         allowed = np.ones(scores.shape, dtype=bool)
         if reach_us is not None:
-            gap = np.abs(q["at"].to_numpy()[:, None] - c["at"].to_numpy()[None, :])
+            gap = np.abs(q["at"].to_numpy()[:, None] - c["at_"].to_numpy()[None, :])
             allowed = gap <= reach_us
         return _best_pairs(scores, allowed, threshold, k, q["query_id"].to_numpy(dtype=object),
-                           c["cand_id"].to_numpy(dtype=object), c["cand_pos"].to_numpy())
+                           c["cand_id_"].to_numpy(dtype=object), c["cand_pos_"].to_numpy())
 
+    # Both sides come from the same candidates; new names keep their columns apart.
     key = ["bucket", "pivot", "q_block", "c_block"]
-    return _rank(q_side.groupBy(*key).cogroup(c_side.groupBy(*key)).applyInPandas(match, _PAIR), k)
+    left, right = q_side, c_side.toDF(*[f"{c}_" for c in c_side.columns])
+    left = left.groupBy(*key)
+    right = right.groupBy(*[f"{c}_" for c in key])
+    return _rank(left.cogroup(right).applyInPandas(match, _PAIR), k)

@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.types import LongType, StructField, StructType
 
 from pressloom.operators import registry
 from pressloom.sources import tables
@@ -75,7 +76,8 @@ def stored_items(spark, path: str, schema, before: int | None = None) -> DataFra
     folder = jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], schema)
-    out = spark.read.schema(schema.add("batch_id", "long") if "batch_id" not in schema.names else schema).parquet(path)
+    numbered = StructType([*schema.fields, StructField("batch_id", LongType())])
+    out = spark.read.schema(numbered).parquet(path)
     if before is not None:
         out = out.where(F.col("batch_id") < before)
     return out.drop("batch_id")
