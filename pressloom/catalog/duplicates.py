@@ -219,9 +219,12 @@ by_sim AS (SELECT * FROM best WHERE abs(epoch(published_at) - epoch(cand_at)) <=
 
 
 def _cascade_sql(with_registry: bool) -> str:
+    return f"WITH {_CASCADE} {_verdicts_sql(with_registry)}"
+
+
+def _verdicts_sql(with_registry: bool) -> str:
     reg = "WHEN r.original_id IS NOT NULL THEN {}" if with_registry else "WHEN FALSE THEN {}"
     return f"""
-WITH {_CASCADE}
 SELECT n.id, coalesce(u.original_id, {'r.original_id,' if with_registry else ''} s.original_id) IS NOT NULL AS is_duplicate,
        coalesce(u.original_id, {'r.original_id,' if with_registry else ''} s.original_id) AS original_id,
        round(CASE WHEN u.original_id IS NOT NULL THEN 1.0 {reg.format('1.0')} ELSE coalesce(s.score, 0.0) END::DOUBLE, 6) AS similarity_score,

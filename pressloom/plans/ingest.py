@@ -30,11 +30,10 @@ class Outcome:
 def collect(entries: DataFrame, as_of, max_age_days: int = MAX_AGE_DAYS) -> tuple[DataFrame, DataFrame]:
     """(items of a batch: valid, one per id, young enough; refused items).
 
-    The age filter comes after the deduplication, so an old first copy hides a younger one.
+    Ids are those of the entries as they came. The age filter comes after the deduplication, so an old first copy hides a younger one.
     """
     good, refused = validate.validate_items(feeds.normalise(entries, as_of))
-    identified = good.withColumn("id", F.lit(None).cast("string"))
-    unique = dedup.dedup_batch(dedup.with_item_id(identified))
+    unique = dedup.dedup_batch(good)
     return filters.younger_than(unique, as_of, max_age_days), refused
 
 

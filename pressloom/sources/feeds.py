@@ -42,11 +42,16 @@ def _none(kind: str = "string") -> Column:
     return F.lit(None).cast(kind)
 
 
+def _position(df: DataFrame) -> Column:
+    """Order of the entries within a file, which one task reads; streams have none."""
+    return F.lit(0).cast("long") if df.isStreaming else F.monotonically_increasing_id()
+
+
 def rss_entries(df: DataFrame, source: str = "source") -> DataFrame:
     """RSS and RDF rows in the common entry shape."""
     return df.select(
         F.col(source).alias("source"),
-        F.monotonically_increasing_id().alias("entry_pos"),
+        _position(df).alias("entry_pos"),
         "title", "link",
         F.col("`content:encoded`").alias("content"),
         F.coalesce("summary", "description").alias("summary"),
@@ -67,7 +72,7 @@ def atom_entries(df: DataFrame, source: str = "source") -> DataFrame:
     names = F.filter(F.transform("author", lambda a: a["name"]), lambda n: n.isNotNull())
     return df.select(
         F.col(source).alias("source"),
-        F.monotonically_increasing_id().alias("entry_pos"),
+        _position(df).alias("entry_pos"),
         "title",
         F.coalesce(F.get(plain, 0), F.get("link", 0))["_href"].alias("link"),
         "content", "summary", "published", "updated",
