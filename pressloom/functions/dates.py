@@ -14,13 +14,25 @@ ZONE_OFFSETS = {
     "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
 }
 
-_LAYOUTS = (
-    "yyyy-M-d H:m:s[.SSSSSS] xx",
-    "d MMM yyyy H:m:s xx",
-    "d MMMM yyyy H:m:s xx",
-    "MMM d yyyy H:m:s xx",
-    "MMMM d yyyy H:m:s xx",
-    "yyyy/M/d H:m:s xx",
+# The two shapes that every readable text is brought to.
+_LAYOUTS = ("yyyy-M-d H:m:s[.SSSSSS] xx", "d MMM yyyy H:m:s[.SSSSSS] xx")
+
+# Rewrites in order, each a single pass so that the expression grows by one node only.
+_REWRITES = (
+    (r"\s+", " "),
+    (r"^ | $", ""),
+    (r"^[A-Za-z]{3,9}, ?", ""),                                   # weekday
+    (r"^(\d{4})[-/](\d{1,2})[-/](\d{1,2})(?:[Tt](?=\d))?", "$1-$2-$3 "),
+    (r",", ""),
+    (r"^([A-Za-z]{3,9})\.? (\d{1,2}) (\d{4})", "$2 $1 $3"),       # month first
+    (r"^(\d{1,2}) ([A-Za-z]{3})[A-Za-z]*", "$1 $2"),              # month by three letters
+    *((rf"(?i)(?<=\d) ?{name}$", f" {offset}") for name, offset in ZONE_OFFSETS.items()),
+    (r"(:\d{2}(?:\.\d+)?) ?([+-]\d{2}):?(\d{2})$", "$1 $2$3"),
+    (r"(\.\d{6})\d+", "$1"),
+    (r"^(?!.*\d:\d{2})(.+)$", "$1 00:00:00"),                     # no time of day
+    (r"^(?!.* [+-]\d{4}$)(.+)$", "$1 +0000"),                     # no zone: UTC
+    (r" (\d{1,2}:\d{2}) (?=[+-]\d{4}$)", " $1:00 "),              # no seconds
+    (r" +", " "),
 )
 
 
@@ -37,23 +49,13 @@ def seconds_between(later: Column, earlier: Column) -> Column:
 def parse_date(c: Column) -> Column:
     """Read the date styles found in feeds; convert to UTC; null when unreadable.
 
-    A text without zone is taken as UTC. The text is first brought to one shape
-    (no weekday, seconds present, numeric offset) so that few layouts suffice.
+    A text without zone is taken as UTC.
     """
-    s = F.trim(F.regexp_replace(c, r"\s+", " "))
-    s = F.regexp_replace(s, r"^[A-Za-z]{3,9}, ?", "")
-    s = F.regexp_replace(s, r"^(\d{4}-\d{1,2}-\d{1,2})[Tt](?=\d)", "$1 ")
-    s = F.replace(s, F.lit(","), F.lit(""))
-    for name, offset in ZONE_OFFSETS.items():
-        s = F.regexp_replace(s, rf"(?i)(?<=\d) ?{name}$", f" {offset}")
-    s = F.regexp_replace(s, r"(:\d{2}(?:\.\d+)?) ?([+-]\d{2}):?(\d{2})$", "$1 $2$3")
-    s = F.regexp_replace(s, r"(\.\d{6})\d+", "$1")
-    s = F.when(s.rlike(r"\d:\d{2}"), s).otherwise(F.concat(s, F.lit(" 00:00:00")))
-    s = F.when(s.rlike(r" [+-]\d{4}$"), s).otherwise(F.concat(s, F.lit(" +0000")))
-    s = F.regexp_replace(s, r" (\d{1,2}:\d{2}) (?=[+-]\d{4}$)", " $1:00 ")
+    s = c
+    for pattern, shape in _REWRITES:
+        s = F.regexp_replace(s, pattern, shape)
     instant = F.coalesce(*[F.try_to_timestamp(s, F.lit(p)) for p in _LAYOUTS])
-    wall = instant.cast("timestamp_ntz")
-    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), wall)
+    return F.convert_timezone(F.current_timezone(), F.lit("UTC"), instant.cast("timestamp_ntz"))
 
 
 def day_of(ts: Column) -> Column:

@@ -25,8 +25,8 @@ def markup_to_text(c: Column, sep: str = "") -> Column:
     """
     mark = "\x1e"
     pieces = F.regexp_replace(F.coalesce(c, F.lit("")), _DROPPED, mark)
-    joined = F.regexp_replace(pieces, rf"(?U)\s*{mark}[\s{mark}]*", mark)
-    text = F.regexp_replace(joined, rf"(?U)^[\s{mark}]+|[\s{mark}]+$", "")
+    joined = F.regexp_replace(pieces, rf"(?U)(?<!\s)\s*+{mark}[\s{mark}]*+", mark)
+    text = F.regexp_replace(joined, rf"(?U)^[\s{mark}]++|(?<![\s{mark}])[\s{mark}]++$", "")
     text = F.replace(text, F.lit(mark), F.lit(sep))
     for name, char in ENTITIES:
         text = F.replace(text, F.lit(name), F.lit(char))

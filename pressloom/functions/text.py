@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 # Unicode white space plus the four separator controls that str.strip() also removes.
 _SPACE = r"[\s\x1C-\x1F]"
-_EDGES = rf"(?U)^{_SPACE}+|{_SPACE}+$"
+# The look-behind starts a match only where a run starts, which keeps long runs linear.
+_EDGES = rf"(?U)^{_SPACE}+|(?<!{_SPACE}){_SPACE}+$"
 _CONTROLS = r"[\x00-\x08\x0B-\x0C\x0E-\x1F\x7F]"
 
 # The longest title, content and summary kept.
@@ -23,7 +24,7 @@ def strip(c: Column) -> Column:
 
 def truncated(c: Column, limit: int) -> Column:
     """First ``limit`` characters, with an ellipsis when something was cut."""
-    return F.when(F.length(c) > limit, F.concat(F.substring(c, 1, limit), F.lit("..."))).otherwise(c)
+    return F.concat(F.substring(c, 1, limit), F.when(F.length(c) > limit, "...").otherwise(""))
 
 
 def clean_text(c: Column, limit: int) -> Column:

@@ -18,11 +18,7 @@ _AUTHORITY = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//([^/?#]*)"
 def sanitize_url(c: Column) -> Column:
     """Trim, delete NUL, collapse repeated slashes after the first '://'."""
     u = F.replace(strip(F.coalesce(c, F.lit(""))), F.lit("\x00"), F.lit(""))
-    at = F.instr(u, "://")
-    head = F.left(u, at + 2)
-    tail = F.right(u, F.length(u) - at - 2)
-    one_slash = lambda part: F.regexp_replace(part, "/+", "/")
-    return F.when(at > 0, F.concat(head, one_slash(tail))).otherwise(one_slash(u))
+    return F.regexp_replace(u, r"(?s)^(.*?://)(/)?/*|(/)/*", "$1$2$3")
 
 
 def authority(c: Column) -> Column:
@@ -35,22 +31,21 @@ def domain(c: Column, missing: str = "") -> Column:
     return F.when(a == "", F.lit(missing)).otherwise(a)
 
 
+# A bracket without its partner, and a host (after the last '@'; in brackets or up to a colon).
+_AT_HOST = r"^(?:[A-Za-z][A-Za-z0-9+.\-]*:)?//"
+_LOPSIDED = rf"{_AT_HOST}(?:[^/?#\]]*\[[^/?#\]]*|[^/?#\[]*\][^/?#\[]*)(?:[/?#]|$)"
+_HAS_HOST = rf"{_AT_HOST}(?:[^/?#]*@)?+(?:\[[^\]/?#]+\]|[^:/?#\[\]])"
+
+
 def url_reject_reason(c: Column) -> Column:
     """Why a url is refused, or null when it is accepted. The first failed check names the reason."""
     # Line breaks and tabs inside, and controls in front, do not count when a url is split up.
-    u = F.regexp_replace(F.coalesce(c, F.lit("")), r"^[\x00-\x20]+|[\t\r\n]", "")
-    scheme = F.lower(F.regexp_extract(u, r"^([A-Za-z][A-Za-z0-9+.\-]*):", 1))
-    netloc = authority(u)
-    after_user = F.regexp_replace(netloc, r"^.*@", "")
-    host = F.when(
-        after_user.startswith("["), F.regexp_extract(after_user, r"^\[([^\]]*)\]", 1)
-    ).otherwise(F.regexp_extract(after_user, r"^([^:]*)", 1))
-    lopsided = netloc.contains("[") != netloc.contains("]")
+    u = F.regexp_replace(c, r"^[\x00-\x20]+|[\t\r\n]", "")
     return (
         F.when(c.isNull() | (c == ""), F.lit("empty"))
-        .when(lopsided, F.lit("malformed"))
-        .when(~scheme.isin("http", "https"), F.lit("scheme"))
+        .when(u.rlike(_LOPSIDED), F.lit("malformed"))
+        .when(~u.rlike("^(?i:https?):"), F.lit("scheme"))
         .when(F.lower(c).rlike(SUSPICIOUS), F.lit("suspicious"))
-        .when(host == "", F.lit("hostname"))
+        .when(~u.rlike(_HAS_HOST), F.lit("hostname"))
         .when(F.length(c) > MAX_URL, F.lit("length"))
     )

@@ -10,7 +10,7 @@ from pressloom.functions import text, urls
 
 def audit_urls(df: DataFrame, url: str = "url") -> DataFrame:
     reason = urls.url_reject_reason(F.col(url))
-    return df.withColumn("reject_reason", reason).withColumn("is_valid", F.col("reject_reason").isNull())
+    return df.withColumns({"reject_reason": reason, "is_valid": reason.isNull()})
 
 
 def checked_items(items: DataFrame) -> DataFrame:
