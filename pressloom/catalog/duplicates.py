@@ -47,7 +47,7 @@ WITH {BATCH} SELECT doc_id, id, url IN (SELECT url FROM batch) AS same_url,
 FROM hist WHERE collected_at >= TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY
   AND (url IN (SELECT url FROM batch) OR lower(title) IN (SELECT lower(title) FROM batch))""")
 def _(spark, sf):
-    out = dedup.matching_history(batch(spark, sf), history(spark, sf), AS_OF, 14)
+    out = dedup.matching_history(batch(spark, sf), history(spark, sf), AS_OF, 14, ("doc_id",))
     return out.select("doc_id", "id", "same_url", "same_title")
 
 
@@ -137,20 +137,20 @@ SELECT query_id, cand_id, round(score, 6) AS score, rank FROM (
 def _(spark, sf):
     v = st.vectors(spark, sf)
     newest = v.orderBy(F.desc("published_at"), "id").limit(dedup.CANDIDATE_CAP)
-    return similarity.top_similar_small(_queries(v), _cands(newest), THRESHOLD, 5)
+    return similarity.top_similar_small(_queries(v), _cands(newest), THRESHOLD, 5).drop("cand_pos")
 
 
 @query("ded6_top_similar", _similar_sql(3, 0.66))
 def _(spark, sf):
     v = st.vectors(spark, sf)
-    return similarity.top_similar_large(_queries(v), _cands(v), 0.66, 3)
+    return similarity.top_similar_large(_queries(v), _cands(v), 0.66, 3).drop("cand_pos")
 
 
 @query("ded6_top_similar_near_in_time", _similar_sql(
     3, 0.60, "abs(epoch(q.published_at) - epoch(c.published_at)) <= 7 * 86400"))
 def _(spark, sf):
     v = st.vectors(spark, sf)
-    return similarity.top_similar_large(_queries(v), _cands(v), 0.60, 3, within_days=7)
+    return similarity.top_similar_large(_queries(v), _cands(v), 0.60, 3, within_days=7).drop("cand_pos")
 
 
 @query("ded7_candidates", f"""
@@ -339,5 +339,5 @@ WITH {_CACHE_SQL} SELECT doc_id, k.cache_key, c.cache_key IS NOT NULL AS from_ca
 FROM keyed k LEFT JOIN cache c ON c.cache_key = k.cache_key""")
 def _(spark, sf):
     items = similarity_texts(st.items_synd(spark, sf))
-    embedded, _ = registry.embed_with_cache(items, _cache(spark, sf), stand_in_embedder, "model-a", AS_OF)
+    embedded, _ = registry.embed_with_cache(items, _cache(spark, sf), stand_in_embedder, "model-a", AS_OF, spread_by=("doc_id",))
     return embedded.select("doc_id", "cache_key", "from_cache", F.col("embedding")[0].cast("double").alias("first_number"))

@@ -258,7 +258,7 @@ WHERE url IN (SELECT url FROM synd GROUP BY url HAVING count(*) > 1)""")
 def _(spark, sf):
     items = st.items_synd(spark, sf)
     wanted = items.groupBy("url").count().where("count > 1")
-    return filters.lookup(items, wanted, "url").select("url", "id", "doc_id")
+    return filters.lookup(items, wanted, "url", ["doc_id"]).select("url", "id", "doc_id")
 
 
 @query("flt4_in_period", f"""

@@ -42,13 +42,18 @@ def dedup_batch(items: DataFrame, order: tuple[str, ...] = ("feed_pos", "entry_p
     return first_per(items, ["id"], [F.asc(c) for c in order])
 
 
-def _verdict(match_type: str, original: Column, score: Column | None = None) -> dict[str, Column]:
+def _settle(df: DataFrame, match_type: str, original: Column, score: Column | None = None) -> DataFrame:
+    """Add a verdict. Rows that an earlier step judged duplicates keep theirs."""
     found = original.isNotNull()
-    return {
+    new = {
         "is_duplicate": found,
+        "original_id": original,
         "similarity_score": F.when(found, F.lit(1.0) if score is None else score).otherwise(0.0),
         "match_type": F.when(found, F.lit(match_type)).otherwise("none"),
     }
+    if "match_type" not in df.columns:
+        return df.withColumns(new)
+    return df.withColumns({n: F.when(F.col("is_duplicate"), F.col(n)).otherwise(c) for n, c in new.items()})
 
 
 def _earliest_per(df: DataFrame, keys: list[str], value: str, order: list[str], name: str) -> DataFrame:
@@ -73,9 +78,9 @@ def find_duplicates(new: DataFrame, history: DataFrame, as_of, days: int = 7, ho
     grouped = lambda keys, name: past.groupBy(*keys).agg(
         F.count(F.lit(1)).alias(f"n_{name}"), earliest.alias(f"first_{name}")
     )
-    out = new.select("id", "url", F.lower("title").alias("title_key"))
+    out = asked = new.select("id", "url", F.lower("title").alias("title_key"))
     for keys, name in ((["url"], "url"), (["title_key"], "title"), (["url", "title_key"], "both")):
-        out = lookup_join(out, grouped(keys, name), keys, ["id"], hot_rows=hot_rows)
+        out = lookup_join(out, grouped(keys, name), keys, ["id"], hot_rows=hot_rows, counted=asked)
     n = lambda name: F.coalesce(f"n_{name}", F.lit(0))
     first = F.least("first_url", "first_title")
     return out.select(
@@ -87,7 +92,9 @@ def find_duplicates(new: DataFrame, history: DataFrame, as_of, days: int = 7, ho
     )
 
 
-def matching_history(new: DataFrame, history: DataFrame, as_of, days: int = 7) -> DataFrame:
+def matching_history(
+    new: DataFrame, history: DataFrame, as_of, days: int = 7, spread_by: tuple[str, ...] = ("id",)
+) -> DataFrame:
     """History rows that share the url or the title with any new item, with what they share.
 
     An OR of two equalities as two semi-joins against distinct keys, not as a nested loop.
@@ -96,8 +103,9 @@ def matching_history(new: DataFrame, history: DataFrame, as_of, days: int = 7) -
     urls = new.select("url").distinct().withColumn("same_url", F.lit(True))
     titles = new.select(F.lower("title").alias("_title_key")).distinct().withColumn("same_title", F.lit(True))
     # Distinct keys on the right: each history row meets at most one row on either join.
-    by_url = lookup_join(past, urls, ["url"], ["id"])
-    both = lookup_join(by_url.withColumn("_title_key", F.lower("title")), titles, ["_title_key"], ["id"])
+    past = past.withColumn("_title_key", F.lower("title"))
+    by_url = lookup_join(past, urls, ["url"], list(spread_by))
+    both = lookup_join(by_url, titles, ["_title_key"], list(spread_by), counted=past)
     yes = lambda c: F.coalesce(c, F.lit(False))
     out = both.withColumns({"same_url": yes("same_url"), "same_title": yes("same_title")})
     return out.where(F.col("same_url") | F.col("same_title")).drop("_title_key")
@@ -105,28 +113,31 @@ def matching_history(new: DataFrame, history: DataFrame, as_of, days: int = 7) -
 
 def match_url(new: DataFrame, history: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add the verdict of an exact url match against history (earliest collected wins)."""
-    known = _earliest_per(history.select("url", "collected_at", "id"), ["url"], "id", ["collected_at"], "original_id")
-    known = known.select("url", "original_id")
+    known = _earliest_per(history.select("url", "collected_at", "id"), ["url"], "id", ["collected_at"], "_original")
+    known = known.select("url", "_original")
     out = lookup_join(new, known, ["url"], ["id"], hot_rows=hot_rows)
-    return out.withColumns(_verdict("exact_url", F.col("original_id")))
+    return _settle(out, "exact_url", F.col("_original")).drop("_original")
 
 
-def match_registry(new: DataFrame, registry: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+def match_registry(
+    new: DataFrame, registry: DataFrame, hot_rows: int = HOT_ROWS, counted: DataFrame | None = None
+) -> DataFrame:
     """Add the verdict of the registry: same url hash, or same title hash and content hash.
 
-    The earliest entry wins when several match.
+    The earliest entry wins when several match. ``counted`` may name a cheaper table with the
+    same rows as ``new``, to count hot keys on.
     """
     fields = ["url_hash", "title_hash", "content_hash"]
-    new = with_dedup_hashes(new) if not set(fields) <= set(new.columns) else new
+    hashed = lambda df: df if set(fields) <= set(df.columns) else with_dedup_hashes(df)
+    new, counted = hashed(new), hashed(new if counted is None else counted)
     entry = lambda keys, name: registry.groupBy(*keys).agg(
         F.min(F.struct("first_seen_at", "news_item_id")).alias(name)
     )
-    out = lookup_join(new, entry(["url_hash"], "_by_url"), ["url_hash"], ["id"], hot_rows=hot_rows)
     pair = ["title_hash", "content_hash"]
-    out = lookup_join(out, entry(pair, "_by_text"), pair, ["id"], hot_rows=hot_rows)
-    hit = F.least("_by_url", "_by_text")
-    out = out.withColumn("original_id", hit["news_item_id"]).drop("_by_url", "_by_text")
-    return out.withColumns(_verdict("exact_title", F.col("original_id")))
+    out = lookup_join(new, entry(["url_hash"], "_by_url"), ["url_hash"], ["id"], hot_rows=hot_rows, counted=counted)
+    out = lookup_join(out, entry(pair, "_by_text"), pair, ["id"], hot_rows=hot_rows, counted=counted)
+    first = F.least("_by_url", "_by_text")["news_item_id"]
+    return _settle(out, "exact_title", first).drop("_by_url", "_by_text")
 
 
 def candidates(history: DataFrame, as_of, days: int = CANDIDATE_DAYS, cap: int | None = CANDIDATE_CAP) -> DataFrame:
@@ -134,31 +145,15 @@ def candidates(history: DataFrame, as_of, days: int = CANDIDATE_DAYS, cap: int |
     return filters.recent(history, as_of, days, limit=cap)
 
 
-def _as_candidates(cands: DataFrame) -> DataFrame:
-    """Similarity input; equal scores go to the newer candidate."""
-    age = seconds_between(F.lit("2100-01-01 00:00:00").cast("timestamp_ntz"), F.col("published_at"))
-    return cands.select(F.col("id").alias("cand_id"), F.round(age * 1e6).cast("long").alias("cand_pos"),
-                        "embedding", "published_at")
-
+def _age_us(published: Column) -> Column:
+    """Microseconds from publication to a far day: the newer, the smaller."""
+    return F.round(seconds_between(F.lit("2100-01-01 00:00:00").cast("timestamp_ntz"), published) * 1e6).cast("long")
 
-def best_match(
-    new: DataFrame, cands: DataFrame, threshold: float = SIMILARITY, gate: str = "after_best",
-    gate_days: int = GATE_DAYS, cap: int | None = CANDIDATE_CAP,
-) -> DataFrame:
-    """``query_id, cand_id, score`` of the best candidate of each new item.
 
-    ``cap`` states the most rows ``cands`` can have; with None the block join is used.
-    With ``gate='before_best'`` only candidates near in time compete.
-    """
-    asked = new.select(F.col("id").alias("query_id"), "embedding", "published_at")
-    offered = _as_candidates(cands)
-    if gate == "before_best":
-        found = similarity.top_similar_large(asked, offered, threshold, 1, within_days=gate_days)
-    elif cap is not None and cap <= similarity.SMALL_CANDIDATES:
-        found = similarity.top_similar_small(asked, offered, threshold, 1, bound=cap)
-    else:
-        found = similarity.top_similar_large(asked, offered, threshold, 1)
-    return found.drop("rank")
+def _as_candidates(cands: DataFrame) -> DataFrame:
+    """Similarity input; equal scores go to the newer candidate."""
+    age = _age_us(F.col("published_at"))
+    return cands.select(F.col("id").alias("cand_id"), age.alias("cand_pos"), "embedding", "published_at")
 
 
 def match_semantic(
@@ -167,39 +162,34 @@ def match_semantic(
 ) -> DataFrame:
     """Add the semantic verdict: only the best candidate counts, and only if it is near in time.
 
-    A worse candidate that is near in time is not tried, unless ``gate='before_best'``.
+    A worse candidate that is near in time is not tried, unless ``gate='before_best'``, which
+    lets only candidates near in time compete. ``cap`` states the most rows ``cands`` can have;
+    a small number of candidates is compared in place, any other by the block join. Rows that
+    are already judged duplicates are not compared.
     """
-    best = best_match(new, cands, threshold, gate, gate_days, cap)
-    dated = best.join(
-        cands.select(F.col("id").alias("cand_id"), F.col("published_at").alias("_cand_at")), "cand_id"
-    ).select(F.col("query_id").alias("id"), F.col("cand_id").alias("original_id"), "score", "_cand_at")
-    out = new.join(dated, "id", "left")
-    gap = F.abs(seconds_between(F.col("published_at"), F.col("_cand_at")))
-    near = gap <= gate_days * 86400
-    original = F.when(near, F.col("original_id"))
-    out = out.withColumn("original_id", original).withColumns(
-        _verdict("similar_content", F.col("original_id"), F.col("score"))
-    )
-    return out.drop("score", "_cand_at")
-
-
-def _then(judged: DataFrame, columns: list[str], step) -> DataFrame:
-    """Keep the rows already judged duplicates; send the others to the next step."""
-    keep = [*columns, *VERDICT]
-    done = judged.where("is_duplicate").select(*keep)
-    rest = step(judged.where("not is_duplicate").select(*columns))
-    return done.unionByName(rest.select(*keep))
+    unjudged = ~F.col("is_duplicate") if "match_type" in new.columns else F.lit(True)
+    if gate == "after_best" and cap is not None and cap <= similarity.SMALL_CANDIDATES:
+        nearest = similarity.nearest_small(_as_candidates(cands), threshold, cap)
+        out = new.withColumn("_best", nearest(F.when(unjudged, F.col("embedding"))))
+    else:
+        asked = new.where(unjudged).select(F.col("id").alias("query_id"), "embedding", "published_at")
+        within = gate_days if gate == "before_best" else None
+        found = similarity.top_similar_large(asked, _as_candidates(cands), threshold, 1, within_days=within)
+        best = F.struct("cand_id", "cand_pos", "score").alias("_best")
+        out = new.join(found.select(F.col("query_id").alias("id"), best), "id", "left")
+    gap = F.abs(_age_us(F.col("published_at")) - F.col("_best.cand_pos"))
+    original = F.when(gap <= gate_days * 86_400_000_000, F.col("_best.cand_id"))
+    return _settle(out, "similar_content", original, F.col("_best.score")).drop("_best")
 
 
 def dedup_cascade(
     new: DataFrame, history: DataFrame, registry: DataFrame, cands: DataFrame,
     threshold: float = SIMILARITY, gate: str = "after_best", cap: int | None = CANDIDATE_CAP,
 ) -> DataFrame:
-    """Url, then registry, then meaning. Each step sees only what the one before left open."""
-    columns = new.columns
-    semantic = lambda rest: match_semantic(rest, cands, threshold, gate, cap=cap)
-    by_registry = lambda rest: _then(match_registry(rest, registry), columns, semantic)
-    return _then(match_url(new, history), columns, by_registry)
+    """Url, then registry, then meaning; the first that finds something decides."""
+    by_url = match_url(new, history)
+    by_registry = match_registry(by_url, registry, counted=new)
+    return match_semantic(by_registry, cands, threshold, gate, cap=cap)
 
 
 def dedup_batch_cascade(
@@ -207,8 +197,7 @@ def dedup_batch_cascade(
     threshold: float = SIMILARITY, gate: str = "after_best", cap: int | None = CANDIDATE_CAP,
 ) -> DataFrame:
     """Url, then meaning. The form that ingestion runs; the registry is not asked."""
-    semantic = lambda rest: match_semantic(rest, cands, threshold, gate, cap=cap)
-    return _then(match_url(new, history), new.columns, semantic)
+    return match_semantic(match_url(new, history), cands, threshold, gate, cap=cap)
 
 
 def flag_duplicates(items: DataFrame, verdicts: DataFrame) -> DataFrame:

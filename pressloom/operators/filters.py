@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pressloom.functions.dates import as_of_literal, period_days, period_of
 from pressloom.functions.text import strip
+from pressloom.operators.skew import lookup_join
 
 
 def _ago(as_of, days: int):
@@ -37,9 +38,10 @@ def collected_since(items: DataFrame, as_of, days: int) -> DataFrame:
     return items.where(F.col("collected_at") >= _ago(as_of, days))
 
 
-def lookup(items: DataFrame, wanted: DataFrame, on: str) -> DataFrame:
-    """Items whose ``id`` or ``url`` is in ``wanted``. The planner picks broadcast by size."""
-    return items.join(wanted.select(on).distinct(), on, "left_semi")
+def lookup(items: DataFrame, wanted: DataFrame, on: str, spread_by: list[str] | None = None) -> DataFrame:
+    """Items whose ``id`` or ``url`` is in ``wanted``. Broadcast if small, else joined with hot keys spread."""
+    spread = spread_by or [c for c in ("id", "url", "published_at", "collected_at") if c in items.columns]
+    return lookup_join(items, wanted.select(on).distinct(), [on], spread, "left_semi")
 
 
 def in_period(items: DataFrame, kind: str, first=None, last=None) -> DataFrame:

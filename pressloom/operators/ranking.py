@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pressloom.functions import scoring
 from pressloom.functions.dates import period_days
 from pressloom.functions.scoring import Weights
+from pressloom.operators.skew import lookup_join
 
 # Fixed values: (items, items per source) in a daily and in a weekly digest.
 LIMITS = {"daily": (20, 3), "weekly": (50, 5)}
@@ -43,19 +44,18 @@ def _signals(items: DataFrame, reference: Column, weights: Weights, important) -
 def score_items(
     items: DataFrame, kind: str, weights: Weights = Weights(), important=scoring.IMPORTANT_TAGS
 ) -> DataFrame:
-    """Every item of every period with its signals and total score."""
-    reference = reference_time(F.col("period"), kind)
-    scored = _signals(items, reference, weights, important)
-    counts = source_counts(items)
-    return with_diversity(scored, counts, weights)
+    """Every item of every period with its signals and total score.
+
+    The pool sizes are looked up with hot sources spread over several tasks.
+    """
+    scored = _signals(items, reference_time(F.col("period"), kind), weights, important)
+    key = ["period", "source"]
+    return _total(lookup_join(scored, source_counts(items), key, ["id"], "inner", counted=items), weights)
 
 
-def with_diversity(scored: DataFrame, counts: DataFrame, weights: Weights) -> DataFrame:
-    share = weights.shares().diversity
-    return (
-        scored.join(counts, ["period", "source"])
-        .withColumn("diversity", scoring.diversity(F.col("source_items")))
-        .withColumn("score", F.col("base") + share * F.col("diversity"))
+def _total(counted: DataFrame, weights: Weights) -> DataFrame:
+    return counted.withColumn("diversity", scoring.diversity(F.col("source_items"))).withColumn(
+        "score", F.col("base") + weights.shares().diversity * F.col("diversity")
     )
 
 
@@ -94,7 +94,7 @@ def rank_items(
     capped = narrow.withColumn("source_rank", F.row_number().over(in_source)).where(
         F.col("source_rank") <= per_source
     )
-    scored = with_diversity(capped, source_counts(items), weights)
+    scored = _total(capped.join(source_counts(items), ["period", "source"]), weights)
     in_period = Window.partitionBy("period").orderBy(*_best_first("score", "base"))
     return (
         scored.withColumn("rank", F.row_number().over(in_period))

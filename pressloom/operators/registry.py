@@ -67,10 +67,11 @@ def expire_cache(cache: DataFrame, as_of, days: int) -> DataFrame:
 
 def embed_with_cache(
     items: DataFrame, cache: DataFrame, embed: Callable[[Column], Column], model: str, as_of, text: str = "text",
+    spread_by: tuple[str, ...] = ("id",),
 ) -> tuple[DataFrame, DataFrame]:
-    """(items with ``embedding`` and ``from_cache``, cache rows to add).
+    """(items with ``embedding`` and ``from_cache``, without their text; cache rows to add).
 
-    Equal texts are embedded once. ``embed`` is an Arrow function from text to array<float>.
+    Equal texts are embedded once; ``spread_by`` tells items of one text apart. ``embed`` is an Arrow function from text to array<float>.
     """
     keyed = items.withColumn("cache_key", hashing.cache_key(F.col(text), model))
     distinct = keyed.groupBy("cache_key").agg(F.first(text).alias(text))
@@ -81,4 +82,4 @@ def embed_with_cache(
     known = cache.select("cache_key", "embedding", F.lit(True).alias("from_cache")).unionByName(
         fresh.select("cache_key", "embedding", F.lit(False).alias("from_cache"))
     )
-    return lookup_join(keyed, known, ["cache_key"], ["id"]), fresh
+    return lookup_join(keyed.drop(text), known, ["cache_key"], list(spread_by)), fresh

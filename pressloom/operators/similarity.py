@@ -1,9 +1,9 @@
 """Best matches by rescaled cosine, exact, for few or for many candidates.
 
 Both forms return, per query, the candidates at or above a threshold with their rank:
-``query_id, cand_id, score, rank``.
+``query_id, cand_id, cand_pos, score, rank``; equal scores go to the lower ``cand_pos``.
 
-* ``top_similar_small``: candidates up to a checked bound are broadcast as one matrix and
+* ``top_similar_small`` and ``nearest_small``: candidates up to a checked bound are broadcast as one matrix and
   every batch of queries is multiplied with it. No shuffle of the queries.
 * ``top_similar_large``: no bound. Candidates are grouped around pivots; by the triangle
   inequality of angles a query needs only the groups whose ring of angles it can reach.
@@ -14,13 +14,15 @@ Both forms return, per query, the candidates at or above a threshold with their
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressloom.functions import vectors
+from pressloom.sources.scratch import cut_lineage
 
 # The most candidates that may be broadcast.
 SMALL_CANDIDATES = 10_000
@@ -57,7 +59,19 @@ def _best_pairs(scores, allowed, threshold, k, q_ids, c_ids, c_pos) -> pd.DataFr
 def _rank(pairs: DataFrame, k: int | None) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "cand_pos", "cand_id")
     ranked = pairs.withColumn("rank", F.row_number().over(w))
-    return (ranked if k is None else ranked.where(F.col("rank") <= k)).drop("cand_pos")
+    return ranked if k is None else ranked.where(F.col("rank") <= k)
+
+
+def _hold(candidates: DataFrame, bound: int):
+    """At most ``bound`` candidates as one broadcast matrix; None when there are none."""
+    held = candidates.limit(bound + 1).toPandas()
+    if len(held) > bound:
+        raise ValueError(f"more than {bound} candidates; use top_similar_large")
+    if held.empty:
+        return None
+    unit, some = _unit_rows(_matrix(held["embedding"]))
+    shared = (unit, some, held["cand_id"].to_numpy(dtype=object), held["cand_pos"].to_numpy())
+    return candidates.sparkSession.sparkContext.broadcast(shared)
 
 
 def top_similar_small(
@@ -65,16 +79,9 @@ def top_similar_small(
     bound: int = SMALL_CANDIDATES,
 ) -> DataFrame:
     """``queries(query_id, embedding)`` against at most ``bound`` ``candidates(cand_id, cand_pos, embedding)``."""
-    spark = queries.sparkSession
-    held = candidates.select("cand_id", "cand_pos", "embedding").limit(bound + 1).toPandas()
-    if len(held) > bound:
-        raise ValueError(f"more than {bound} candidates; use top_similar_large")
-    if held.empty:
-        return spark.createDataFrame([], "query_id string, cand_id string, score double, rank int")
-    unit, some = _unit_rows(_matrix(held["embedding"]))
-    shared = spark.sparkContext.broadcast(
-        (unit, some, held["cand_id"].to_numpy(dtype=object), held["cand_pos"].to_numpy())
-    )
+    shared = _hold(candidates.select("cand_id", "cand_pos", "embedding"), bound)
+    if shared is None:
+        return queries.sparkSession.createDataFrame([], f"{_PAIR}, rank int")
 
     def match(batches):
         c_unit, c_some, c_ids, c_pos = shared.value
@@ -89,6 +96,41 @@ def top_similar_small(
     return _rank(queries.select("query_id", "embedding").mapInPandas(match, _PAIR), k)
 
 
+_BEST = "struct<cand_id:string,cand_pos:bigint,score:double>"
+
+
+def nearest_small(candidates: DataFrame, threshold: float, bound: int = SMALL_CANDIDATES) -> Callable[[Column], Column]:
+    """A column function: embedding -> best of at most ``bound`` candidates, null below the threshold.
+
+    Works in place, row by row of the table it is used on: no join and no shuffle.
+    """
+    shared = _hold(candidates.select("cand_id", "cand_pos", "embedding"), bound)
+    if shared is None:
+        return lambda _: F.lit(None).cast(_BEST)
+
+    @F.pandas_udf(_BEST)
+    def nearest(embedding: pd.Series) -> pd.DataFrame:
+        c_unit, c_some, c_ids, c_pos = shared.value
+        empty = [None] * len(embedding)
+        out = pd.DataFrame({"cand_id": empty, "cand_pos": empty, "score": empty}, dtype=object)
+        asked = np.flatnonzero(embedding.notna().to_numpy())
+        if len(asked) and c_some.any():
+            q_unit, q_some = _unit_rows(_matrix(embedding.iloc[asked]))
+            # Candidates in order of preference, so that the first maximum is the preferred one.
+            order = np.lexsort((c_ids.astype(str), c_pos))
+            order = order[c_some[order]]
+            scores = np.round((q_unit @ c_unit[order].T + 1) / 2, _DECIMALS)
+            best = scores.argmax(axis=1)
+            top = scores[np.arange(len(asked)), best]
+            hit = q_some & (top >= threshold)
+            out.loc[asked[hit], "cand_id"] = c_ids[order[best[hit]]]
+            out.loc[asked[hit], "cand_pos"] = c_pos[order[best[hit]]]
+            out.loc[asked[hit], "score"] = top[hit]
+        return out.astype({"score": "float64", "cand_pos": "Int64"})
+
+    return nearest
+
+
 def _with_bucket(df: DataFrame, days: int | None) -> DataFrame:
     """Time bucket of ``published_at``; one bucket for everything when there is no window."""
     if days is None:
@@ -147,7 +189,7 @@ def _block_join(
 
     chosen = cand.orderBy(F.xxhash64("cand_id"), "cand_id").limit(pivots).select("embedding").toPandas()
     if chosen.empty:
-        return spark.createDataFrame([], "query_id string, cand_id string, score double, rank int")
+        return spark.createDataFrame([], f"{_PAIR}, rank int")
     pivot_unit, _ = _unit_rows(_matrix(chosen["embedding"]))
     reach = math.acos(max(-1.0, min(1.0, 2 * threshold - 1))) + _SLACK
     reach_us = None if within_days is None else within_days * 86_400_000_000
@@ -160,8 +202,10 @@ def _block_join(
     cand = _with_bucket(cand, within_days).withColumn("angles", angles("embedding"))
     cand = cand.withColumn("angle", F.array_min("angles")).withColumn(
         "pivot", F.array_position("angles", F.col("angle")).cast("int")
-    ).drop("angles")
-    query = _with_bucket(query, within_days).withColumn("angles", angles("embedding"))
+    )
+    # Both sides are read several times below; fix them once.
+    cand = cut_lineage(cand.drop("angles"))
+    query = cut_lineage(_with_bucket(query, within_days).withColumn("angles", angles("embedding")))
     near = F.array(F.col("bucket")) if within_days is None else F.array(*[F.col("bucket") + d for d in (-1, 0, 1)])
     query = query.withColumn("bucket", F.explode(near))
 

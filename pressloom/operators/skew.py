@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 # A key with more probe rows than this is spread over several tasks.
 HOT_ROWS = 100_000
-# Only this many of the hottest keys are spread. With n probe rows, a key outside
-# them holds fewer than n / MAX_HOT_KEYS rows, so leaving it alone is harmless.
-MAX_HOT_KEYS = 10_000
+# At most this many of the hottest keys are spread, found with a sketch of this many counters.
+# A key that holds more than about a thousandth of the rows is never missed.
+MAX_HOT_KEYS = 500
+_COUNTERS = 2_000
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -22,6 +23,19 @@ def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("_pos", F.row_number().over(w)).where("_pos = 1").drop("_pos")
 
 
+def hot_keys(probe: DataFrame, keys: list[str], hot_rows: int = HOT_ROWS) -> DataFrame:
+    """``_key, _fan``: hashes of the hottest keys and over how many tasks to spread each.
+
+    One pass with a fixed-size sketch per task; nothing is shuffled by key. A wrong count only
+    changes how rows are spread, never a result.
+    """
+    counted = probe.select(F.xxhash64(*keys).alias("_key")).agg(
+        F.expr(f"approx_top_k(_key, {MAX_HOT_KEYS}, {_COUNTERS})").alias("_top")
+    )
+    hot = counted.selectExpr("inline(_top)").where(F.col("count") > hot_rows)
+    return hot.select(F.col("item").alias("_key"), F.ceil(F.col("count") / hot_rows).cast("int").alias("_fan"))
+
+
 def lookup_join(
     probe: DataFrame,
     table: DataFrame,
@@ -29,30 +43,18 @@ def lookup_join(
     spread_by: list[str],
     how: str = "left",
     hot_rows: int = HOT_ROWS,
+    counted: DataFrame | None = None,
 ) -> DataFrame:
     """Equi-join ``probe`` to ``table`` where probe keys may be hot.
 
-    ``table`` should have few rows per key. Hot probe keys are counted first; their
-    probe rows get a salt from ``spread_by`` and their table rows are repeated once
-    per salt. All other rows join as usual (salt 0). The broadcast list of hot keys
-    has at most ``MAX_HOT_KEYS`` rows.
+    ``table`` should have few rows per key. Probe rows of a hot key get a salt from
+    ``spread_by`` and the table rows of that key are repeated once per salt. All other rows
+    join as usual (salt 0). The broadcast list of hot keys has at most ``MAX_HOT_KEYS`` rows.
+    ``counted`` may name a cheaper table with the same key frequencies as ``probe``.
     """
-    hot = (
-        probe.groupBy(*keys).count()
-        .where(F.col("count") > hot_rows)
-        .orderBy(F.desc("count"), *keys)
-        .limit(MAX_HOT_KEYS)
-        .select(*keys, F.ceil(F.col("count") / hot_rows).cast("int").alias("_fan"))
-    )
+    hot = F.broadcast(hot_keys(probe if counted is None else counted, keys, hot_rows))
     fan = F.coalesce("_fan", F.lit(1))
-    salted = (
-        probe.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.pmod(F.xxhash64(*spread_by), fan).cast("int"))
-        .drop("_fan")
-    )
-    repeated = (
-        table.join(F.broadcast(hot), keys, "left")
-        .withColumn("_salt", F.explode(F.sequence(F.lit(0), fan - 1)))
-        .drop("_fan")
-    )
+    keyed = lambda df: df.withColumn("_key", F.xxhash64(*keys)).join(hot, "_key", "left").drop("_key")
+    salted = keyed(probe).withColumn("_salt", F.pmod(F.xxhash64(*spread_by), fan).cast("int")).drop("_fan")
+    repeated = keyed(table).withColumn("_salt", F.explode(F.sequence(F.lit(0), fan - 1))).drop("_fan")
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")

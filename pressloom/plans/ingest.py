@@ -63,15 +63,17 @@ def ingest(
     threshold: float = dedup.SIMILARITY, gate: str = "after_best", cap: int | None = dedup.CANDIDATE_CAP,
     collector_type: str = "rss",
 ) -> Outcome:
-    """Judge a batch (with ``embedding``) against stored items and describe all that it adds.
+    """Judge a batch (one row per id, with ``embedding``) against stored items; describe what it adds.
 
-    The verdicts feed five results, so they are written once to the checkpoint folder.
-    Nothing is stored here; the caller writes the parts.
+    Verdicts are reached on narrow rows and written once to the checkpoint folder, since five
+    results read them; the texts move only when the new items are picked out. Nothing is stored
+    here; the caller writes the parts.
     """
-    judged = dedup.dedup_batch_cascade(batch, stored, cands, threshold, gate, cap)
+    narrow = batch.select("id", "url", "published_at", "embedding")
+    judged = dedup.dedup_batch_cascade(narrow, stored, cands, threshold, gate, cap).drop("embedding")
     verdicts = cut_lineage(same_url_in_batch(judged))
-    fresh = tables.new_items(verdicts.where("not is_duplicate"), stored)
-    added = fresh.drop(*dedup.VERDICT).withColumns({
+    keys = cut_lineage(tables.new_keys(verdicts.where("not is_duplicate"), stored))
+    added = batch.join(keys.select("id"), "id", "left_semi").withColumns({
         "is_duplicate": F.lit(False), "duplicate_of": F.lit(None).cast("string"),
     })
     counters = stats.ingest_counters(verdicts, failed)
@@ -79,7 +81,7 @@ def ingest(
     return Outcome(
         verdicts=verdicts.select("id", *dedup.VERDICT),
         added=added,
-        links=tables.link_items(run_id, added),
+        links=tables.link_items(run_id, keys),
         registry_rows=registry.registry_rows(added),
         counters=counters,
         run=tables.run_record(run_id, collector_type, as_of, as_of, counters, log),

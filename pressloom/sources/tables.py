@@ -12,16 +12,30 @@ from pressloom.schemas import ITEM_SCHEMA
 from pressloom.sources.scratch import cut_lineage
 
 
-def new_items(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """Items of the batch that may be added: ids and urls are unique, also within the batch.
+def _first_of_id():
+    return [F.asc("published_at"), F.asc("url")]
+
 
-    The batch is reduced to one row per id and per url first, so the anti-joins against the
-    stored keys meet no hot key. Adding the same batch twice adds nothing.
+def new_keys(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """``id, url`` of the batch rows that may be added; works on narrow rows only.
+
+    Ids and urls are unique, also within the batch. The batch is reduced to one row per id and
+    per url first, so the anti-joins against the stored keys meet no hot key.
     """
-    order = [F.asc("published_at"), F.asc("id")]
-    one = first_per(first_per(batch, ["id"], [F.asc("published_at"), F.asc("url")]), ["url"], order)
+    narrow = batch.select("id", "url", "published_at")
+    by_id = first_per(narrow, ["id"], _first_of_id())
+    one = first_per(by_id, ["url"], [F.asc("published_at"), F.asc("id")])
     fresh = one.join(stored.select("id"), "id", "left_anti")
-    return fresh.join(stored.select("url"), "url", "left_anti")
+    return fresh.join(stored.select("url"), "url", "left_anti").select("id", "url")
+
+
+def new_items(batch: DataFrame, stored: DataFrame) -> DataFrame:
+    """Items of the batch that may be added. Adding the same batch twice adds nothing.
+
+    Wide rows are shuffled once, by id; the rest is decided on narrow rows.
+    """
+    one = first_per(batch, ["id"], _first_of_id())
+    return one.join(new_keys(batch, stored).select("id"), "id", "left_semi")
 
 
 def write_items(items: DataFrame, path: str, mode: str = "append") -> None:
