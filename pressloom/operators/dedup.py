@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pressloom.functions import hashing
 from pressloom.functions.dates import seconds_between
 from pressloom.operators import filters, similarity
-from pressloom.operators.skew import HOT_ROWS, first_per, lookup_join
+from pressloom.operators.skew import HOT_ROWS, first_per, fits, lookup_join, only_keys_of
 
 # History window, candidate cap, similarity and time gate.
 CANDIDATE_DAYS = 30
@@ -74,11 +74,11 @@ def find_duplicates(new: DataFrame, history: DataFrame, as_of, days: int = 7, ho
     past = filters.collected_since(history, as_of, days).select(
         "url", F.lower("title").alias("title_key"), "collected_at", "id"
     )
-    earliest = F.min(F.struct("collected_at", "id"))
-    grouped = lambda keys, name: past.groupBy(*keys).agg(
+    out = asked = new.select("id", "url", F.lower("title").alias("title_key"))
+    small, earliest = fits(asked), F.min(F.struct("collected_at", "id"))
+    grouped = lambda keys, name: only_keys_of(past, asked, keys, small).groupBy(*keys).agg(
         F.count(F.lit(1)).alias(f"n_{name}"), earliest.alias(f"first_{name}")
     )
-    out = asked = new.select("id", "url", F.lower("title").alias("title_key"))
     for keys, name in ((["url"], "url"), (["title_key"], "title"), (["url", "title_key"], "both")):
         out = lookup_join(out, grouped(keys, name), keys, ["id"], hot_rows=hot_rows, counted=asked)
     n = lambda name: F.coalesce(f"n_{name}", F.lit(0))
@@ -113,7 +113,8 @@ def matching_history(
 
 def match_url(new: DataFrame, history: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Add the verdict of an exact url match against history (earliest collected wins)."""
-    known = _earliest_per(history.select("url", "collected_at", "id"), ["url"], "id", ["collected_at"], "_original")
+    past = only_keys_of(history.select("url", "collected_at", "id"), new, ["url"], fits(new))
+    known = _earliest_per(past, ["url"], "id", ["collected_at"], "_original")
     known = known.select("url", "_original")
     out = lookup_join(new, known, ["url"], ["id"], hot_rows=hot_rows)
     return _settle(out, "exact_url", F.col("_original")).drop("_original")
@@ -130,7 +131,8 @@ def match_registry(
     fields = ["url_hash", "title_hash", "content_hash"]
     hashed = lambda df: df if set(fields) <= set(df.columns) else with_dedup_hashes(df)
     new, counted = hashed(new), hashed(new if counted is None else counted)
-    entry = lambda keys, name: registry.groupBy(*keys).agg(
+    small = fits(counted)
+    entry = lambda keys, name: only_keys_of(registry, counted, keys, small).groupBy(*keys).agg(
         F.min(F.struct("first_seen_at", "news_item_id")).alias(name)
     )
     pair = ["title_hash", "content_hash"]

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.functions.dates import as_of_literal, period_days, period_of
@@ -14,6 +14,14 @@ def _ago(as_of, days: int):
     return as_of_literal(as_of) - F.make_dt_interval(F.lit(days))
 
 
+def _days_from(items: DataFrame, start: Column, end: Column | None = None) -> DataFrame:
+    """Skip whole days of a stored table that cannot hold rows from ``start`` (until ``end``)."""
+    if "published_date" not in items.columns:
+        return items
+    out = items.where(F.col("published_date") >= F.to_date(start))
+    return out if end is None else out.where(F.col("published_date") <= F.to_date(end))
+
+
 def require_title_link(df: DataFrame, title: str = "title", link: str = "link") -> DataFrame:
     """Drop entries whose title or link is missing or blank."""
     return df.where((F.length(strip(F.col(title))) > 0) & (F.length(strip(F.col(link))) > 0))
@@ -21,12 +29,13 @@ def require_title_link(df: DataFrame, title: str = "title", link: str = "link")
 
 def younger_than(items: DataFrame, as_of, days: int = 7) -> DataFrame:
     """Items published strictly after the cut-off."""
-    return items.where(F.col("published_at") > _ago(as_of, days))
+    return _days_from(items, _ago(as_of, days)).where(F.col("published_at") > _ago(as_of, days))
 
 
 def recent(items: DataFrame, as_of, days: int = 7, source: str | None = None, limit: int | None = None) -> DataFrame:
     """Original items since the cut-off (inclusive). With ``limit``: the newest ones, in order."""
-    out = items.where((F.col("published_at") >= _ago(as_of, days)) & ~F.col("is_duplicate"))
+    since = _ago(as_of, days)
+    out = _days_from(items, since).where((F.col("published_at") >= since) & ~F.col("is_duplicate"))
     if source:
         out = out.where(F.col("source") == source)
     if limit:
@@ -51,11 +60,13 @@ def in_period(items: DataFrame, kind: str, first=None, last=None) -> DataFrame:
     ``published_at`` so that it reaches the scan.
     """
     ts = F.col("published_at")
+    midnight = lambda day: F.lit(f"{day} 00:00:00").cast("timestamp_ntz")
+    start = midnight(first if first is not None else "0001-01-01")
     if first is not None:
-        items = items.where(ts >= F.lit(str(first)).cast("timestamp_ntz"))
+        items = _days_from(items, start).where(ts >= start)
     if last is not None:
-        past = F.lit(str(last)).cast("timestamp_ntz") + F.make_dt_interval(F.lit(period_days(kind)))
-        items = items.where(ts < past)
+        past = midnight(last) + F.make_dt_interval(F.lit(period_days(kind)))
+        items = _days_from(items, start, past).where(ts < past)
     return items.withColumn("period", period_of(ts, kind))
 
 

@@ -11,6 +11,8 @@ HOT_ROWS = 100_000
 # A key that holds more than about a thousandth of the rows is never missed.
 MAX_HOT_KEYS = 500
 _COUNTERS = 2_000
+# A probe of at most this many rows is broadcast as 8-byte key hashes to thin out a table.
+BROADCAST_HASHES = 1_000_000
 
 
 def first_per(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
@@ -58,3 +60,21 @@ def lookup_join(
     salted = keyed(probe).withColumn("_salt", F.pmod(F.xxhash64(*spread_by), fan).cast("int")).drop("_fan")
     repeated = keyed(table).withColumn("_salt", F.explode(F.sequence(F.lit(0), fan - 1))).drop("_fan")
     return salted.join(repeated, [*keys, "_salt"], how).drop("_salt")
+
+
+def fits(df: DataFrame, rows: int = BROADCAST_HASHES) -> bool:
+    """Whether ``df`` has at most ``rows`` rows. Runs a job that stops once it has seen more."""
+    return df.limit(rows + 1).count() <= rows
+
+
+def only_keys_of(table: DataFrame, probe: DataFrame, keys: list[str], small: bool) -> DataFrame:
+    """Thin out a large table to (about) the keys of a probe that was found ``small``.
+
+    The hashes of the probe keys are broadcast, so the table is filtered where it is read and
+    neither shuffled nor hurt by hot keys. Equal hashes of unequal keys let a few rows more
+    through; an exact join is still to follow. A probe that is not small leaves the table as it is.
+    """
+    if not small:
+        return table
+    wanted = F.broadcast(probe.select(F.xxhash64(*keys).alias("_key")).distinct())
+    return table.withColumn("_key", F.xxhash64(*keys)).join(wanted, "_key", "left_semi").drop("_key")

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
 from pressloom.functions.dates import as_of_literal
-from pressloom.operators.skew import first_per
+from pressloom.operators.skew import first_per, fits, only_keys_of
 from pressloom.schemas import ITEM_SCHEMA
 from pressloom.sources.scratch import cut_lineage
 
@@ -25,8 +25,10 @@ def new_keys(batch: DataFrame, stored: DataFrame) -> DataFrame:
     narrow = batch.select("id", "url", "published_at")
     by_id = first_per(narrow, ["id"], _first_of_id())
     one = first_per(by_id, ["url"], [F.asc("published_at"), F.asc("id")])
-    fresh = one.join(stored.select("id"), "id", "left_anti")
-    return fresh.join(stored.select("url"), "url", "left_anti").select("id", "url")
+    small = fits(narrow)
+    known = lambda key: only_keys_of(stored.select(key), narrow, [key], small)
+    fresh = one.join(known("id"), "id", "left_anti")
+    return fresh.join(known("url"), "url", "left_anti").select("id", "url")
 
 
 def new_items(batch: DataFrame, stored: DataFrame) -> DataFrame:

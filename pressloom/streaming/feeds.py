@@ -8,6 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -59,13 +60,16 @@ def item_sink(
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        stored = stored_items(spark, items_path, batch.schema, before=batch_id)
-        kept = judge(batch, stored) if judge else batch
-        fresh = tables.new_items(kept, stored)
-        fresh.write.mode("overwrite").parquet(f"{items_path}/batch_id={batch_id:09d}")
-        sightings = registry.merge_registry(registry.registry_rows(batch))
-        sightings.write.mode("overwrite").parquet(f"{registry_path}/batch_id={batch_id:09d}")
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)  # read by both writes
+        try:
+            stored = stored_items(batch.sparkSession, items_path, batch.schema, before=batch_id)
+            kept = judge(batch, stored) if judge else batch
+            fresh = tables.new_items(kept, stored)
+            fresh.write.mode("overwrite").parquet(f"{items_path}/batch_id={batch_id:09d}")
+            sightings = registry.merge_registry(registry.registry_rows(batch))
+            sightings.write.mode("overwrite").parquet(f"{registry_path}/batch_id={batch_id:09d}")
+        finally:
+            batch.unpersist()
 
     return write
 

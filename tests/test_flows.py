@@ -114,3 +114,14 @@ def test_append_is_safe_when_reading_its_own_table(spark, tmp_path):
     tables.write_items(items(spark, item("a")), path)
     added = tables.append_items(items(spark, item("b")), tables.read_items(spark, path), path)
     assert [r.id for r in added.collect()] == ["b"]
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_thinning_a_table_changes_no_result(spark, small):
+    from pressloom.operators.skew import only_keys_of
+
+    table = spark.range(100).select((F.col("id") % 10).alias("k"), F.col("id").alias("v"))
+    probe = spark.createDataFrame([(1,), (1,), (77,)], "k long")
+    kept = only_keys_of(table, probe, ["k"], small)
+    assert kept.count() == (10 if small else 100)
+    assert kept.where("k = 1").count() == 10

@@ -185,3 +185,14 @@ def test_run_record(spark, feeds_given):
     assert (row.total_items, row.new_items, row.duplicate_items, row.failed_sources) == (3, 2, 1, ["w", "x"])
     assert ("success_rate" in row.statistics) == feeds_given
     assert rows(tables.link_items("r", verdicts)) == [("r", "a"), ("r", "b"), ("r", "c")]
+
+
+def test_stored_days_are_skipped(spark, tmp_path):
+    path = str(tmp_path / "items")
+    tables.write_items(items(spark, *[item(f"d{n}", published_at=days_before(n)) for n in range(6)]), path)
+    stored = tables.read_items(spark, path)
+    for df, n in ((filters.recent(stored, AS_OF, 2), 3), (filters.younger_than(stored, AS_OF, 2), 2),
+                  (filters.in_period(stored, "daily", "2024-01-28", "2024-01-29"), 2)):
+        assert df.count() == n
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "PartitionFilters: [isnotnull(published_date" in plan and "published_date#" in plan.split("PartitionFilters", 1)[1]
