@@ -38,7 +38,7 @@ def write_feeds(spark, sf, path=None):
     elements = {
         "title": F.concat(F.lit("T"), plain(F.col("title"))),
         "link": F.when(F.col("doc_id") % 13 == 0, F.lit(None)).when(preprint, F.concat(F.lit(_LINK), number)).otherwise(F.col("url")),
-        "description": F.concat(F.lit("D"), plain(F.substring("content", 1, 2000)), F.lit("E")),
+        "description": F.concat(F.lit("D"), plain(F.col("content")), F.lit("E")),
         "pubDate": F.when(~preprint, stamp),
         "dc:date": F.when(preprint, F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss'+01:00'")),
         "dc:creator": F.when(preprint, F.lit("Ann Lee, , Bo Ray ")),
@@ -62,7 +62,7 @@ raw AS (SELECT doc_id, id, source AS s, url, title AS title0, content, published
         WHERE doc_id % 13 <> 0),
 feed AS (
   SELECT *, trim('T' || regexp_replace(title0, '{_NOT_XML}', ' ', 'g')) AS title,
-         'D' || regexp_replace(substr(content, 1, 2000), '{_NOT_XML}', ' ', 'g') || 'E' AS text,
+         'D' || regexp_replace(content, '{_NOT_XML}', ' ', 'g') || 'E' AS text,
          CASE WHEN preprint THEN 'arxiv-' || s ELSE s END AS source,
          CASE WHEN preprint THEN '{_LINK}' || CASE WHEN doc_id % 4 = 1 THEN 'math/' ELSE '2401.' END || doc_id ELSE url END AS link,
          CASE WHEN preprint THEN published_at - INTERVAL 1 HOUR ELSE published_at END AS pub,
@@ -146,7 +146,8 @@ added AS (SELECT id FROM firsts WHERE place = 1)"""
 def outcome(spark, sf):
     new, old, _, cands = cascade_parts(spark, sf)
     new = new.withColumns({"title": F.lit(""), "content": F.lit("")})
-    log = st.fetch_log(spark, sf)
+    feed = F.concat(F.lit("src"), (F.col("source").cast("long") % 20).cast("string"))
+    log = st.fetch_log(spark, sf).withColumn("source", feed)
     return ingest.ingest(new, old, cands, "run-1", AS_OF, failed=log.where("not ok"), feed_log=log, threshold=0.60)
 
 
@@ -157,12 +158,12 @@ def _(spark, sf):
 
 _COUNTS = """(SELECT count(*) FROM new) AS total_items, (SELECT count(*) FROM added) AS new_items,
   (SELECT count(*) FROM new) - (SELECT count(*) FROM added) AS duplicate_items,
-  (SELECT string_agg(s, '|' ORDER BY s) FROM (SELECT DISTINCT CAST(user_id AS VARCHAR) AS s FROM events WHERE event_type = 'error')) AS failed_sources"""
+  (SELECT string_agg(s, '|' ORDER BY s) FROM (SELECT DISTINCT 'src' || user_id % 20 AS s FROM events WHERE event_type = 'error')) AS failed_sources"""
 
 
 @query("src9_run_record", f"""
 WITH {_INGEST} SELECT 'run-1' AS run_id, 'rss' AS collector_type, '{AS_OF}' AS started_at, '{AS_OF}' AS completed_at, {_COUNTS},
-  (SELECT count(DISTINCT user_id) FROM events) AS n_feeds""")
+  (SELECT count(DISTINCT user_id % 20) FROM events) AS n_feeds""")
 def _(spark, sf):
     run = outcome(spark, sf).run
     feeds_seen = F.size(F.from_json("statistics", "map<string,string>"))

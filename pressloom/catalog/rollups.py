@@ -153,7 +153,7 @@ def _(spark, sf):
 WITH {ITEMS} SELECT CAST(CAST(date_trunc('week', published_at) AS DATE) AS VARCHAR) AS period,
   count(*) AS total_collected, count(DISTINCT source) AS sources_count FROM items WHERE NOT is_duplicate GROUP BY 1""")
 def _(spark, sf):
-    return stats.period_facts(pool(spark, sf, "weekly"))
+    return stats.period_facts(ranking.source_counts(pool(spark, sf, "weekly")))
 
 
 @query("agg9_digest_facts", f"""

@@ -12,6 +12,7 @@ from pressloom.functions import hashing
 from pressloom.functions.dates import seconds_between
 from pressloom.operators import filters, similarity
 from pressloom.operators.skew import HOT_ROWS, first_per, fits, lookup_join, only_keys_of
+from pressloom.sources.scratch import cut_lineage
 
 # History window, candidate cap, similarity and time gate.
 CANDIDATE_DAYS = 30
@@ -74,7 +75,7 @@ def find_duplicates(new: DataFrame, history: DataFrame, as_of, days: int = 7, ho
     past = filters.collected_since(history, as_of, days).select(
         "url", F.lower("title").alias("title_key"), "collected_at", "id"
     )
-    out = asked = new.select("id", "url", F.lower("title").alias("title_key"))
+    out = asked = cut_lineage(new.select("id", "url", F.lower("title").alias("title_key")))
     small, earliest = fits(asked), F.min(F.struct("collected_at", "id"))
     grouped = lambda keys, name: only_keys_of(past, asked, keys, small).groupBy(*keys).agg(
         F.count(F.lit(1)).alias(f"n_{name}"), earliest.alias(f"first_{name}")
@@ -188,7 +189,11 @@ def dedup_cascade(
     new: DataFrame, history: DataFrame, registry: DataFrame, cands: DataFrame,
     threshold: float = SIMILARITY, gate: str = "after_best", cap: int | None = CANDIDATE_CAP,
 ) -> DataFrame:
-    """Url, then registry, then meaning; the first that finds something decides."""
+    """Url, then registry, then meaning; the first that finds something decides.
+
+    ``new`` is read by every step, so it is fixed first; give it without wide columns.
+    """
+    new = cut_lineage(with_dedup_hashes(new) if "content_hash" not in new.columns else new)
     by_url = match_url(new, history)
     by_registry = match_registry(by_url, registry, counted=new)
     return match_semantic(by_registry, cands, threshold, gate, cap=cap)
@@ -198,7 +203,11 @@ def dedup_batch_cascade(
     new: DataFrame, history: DataFrame, cands: DataFrame,
     threshold: float = SIMILARITY, gate: str = "after_best", cap: int | None = CANDIDATE_CAP,
 ) -> DataFrame:
-    """Url, then meaning. The form that ingestion runs; the registry is not asked."""
+    """Url, then meaning. The form that ingestion runs; the registry is not asked.
+
+    ``new`` is read several times, so it is fixed first; give it without wide columns.
+    """
+    new = cut_lineage(new)
     return match_semantic(match_url(new, history), cands, threshold, gate, cap=cap)
 
 

@@ -71,6 +71,7 @@ def rank_items(
     weights: Weights = Weights(),
     important=scoring.IMPORTANT_TAGS,
     keep: tuple[str, ...] = (),
+    counts: DataFrame | None = None,
 ) -> DataFrame:
     """The best ``max_items`` of each period with at most ``per_source`` from one source.
 
@@ -80,6 +81,7 @@ def rank_items(
     joined to the few rows left: no task ever holds a whole source or a whole period.
     Order: score, then score without diversity, then newest, then id.
 
+    ``counts`` may pass the result of ``source_counts`` where it is at hand.
     Only narrow columns travel; name more with ``keep`` or attach them afterwards with
     ``attach_columns``.
     """
@@ -94,7 +96,8 @@ def rank_items(
     capped = narrow.withColumn("source_rank", F.row_number().over(in_source)).where(
         F.col("source_rank") <= per_source
     )
-    scored = _total(capped.join(source_counts(items), ["period", "source"]), weights)
+    pool = source_counts(items) if counts is None else counts
+    scored = _total(capped.join(pool, ["period", "source"]), weights)
     in_period = Window.partitionBy("period").orderBy(*_best_first("score", "base"))
     return (
         scored.withColumn("rank", F.row_number().over(in_period))

@@ -132,19 +132,20 @@ def ingest_counters(verdicts: DataFrame, failed: DataFrame | None = None) -> Dat
     return one(counts).join(one(names), "_one").drop("_one")
 
 
-def _totals(items: DataFrame, key: str) -> DataFrame:
-    return items.groupBy(key).agg(
-        F.count(F.lit(1)).alias("total_collected"),
-        F.count_if("is_duplicate").alias("duplicates_found"),
-        F.count_if(~F.col("is_duplicate")).alias("unique_items"),
-    )
-
+def _totals(items: DataFrame, key: str, sources: str) -> DataFrame:
+    """Counts per group and its map source -> items, from one scan counted per source first.
 
-def _source_map(items: DataFrame, key: str, name: str) -> DataFrame:
-    """Map source -> items per group; built from counted rows, one per source."""
-    counted = items.groupBy(key, "source").agg(F.count(F.lit(1)).alias("n"))
-    entries = F.array_sort(F.collect_list(F.struct("source", "n")))
-    return counted.groupBy(key).agg(F.map_from_entries(entries).alias(name))
+    The map has one entry per source, that is per feed that is read.
+    """
+    per_source = items.groupBy(key, "source").agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("is_duplicate").alias("copies")
+    )
+    return per_source.groupBy(key).agg(
+        F.sum("n").alias("total_collected"),
+        F.sum("copies").alias("duplicates_found"),
+        F.sum(F.col("n") - F.col("copies")).alias("unique_items"),
+        F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n")))).alias(sources),
+    )
 
 
 def _topic_list(items: DataFrame, key: str, limit: int, name: str) -> DataFrame:
@@ -158,8 +159,7 @@ def daily_rollup(items: DataFrame, topics: int = 5) -> DataFrame:
     """Per day: totals, items per source, top tags."""
     by_day = items.withColumn("digest_date", day_of(F.col("published_at")))
     return (
-        _totals(by_day, "digest_date")
-        .join(_source_map(by_day, "digest_date", "sources_summary"), "digest_date")
+        _totals(by_day, "digest_date", "sources_summary")
         .join(_topic_list(by_day, "digest_date", topics, "top_tags"), "digest_date", "left")
     )
 
@@ -172,8 +172,7 @@ def weekly_rollup(items: DataFrame, topics: int = 10) -> DataFrame:
     busiest = days.groupBy("week_start").agg(F.max(F.struct("n", -F.datediff("day", "week_start"), "day")).alias("_b"))
     start = F.col("week_start")
     return (
-        _totals(by_week, "week_start")
-        .join(_source_map(by_week, "week_start", "sources_breakdown"), "week_start")
+        _totals(by_week, "week_start", "sources_breakdown")
         .join(_topic_list(by_week, "week_start", topics, "trending_topics"), "week_start", "left")
         .join(busiest, "week_start")
         .select(
@@ -191,11 +190,10 @@ def weekly_rollup(items: DataFrame, topics: int = 10) -> DataFrame:
     )
 
 
-def period_facts(items: DataFrame) -> DataFrame:
-    """Per period: items collected and number of distinct sources (two-step count, no big sets)."""
-    per_source = items.groupBy("period", "source").agg(F.count(F.lit(1)).alias("n"))
-    return per_source.groupBy("period").agg(
-        F.sum("n").alias("total_collected"), F.count(F.lit(1)).alias("sources_count")
+def period_facts(source_counts: DataFrame) -> DataFrame:
+    """Per period: items collected and number of distinct sources, from counts per source."""
+    return source_counts.groupBy("period").agg(
+        F.sum("source_items").alias("total_collected"), F.count(F.lit(1)).alias("sources_count")
     )
 
 

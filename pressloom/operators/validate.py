@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.functions import text, urls
+from pressloom.schemas import ITEM_STATUSES
 
 
 def audit_urls(df: DataFrame, url: str = "url") -> DataFrame:
@@ -26,3 +27,8 @@ def validate_items(items: DataFrame) -> tuple[DataFrame, DataFrame]:
     checked = checked_items(items)
     good = checked.where("is_valid").drop("is_valid", "reject_reason")
     return good, checked.where("not is_valid").drop("is_valid")
+
+
+def is_status(c: Column) -> Column:
+    """Whether a text is one of the known item statuses."""
+    return F.coalesce(c.isin(*ITEM_STATUSES), F.lit(False))

@@ -31,15 +31,21 @@ def originals(items: DataFrame) -> DataFrame:
     return items.where(~F.col("is_duplicate"))
 
 
-def ranked_items(items: DataFrame, kind: str, first=None, last=None, weights: Weights = Weights(), **limits) -> DataFrame:
-    """Ranked narrow rows of all periods."""
-    return ranking.rank_items(in_period(originals(items), kind, first, last), kind, weights=weights, **limits)
+def _ranked(items: DataFrame, kind: str, first, last, weights: Weights, limits: dict) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(items of all periods, their counts per source, ranked narrow rows)."""
+    pool = in_period(originals(items), kind, first, last)
+    counts = cut_lineage(ranking.source_counts(pool))
+    return pool, counts, ranking.rank_items(pool, kind, weights=weights, counts=counts, **limits)
 
 
 def _wide(ranked: DataFrame, items: DataFrame) -> DataFrame:
-    """Texts for the ranked rows. The rows are already fixed, so their number is checked, not guessed."""
+    """Texts for the ranked rows, fetched in one scan and fixed for the two renderings.
+
+    The rows are already fixed, so their number is checked, not guessed.
+    """
     shown = items.withColumn("preview", preview(F.col("content"), 200))
-    return ranking.attach_columns(ranked, shown, ["title", "url", "summary", "preview"], row_bound=ranked.count())
+    columns = ["title", "url", "summary", "preview"]
+    return cut_lineage(ranking.attach_columns(ranked, shown, columns, row_bound=ranked.count()))
 
 
 def _new_record(facts: DataFrame, markdown: DataFrame, html: DataFrame, as_of) -> DataFrame:
@@ -56,9 +62,10 @@ def _new_record(facts: DataFrame, markdown: DataFrame, html: DataFrame, as_of) -
 
 def daily_digests(items: DataFrame, as_of, first=None, last=None, weights: Weights = Weights(), **limits) -> Digests:
     """One digest per day that has items. ``first`` and ``last`` bound the days."""
-    ranked = cut_lineage(ranking.with_category(ranked_items(items, "daily", first, last, weights, **limits)))
-    pool = stats.period_facts(in_period(originals(items), "daily", first, last)).drop("sources_count")
-    facts = stats.digest_facts(ranked).join(pool, "period")
+    _, counts, best = _ranked(items, "daily", first, last, weights, limits)
+    ranked = cut_lineage(ranking.with_category(best))
+    totals = stats.period_facts(counts).drop("sources_count")
+    facts = cut_lineage(stats.digest_facts(ranked).join(totals, "period"))
     wide = _wide(ranked, items)
     records = _new_record(facts, render.render_daily(wide, facts), render.render_daily(wide, facts, html=True), as_of)
     return Digests(
@@ -68,24 +75,25 @@ def daily_digests(items: DataFrame, as_of, first=None, last=None, weights: Weigh
     )
 
 
-def weekly_facts(items: DataFrame, ranked: DataFrame, first=None, last=None, topics: int = WEEKLY_TOPICS) -> DataFrame:
+def weekly_facts(pool: DataFrame, counts: DataFrame, ranked: DataFrame, topics: int = WEEKLY_TOPICS) -> DataFrame:
     """Per week: selected and collected items, sources, and the top topics over all its items."""
-    pool = in_period(originals(items), "weekly", first, last)
     selected = ranked.groupBy("period").agg(F.count(F.lit(1)).alias("item_count"))
     best = stats.top_topics(pool, topics, by="period")
     inorder = F.array_sort(F.collect_list(F.struct("topic_rank", "topic", "n_items")))
     listed = best.groupBy("period").agg(inorder.alias("topics"))
+    none = F.array().cast("array<struct<topic_rank:int,topic:string,n_items:bigint>>")
     return (
-        selected.join(stats.period_facts(pool), "period")
+        selected.join(stats.period_facts(counts), "period")
         .join(listed, "period", "left")
-        .withColumn("topics", F.coalesce("topics", F.array().cast("array<struct<topic_rank:int,topic:string,n_items:bigint>>")))
+        .withColumn("topics", F.coalesce("topics", none))
     )
 
 
 def weekly_summaries(items: DataFrame, as_of, first=None, last=None, weights: Weights = Weights(), **limits) -> Digests:
     """One summary per week that has items; ``period`` is its Monday."""
-    ranked = cut_lineage(ranking.with_day(ranked_items(items, "weekly", first, last, weights, **limits)))
-    facts = cut_lineage(weekly_facts(items, ranked, first, last))
+    pool, counts, best = _ranked(items, "weekly", first, last, weights, limits)
+    ranked = cut_lineage(ranking.with_day(best))
+    facts = cut_lineage(weekly_facts(pool, counts, ranked))
     wide = _wide(ranked, items)
     records = _new_record(facts, render.render_weekly(wide, facts), render.render_weekly(wide, facts, html=True), as_of)
     return Digests(

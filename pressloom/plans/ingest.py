@@ -61,7 +61,7 @@ def ingest(
     batch: DataFrame, stored: DataFrame, cands: DataFrame, run_id: str, as_of,
     failed: DataFrame | None = None, feed_log: DataFrame | None = None,
     threshold: float = dedup.SIMILARITY, gate: str = "after_best", cap: int | None = dedup.CANDIDATE_CAP,
-    collector_type: str = "rss",
+    collector_type: str = "rss", completed_at=None,
 ) -> Outcome:
     """Judge a batch (one row per id, with ``embedding``) against stored items; describe what it adds.
 
@@ -84,5 +84,5 @@ def ingest(
         links=tables.link_items(run_id, keys),
         registry_rows=registry.registry_rows(added),
         counters=counters,
-        run=tables.run_record(run_id, collector_type, as_of, as_of, counters, log),
+        run=tables.run_record(run_id, collector_type, as_of, completed_at or as_of, counters, log),
     )

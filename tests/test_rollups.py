@@ -196,3 +196,7 @@ def test_stored_days_are_skipped(spark, tmp_path):
         assert df.count() == n
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "PartitionFilters: [isnotnull(published_date" in plan and "published_date#" in plan.split("PartitionFilters", 1)[1]
+
+
+def test_status_words(one):
+    assert one(validate.is_status, ["new", "duplicate", "odd", None]) == [True, True, False, False]
