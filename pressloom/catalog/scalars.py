@@ -163,7 +163,7 @@ def _(spark, sf):
 
 def _entities_sql(c: str) -> str:
     for name, char in markup.ENTITIES:
-        c = f"replace({c}, '{name}', '{char.replace(chr(39), chr(39) * 2)}')"
+        c = f"regexp_replace({c}, '{name}', '{char.replace(chr(39), chr(39) * 2)}', 'g')"
     return c
 
 

@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 _DROPPED = r"(?is)<script.*?</script\s*>|<style.*?</style\s*>|<!--.*?-->|<[^>]*>"
 
-# Named and numeric entities decoded by the column form; '&amp;' must come last.
+# Entities decoded by the column form (patterns; old names need no semicolon).
+# The ampersand must come last.
 ENTITIES = (
-    ("&nbsp;", "\u00a0"), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&#39;", "'"),
-    ("&copy;", "\u00a9"), ("&middot;", "\u00b7"), ("&hellip;", "\u2026"), ("&mdash;", "\u2014"),
-    ("&ndash;", "\u2013"), ("&amp;", "&"),
+    ("&nbsp;?", "\u00a0"), ("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&apos;", "'"), ("&#39;?", "'"),
+    ("&copy;?", "\u00a9"), ("&middot;?", "\u00b7"), ("&hellip;", "\u2026"), ("&mdash;", "\u2014"),
+    ("&ndash;", "\u2013"), ("&amp;?", "&"),
 )
 
 
@@ -29,7 +30,7 @@ def markup_to_text(c: Column, sep: str = "") -> Column:
     text = F.regexp_replace(joined, rf"(?U)^[\s{mark}]++|(?<![\s{mark}])[\s{mark}]++$", "")
     text = F.replace(text, F.lit(mark), F.lit(sep))
     for name, char in ENTITIES:
-        text = F.replace(text, F.lit(name), F.lit(char))
+        text = F.regexp_replace(text, name, char)
     return text
 
 

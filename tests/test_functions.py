@@ -102,6 +102,7 @@ def test_markup_to_text(one):
         "<p>x</p><p> y </p>": "xy", None: "", "plain": "plain", "a<!-- no -->b": "ab",
         "<script>var a='<p>';</script>t<style>p{}</style>": "t", "Fish &amp; chips &lt;b&gt;": "Fish & chips <b>",
         "&amp;lt;": "&lt;", "a<br/>b": "ab", "one  two": "one  two",
+        "cut off &amp": "cut off &",
     }
     assert one(markup.markup_to_text, list(cases)) == list(cases.values())
     assert one(markup.exact_markup_to_text, list(cases)) == list(cases.values())
