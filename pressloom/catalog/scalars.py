@@ -329,8 +329,8 @@ def _redact_sql(c: str) -> str:
 SELECT doc_id, array_to_string(list_filter([{_FLAGS}], lambda x: x IS NOT NULL), '|') AS patterns, {_redact_sql('text')} AS redacted
 FROM (SELECT doc_id, {_BAIT_SQL} AS text FROM documents)""")
 def _(spark, sf):
-    flagged = screening.injection_flags(baited(spark, sf))
-    return flagged.select("doc_id", "patterns", screening.redact_injections(F.col("text")).alias("redacted"))
+    flagged = screening.redact_flagged(screening.injection_flags(baited(spark, sf)))
+    return flagged.select("doc_id", "patterns", "redacted")
 
 
 _HIDDEN = [p.replace("'", "''") for p in screening.HIDDEN_PATTERNS]
@@ -359,7 +359,7 @@ def _(spark, sf):
 
 @query("doc3_sanitize_text")
 def _(spark, sf):
-    return baited(spark, sf).select("doc_id", screening.sanitize_text(F.col("text")).alias("text"))
+    return screening.sanitize(baited(spark, sf)).select("doc_id", F.col("sanitized").alias("text"))
 
 
 @query("doc3_squeeze_space", r"""

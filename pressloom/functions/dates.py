@@ -7,11 +7,9 @@ from datetime import datetime
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Zone names that feeds use, with their offsets.
-ZONE_OFFSETS = {
-    "Z": "+0000", "GMT": "+0000", "UTC": "+0000", "UT": "+0000",
-    "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500",
-    "MST": "-0700", "MDT": "-0600", "PST": "-0800", "PDT": "-0700",
+# Offsets and the zone names that feeds use for them.
+ZONE_NAMES = {
+    "+0000": "Z|GMT|UTC|UT", "-0400": "EDT", "-0500": "EST|CDT", "-0600": "CST|MDT", "-0700": "MST|PDT", "-0800": "PST",
 }
 
 # The two shapes that every readable text is brought to.
@@ -26,7 +24,7 @@ _REWRITES = (
     (r",", ""),
     (r"^([A-Za-z]{3,9})\.? (\d{1,2}) (\d{4})", "$2 $1 $3"),       # month first
     (r"^(\d{1,2}) ([A-Za-z]{3})[A-Za-z]*", "$1 $2"),              # month by three letters
-    *((rf"(?i)(?<=\d) ?{name}$", f" {offset}") for name, offset in ZONE_OFFSETS.items()),
+    *((rf"(?i)(?<=\d) ?(?:{names})$", f" {offset}") for offset, names in ZONE_NAMES.items()),
     (r"(:\d{2}(?:\.\d+)?) ?([+-]\d{2}):?(\d{2})$", "$1 $2$3"),
     (r"(\.\d{6})\d+", "$1"),
     (r"^(?!.*\d:\d{2})(.+)$", "$1 00:00:00"),                     # no time of day

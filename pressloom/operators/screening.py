@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
 import unicodedata
+from functools import reduce
+from operator import and_
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -123,10 +126,36 @@ def scan_documents(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     return each.select(key, "kind", (F.col("hit_no") + 1).alias("hit_no"), mask(F.col("value")).alias("masked"))
 
 
+def _literals(pattern: str) -> list[str]:
+    """The words of a pattern that any match must contain, in lower case."""
+    pieces = re.split(r"\\s\*|\\d\+|\[\^\\n\]\*", pattern.replace("s?", ""))
+    return [p.rstrip(":") for p in pieces if p.rstrip(":")]
+
+
+def _flags(df: DataFrame, text: str, patterns: tuple[str, ...]) -> DataFrame:
+    """Add ``patterns``: numbers (from 1) of the patterns that occur.
+
+    Plain searches for the words of a pattern come first; few texts reach its expression.
+    """
+    # Letters that count as the same letter in any case, then lower case.
+    folded = F.col(text)
+    for letter, plain in (("\u017f", "s"), ("\u0131", "i"), ("\u0130", "i"), ("\u212a", "k")):
+        folded = F.replace(folded, F.lit(letter), F.lit(plain))
+
+    def numbers(low: Column) -> Column:
+        found = []
+        for i, p in enumerate(patterns, 1):
+            words = [low.contains(w) for w in _literals(p)]
+            found.append(F.when(reduce(and_, words), F.when(F.col(text).rlike(_any_case(p)), F.lit(i))))
+        return F.filter(F.array(*found), lambda n: n.isNotNull())
+
+    # The one-element array gives the folded text a name, so that it is made once per text.
+    return df.withColumn("patterns", F.get(F.transform(F.array(F.lower(folded)), numbers), F.lit(0)))
+
+
 def injection_flags(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add ``patterns``: numbers (from 1) of the injection patterns that occur."""
-    hit = [F.when(F.col(text).rlike(_any_case(p)), F.lit(i)) for i, p in enumerate(INJECTION_PATTERNS, 1)]
-    return docs.withColumn("patterns", F.filter(F.array(*hit), lambda i: i.isNotNull()))
+    return _flags(docs, text, INJECTION_PATTERNS)
 
 
 def redact_injections(c: Column) -> Column:
@@ -135,11 +164,15 @@ def redact_injections(c: Column) -> Column:
     return c
 
 
+def redact_flagged(flagged: DataFrame, text: str = "text") -> DataFrame:
+    """Add ``redacted``; only texts with flags are rewritten (a text without keeps none to find)."""
+    some = F.size("patterns") > 0
+    return flagged.withColumn("redacted", F.when(some, redact_injections(F.col(text))).otherwise(F.col(text)))
+
+
 def hidden_flags(pages: DataFrame, html: str = "html") -> DataFrame:
     """Add ``patterns``: numbers (from 1) of the hiding styles that occur, and ``has_hidden``."""
-    hit = [F.when(F.col(html).rlike(_any_case(p)), F.lit(i)) for i, p in enumerate(HIDDEN_PATTERNS, 1)]
-    out = pages.withColumn("patterns", F.filter(F.array(*hit), lambda i: i.isNotNull()))
-    return out.withColumn("has_hidden", F.size("patterns") > 0)
+    return _flags(pages, html, HIDDEN_PATTERNS).withColumn("has_hidden", F.size("patterns") > 0)
 
 
 def plain_unicode(c: Column) -> Column:
@@ -158,10 +191,16 @@ def squeeze_space(c: Column) -> Column:
     return F.regexp_replace(c, r"(?U)\s{4,}", " ")
 
 
-def sanitize_text(c: Column) -> Column:
-    """Redact, normalise, squeeze, trim; null becomes ''."""
-    clean = squeeze_space(plain_unicode(redact_injections(F.coalesce(c, F.lit("")))))
-    return F.regexp_replace(clean, r"(?U)^\s+|\s+$", "")
+def tidy_unicode(c: Column) -> Column:
+    """Normalise, squeeze, trim; null becomes ''."""
+    clean = squeeze_space(plain_unicode(F.coalesce(c, F.lit(""))))
+    return F.regexp_replace(clean, r"(?U)^\s+|(?<!\s)\s+$", "")
+
+
+def sanitize(docs: DataFrame, text: str = "text") -> DataFrame:
+    """Add ``patterns`` and the redacted, normalised ``sanitized`` text."""
+    redacted = redact_flagged(injection_flags(docs, text), text)
+    return redacted.withColumn("sanitized", tidy_unicode(F.col("redacted"))).drop("redacted")
 
 
 _HIDDEN_ELEMENT = (
