@@ -1,7 +1,7 @@
 """The polling loop as Structured Streaming.
 
-Event time is ``published_at``. Watermarks need a zoned type, so streams carry
-``event_time`` next to it (session time zone UTC).
+Event time is ``published_at``. Watermarks need a zoned type, so streams carry the same
+moment as ``event_time`` next to it, whatever the session time zone.
 """
 
 from __future__ import annotations
@@ -22,7 +22,8 @@ MAX_AGE = "7 days"
 
 
 def with_event_time(stream: DataFrame, column: str = "published_at") -> DataFrame:
-    return stream.withColumn("event_time", F.col(column).cast("timestamp"))
+    local = F.convert_timezone(F.lit("UTC"), F.current_timezone(), F.col(column))
+    return stream.withColumn("event_time", local.cast("timestamp"))
 
 
 def unique_items(stream: DataFrame, keys: tuple[str, ...] = ("id",), max_age: str = MAX_AGE) -> DataFrame:
@@ -37,7 +38,8 @@ def counts_by_day(stream: DataFrame, by: str = "source", max_age: str = MAX_AGE,
     """
     timed = with_event_time(stream, column).withWatermark("event_time", max_age)
     counted = timed.groupBy(F.window("event_time", "1 day"), by).agg(F.count(F.lit(1)).alias("n_items"))
-    return counted.select(F.to_date("window.start").alias("day"), by, "n_items")
+    start = F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.col("window.start").cast("timestamp_ntz"))
+    return counted.select(F.to_date(start).alias("day"), by, "n_items")
 
 
 def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "append") -> StreamingQuery:
