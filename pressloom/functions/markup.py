@@ -19,6 +19,9 @@ ENTITIES = (
 )
 
 
+_UNCLOSED = "(?:" + "|".join(name[:-2] for name, _ in ENTITIES if name.endswith("?")) + ")(?!;)"
+
+
 def markup_to_text(c: Column, sep: str = "") -> Column:
     """Remove scripts, styles, comments and tags; join the trimmed text pieces by ``sep``.
 
@@ -29,8 +32,10 @@ def markup_to_text(c: Column, sep: str = "") -> Column:
     joined = F.regexp_replace(pieces, rf"(?U)(?<!\s)\s*+{mark}[\s{mark}]*+", mark)
     text = F.regexp_replace(joined, rf"(?U)^[\s{mark}]++|(?<![\s{mark}])[\s{mark}]++$", "")
     text = F.replace(text, F.lit(mark), F.lit(sep))
+    # Old names without semicolon get one in a single pass; the rest is plain replacement.
+    text = F.regexp_replace(text, _UNCLOSED, "$0;")
     for name, char in ENTITIES:
-        text = F.regexp_replace(text, name, char)
+        text = F.replace(text, F.lit(name.replace("?", "")), F.lit(char))
     return text
 
 
