@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import bpe
+from pressloom.llm import bpe, langid
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -40,3 +40,16 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("ids", " "), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+HELD_OUT = "coalesce(crc32(cast(doc_id AS string)) % 4 = 2, false)"
+
+
+@query
+def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the labels of three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    held_out = F.expr(HELD_OUT)
+    filters = langid.learn(docs.where(~held_out & F.col("lang").isNotNull()).select("text", "lang"))
+    judged = langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), filters)
+    return judged.select("doc_id", "held_out", "lang_pred", "score")
