@@ -30,11 +30,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Parts between white space that a worker remembers; beyond it the cache starts anew.
-CACHE_PARTS = 800_000
+CACHE_PARTS = 400_000
 #: Characters of text that are split and encoded together.
-STRETCH = 8_000_000
+STRETCH = 3_000_000
 #: Ids decoded at once.
-DECODED_IDS = 2_000_000
+DECODED_IDS = 500_000
 # The split pattern and the word-end mark are those of the tokenizer file.
 WORD = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\p{White_Space}\p{L}\p{N}]+"
 WORD_END = "</w>"
@@ -250,6 +250,25 @@ def read_vocabulary(path: str) -> str:
         return f.read()
 
 
+def _encoded(batch: pa.Array, encoder: Encoder) -> pa.Array:
+    done = [pa.array([], pa.list_(pa.int32()))]
+    batch = batch.fill_null("")
+    for a, b in _stretches(pc.binary_length(batch).to_pylist(), STRETCH):
+        ids, ends = encoder.encode(batch[a:b].to_pylist())
+        done.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids, pa.int32())))
+    return pa.concat_arrays(done)
+
+
+def _decoded(batch: pa.Array, names: pa.Array) -> pa.Array:
+    done = [pa.array([], pa.string())]
+    sizes = pc.fill_null(pc.list_value_length(batch), 0)
+    for a, b in _stretches(sizes.to_pylist(), DECODED_IDS):
+        ends = np.r_[0, np.cumsum(sizes[a:b].to_numpy())]
+        tokens = names.take(batch[a:b].flatten())
+        done.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens), " "))
+    return pa.concat_arrays(done)
+
+
 def encode(df: DataFrame, vocabulary: str, text: str = "text", out: str = "ids") -> DataFrame:
     """``df`` with ``out``, the token ids of ``text`` as array<int>. ``vocabulary``: path of the file."""
     shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
@@ -258,12 +277,7 @@ def encode(df: DataFrame, vocabulary: str, text: str = "text", out: str = "ids")
     def ids_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = _encoder(shared.value)
         for batch in batches:
-            batch = batch.fill_null("")
-            done = [pa.array([], pa.list_(pa.int32()))]
-            for a, b in _stretches(pc.binary_length(batch).to_pylist(), STRETCH):
-                ids, ends = encoder.encode(batch[a:b].to_pylist())
-                done.append(pa.ListArray.from_arrays(pa.array(np.r_[0, ends], pa.int32()), pa.array(ids, pa.int32())))
-            yield pa.concat_arrays(done)
+            yield _encoded(batch, encoder)
 
     return df.withColumn(out, ids_of(F.col(f"`{text}`")))
 
@@ -277,12 +291,21 @@ def decode(df: DataFrame, vocabulary: str, ids: str = "ids", out: str = "decoded
     def text_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         names = _encoder(shared.value).vocab.names
         for batch in batches:
-            done = [pa.array([], pa.string())]
-            sizes = pc.fill_null(pc.list_value_length(batch), 0)
-            for a, b in _stretches(sizes.to_pylist(), DECODED_IDS):
-                ends = np.r_[0, np.cumsum(sizes[a:b].to_numpy())]
-                tokens = names.take(batch[a:b].flatten())
-                done.append(pc.binary_join(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), tokens), " "))
-            yield pa.concat_arrays(done)
+            yield _decoded(batch, names)
 
     return df.withColumn(out, text_of(F.col(f"`{ids}`")))
+
+
+def round_trip(df: DataFrame, vocabulary: str, text: str = "text", ids: str = "ids", out: str = "decoded") -> DataFrame:
+    """``encode`` and then ``decode`` in one pass and one worker."""
+    shared = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
+
+    @F.arrow_udf("struct<ids array<int>, decoded string>")
+    def both(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        encoder = _encoder(shared.value)
+        for batch in batches:
+            coded = _encoded(batch, encoder)
+            yield pa.StructArray.from_arrays([coded, _decoded(coded, encoder.vocab.names)], ["ids", "decoded"])
+
+    done = df.withColumn("_coded", both(F.col(f"`{text}`")))
+    return done.withColumns({ids: F.col("_coded.ids"), out: F.col("_coded.decoded")}).drop("_coded")

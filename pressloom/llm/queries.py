@@ -31,9 +31,7 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
 @query
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document encoded and decoded again."""
-    file = tokenizer_file()
-    coded = bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), file)
-    done = bpe.decode(coded.select("doc_id", "ids"), file)
+    done = bpe.round_trip(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_file())
     return done.select(
         "doc_id",
         F.size("ids").cast("long").alias("n_tokens"),
