@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import bpe, langid
+from pressloom.llm import bpe, langid, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -51,3 +51,11 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     filters = langid.learn(docs.where(~held_out & F.col("lang").isNotNull()).select("text", "lang"))
     judged = langid.predict(docs.select("doc_id", held_out.alias("held_out"), "text"), filters)
     return judged.select("doc_id", "held_out", "lang_pred", "score")
+
+
+@query
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents by their fingerprints."""
+    found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
+    digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
+    return found.select("doc_id", digits.alias("fingerprint"), "component_id")
