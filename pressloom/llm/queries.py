@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import bpe, langid, simhash
+from pressloom.llm import bpe, langid, simhash, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -59,3 +59,9 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     digits = F.lower(F.lpad(F.hex("fingerprint"), 16, "0"))
     return found.select("doc_id", digits.alias("fingerprint"), "component_id")
+
+
+@query
+def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint of every document, of its edited text, and how alike they are."""
+    return winnow.compared_with_edits(table(spark, sf_dir, "documents"))
