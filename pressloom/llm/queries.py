@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import bpe, langid, simhash, winnow
+from pressloom.llm import bpe, langid, quality, simhash, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -65,3 +65,12 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The fingerprint of every document, of its edited text, and how alike they are."""
     return winnow.compared_with_edits(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and boosted trees on every document; learned from its labels."""
+    docs = table(spark, sf_dir, "documents")
+    trees = quality.learn(docs, table(spark, sf_dir, "labels"))
+    judged = quality.judge(docs.select("doc_id", "text"), trees)
+    return judged.select("doc_id", *quality.BASE, "base_failed", "kept", "quality_score")
