@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import bpe, langid, quality, simhash, winnow
+from pressloom.llm import bpe, langid, quality, simhash, urlfilter, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -74,3 +74,40 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trees = quality.learn(docs, table(spark, sf_dir, "labels"))
     judged = quality.judge(docs.select("doc_id", "text"), trees)
     return judged.select("doc_id", *quality.BASE, "base_failed", "kept", "quality_score")
+
+
+URL_RULES = [
+    ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"), ("block", "net", "/fr/"),
+]
+_URL_RULES_SQL = ", ".join(f"('{a}', '{h}', '{p}')" for a, h, p in URL_RULES)
+
+SQL["op8_urls"] = rf"""
+WITH rules(action, rule_host, rule_path) AS (VALUES {_URL_RULES_SQL}),
+parts AS (
+  SELECT *, CASE WHEN coalesce(strpos(url, '://'), 0) = 0 THEN '' ELSE substr(url, strpos(url, '://') + 3) END AS rest FROM pages
+),
+hosts AS (
+  SELECT *, regexp_extract(rest, '^[^/?#]*') AS raw_host FROM parts
+),
+split AS (
+  SELECT page_id, translate(raw_host, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(substr(rest, length(raw_host) + 1), '^[^?#]*') AS path
+  FROM hosts
+),
+shapes AS (
+  SELECT host, path, action, rule_host || rule_path AS rule,
+         row_number() OVER (PARTITION BY host, path ORDER BY length(rule_host || rule_path) DESC, length(rule_host) DESC) AS place
+  FROM (SELECT DISTINCT host, path FROM split) JOIN rules
+    ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+)
+SELECT page_id, s.host, s.path, rule, coalesce(action, 'allow') AS verdict
+FROM split s LEFT JOIN shapes r ON s.host = r.host AND s.path = r.path AND place = 1
+"""
+
+
+@query
+def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict on the url of every page."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    return urlfilter.judge(pages, URL_RULES).select("page_id", "host", "path", "rule", "verdict")
