@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import bpe, htmltext, langid, quality, simhash, urlfilter, winnow
+from pressloom.llm import bpe, htmltext, langid, mixing, quality, simhash, urlfilter, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -118,3 +118,10 @@ def op7_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     pages = htmltext.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return pages.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"))
+
+
+@query
+def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many words the mix takes of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    return mixing.taken(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
