@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import bpe, htmltext, langid, mixing, quality, simhash, urlfilter, winnow
+from pressloom.llm import bpe, htmltext, langid, mixing, quality, simhash, suffix, urlfilter, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -125,3 +125,13 @@ def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """How many words the mix takes of every document."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
     return mixing.taken(docs).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query
+def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without the passages of 400 bytes that occur more than once."""
+    done = suffix.remove_repeats(table(spark, sf_dir, "documents"), keep="none", length=400)
+    removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["b"] - s["a"])
+    return done.select(
+        "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
