@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import bpe, htmltext, langid, mixing, quality, simhash, suffix, urlfilter, winnow
+from pressloom.llm import bpe, htmltext, langid, linededup, mixing, quality, simhash, suffix, urlfilter, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -135,3 +135,10 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select(
         "doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
     )
+
+
+@query
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document without the lines that an earlier line, up to two edits away, repeats."""
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return done.select("doc_id", "n_lines", "n_removed", "n_near", "n_links", F.sha2("text", 256).alias("kept_sha256"))
