@@ -31,6 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pressloom.llm.rows import MARKS, marked, rows_of
 from pressloom.sources.scratch import cut_lineage
 
 WEIGHTS = (5, 2, 1)
@@ -56,13 +57,9 @@ def permuted(x: Column, n: Column, *key: Column) -> Column:
 
 
 def sized(df: DataFrame) -> DataFrame:
-    """``doc_id, source, size`` and ``mark``, a hash that tells rows apart. Written once."""
+    """``doc_id, source, size`` and two hashes that tell rows apart. Written once, without texts."""
     size = F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long")
-    return cut_lineage(df.select("doc_id", "source", size.alias("size"), mark(df).alias("mark")))
-
-
-def mark(df: DataFrame) -> Column:
-    return F.xxhash64("doc_id", "text", "source")
+    return cut_lineage(marked(df).select("doc_id", "source", size.alias("size"), *MARKS))
 
 
 def quotas(docs: DataFrame) -> DataFrame:
@@ -95,11 +92,11 @@ def placed(docs: DataFrame, plan: DataFrame) -> DataFrame:
     named = docs.join(
         plan.select("sid", F.col("source").alias("_source"), "source_size", "target"), docs["source"].eqNullSafe(F.col("_source"))
     ).drop("_source")
-    named = named.withColumn("part", F.pmod("mark", F.lit(PARTS)))
+    named = named.withColumn("part", F.pmod(MARKS[0], F.lit(PARTS)))
     sums = named.groupBy("sid", "part").agg(F.sum("size").alias("in_part"))
     before = F.sum("in_part").over(Window.partitionBy("sid").orderBy("part")) - F.col("in_part")
     offsets = sums.select("sid", "part", before.alias("offset"))
-    within = F.sum("size").over(Window.partitionBy("sid", "part").orderBy("mark", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    within = F.sum("size").over(Window.partitionBy("sid", "part").orderBy(*MARKS).rowsBetween(Window.unboundedPreceding, 0))
     return named.withColumn("within", within - F.col("size")).join(offsets, ["sid", "part"]).withColumn(
         "start", F.col("offset") + F.col("within")
     ).drop("part", "within", "offset")
@@ -137,20 +134,29 @@ def taken(df: DataFrame) -> DataFrame:
     cut = pieces(placed(docs, plan)).join(uses, ["sid", "block"], "left")
     words = F.coalesce(F.sum((F.col("to_word") - F.col("from_word")) * F.col("uses")), F.lit(0)).cast("long")
     row = ["doc_id", "source", "size", "source_size", "target"]
-    return cut.groupBy(*row, "sid", "start", "mark").agg(words.alias("taken")).select(*row, "taken")
+    return cut.groupBy(*row, "sid", "start", *MARKS).agg(words.alias("taken")).select(*row, "taken")
 
 
 def mixed(df: DataFrame) -> DataFrame:
     """The mix itself: the columns of ``df`` for every piece of a document that a slot takes, ``text`` being the
-    words of the piece with one space between them, and ``shard, slot, from_word``, which give the order."""
+    words of the piece with one space between them (``n_chars``, if there is one, their length), and ``shard, slot, from_word``, which give the order."""
     docs = sized(df)
     plan = quotas(docs)
-    cut = pieces(placed(docs, plan)).where("block IS NOT NULL").select(
-        F.col("doc_id").alias("_id"), F.col("mark").alias("_mark"), "sid", "block", "from_word", "to_word"
-    )
+    cut = pieces(placed(docs, plan)).where("block IS NOT NULL").select(*MARKS, "sid", "block", "from_word", "to_word")
     picked = slots(plan).join(cut, ["sid", "block"])
-    rows = df.withColumn("_own_mark", mark(df)).dropDuplicates(["doc_id", "_own_mark"])
-    words = F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1))
-    both = rows.join(picked, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["_own_mark"] == F.col("_mark")))
-    text = F.array_join(F.slice(words, (F.col("from_word") + 1).cast("int"), (F.col("to_word") - F.col("from_word")).cast("int")), " ")
-    return both.withColumn("text", text).select(*df.columns, "shard", "slot", "from_word")
+    # At most MOST times the blocks of a document, so this list is as bounded as its text.
+    picked = picked.groupBy(*MARKS).agg(F.collect_list(F.struct("shard", "slot", "from_word", "to_word")).alias("_picked"))
+
+    def cut_out(words: Column) -> Column:
+        number = lambda c: c.cast("int")
+        return F.transform("_picked", lambda p: p.withField(
+            "text", F.array_join(F.slice(words, number(p["from_word"] + 1), number(p["to_word"] - p["from_word"])), " ")
+        ))
+
+    # The words are an element of an array, so that they are found once for all pieces.
+    words = F.array(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)))
+    rows = rows_of(df, picked, "inner").withColumn("_piece", F.explode(F.flatten(F.transform(words, cut_out))))
+    both = rows.withColumns({c: F.col(f"_piece.{c}") for c in ("text", "shard", "slot", "from_word")})
+    if "n_chars" in df.columns:
+        both = both.withColumn("n_chars", F.length("text").cast("long"))
+    return both.select(*df.columns, "shard", "slot", "from_word")

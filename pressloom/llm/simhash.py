@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pressloom.llm.components import components
+from pressloom.llm.rows import MARKS, marked, rows_of
 from pressloom.operators.skew import first_per
 from pressloom.sources.scratch import cut_lineage
 
@@ -158,12 +159,9 @@ def _with_components(printed: DataFrame) -> DataFrame:
 
 
 def keep_one(df: DataFrame) -> DataFrame:
-    """The rows of ``df`` of which one stays of each component: the smallest id, then the smallest hash of
-    the text; one row of those that are equal in both."""
-    mark = F.xxhash64("text").alias("_text_hash")
-    printed = cut_lineage(fingerprints(df.select("doc_id", mark, "text")).select("doc_id", "_text_hash", "fingerprint"))
-    first = first_per(_with_components(printed), ["component_id"], [F.col("doc_id").asc_nulls_last(), F.col("_text_hash")])
-    first = first.select(F.col("doc_id").alias("_id"), F.col("_text_hash").alias("_hash"))
-    rows = df.withColumn("_text_hash", F.xxhash64("text"))
-    kept = rows.join(first, rows["doc_id"].eqNullSafe(F.col("_id")) & (rows["_text_hash"] == F.col("_hash")), "left_semi")
-    return kept.dropDuplicates(["doc_id", "_text_hash"]).drop("_text_hash")
+    """The rows of ``df`` of which one stays of each component: the smallest id (null last), then the
+    smallest hash of id and text; one row of those that are equal in both."""
+    narrow = marked(df).select("doc_id", *MARKS, "text")
+    printed = cut_lineage(fingerprints(narrow).select("doc_id", *MARKS, "fingerprint"))
+    first = first_per(_with_components(printed), ["component_id"], [F.col("doc_id").asc_nulls_last(), *MARKS])
+    return rows_of(df, first.select(*MARKS)).drop(*MARKS)
