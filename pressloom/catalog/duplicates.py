@@ -14,6 +14,8 @@ from pressloom.sources import sample_tables as st
 AS_OF = st.AS_OF
 # No pair of the sample vectors reaches the usual threshold.
 THRESHOLD = 0.70
+# The capped query compares with the newest so many vectors; that is what it is for.
+CANDIDATE_CAP = 1_000
 
 
 def history(spark, sf, **kw):
@@ -67,9 +69,9 @@ def _(spark, sf):
 # The registry knows the items of the first twelve days; copies there keep their texts but not their urls.
 _REGISTRY_SQL = f"""{ITEMS},
 reg_src AS (SELECT * FROM items WHERE published_at < TIMESTAMP '2024-01-13'),
-reg AS (SELECT sha256(url) AS url_hash, sha256(lower(title)) AS title_hash, sha256(lower(substr(content, 1, 500))) AS content_hash,
+reg AS (SELECT sha256(url) AS url_hash, sha256(lower(title)) AS title_hash, sha256(lower(content)) AS content_hash,
                id AS news_item_id, collected_at AS first_seen_at FROM reg_src),
-later AS (SELECT *, sha256(url) AS uh, sha256(lower(title)) AS th, sha256(lower(substr(content, 1, 500))) AS ch
+later AS (SELECT *, sha256(url) AS uh, sha256(lower(title)) AS th, sha256(lower(content)) AS ch
           FROM items WHERE published_at >= TIMESTAMP '2024-01-10'),
 reg_hits AS (
   SELECT n.id, r.news_item_id, r.first_seen_at FROM later n JOIN reg r ON r.url_hash = n.uh
@@ -136,7 +138,7 @@ SELECT query_id, cand_id, round(score, 6) AS score, rank FROM (
   WHERE score >= {THRESHOLD}) WHERE rank <= 5""")
 def _(spark, sf):
     v = st.vectors(spark, sf)
-    newest = v.orderBy(F.desc("published_at"), "id").limit(dedup.CANDIDATE_CAP)
+    newest = v.orderBy(F.desc("published_at"), "id").limit(CANDIDATE_CAP)
     return similarity.top_similar_small(_queries(v), _cands(newest), THRESHOLD, 5).drop("cand_pos")
 
 
@@ -155,8 +157,7 @@ def _(spark, sf):
 
 @query("ded7_candidates", f"""
 WITH {ITEMS} SELECT id, CAST(published_at AS VARCHAR) AS published_at FROM items
-WHERE published_at < TIMESTAMP '2024-01-24' AND published_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY AND NOT is_duplicate
-ORDER BY items.published_at DESC, id LIMIT 1000""")
+WHERE published_at < TIMESTAMP '2024-01-24' AND published_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY AND NOT is_duplicate""")
 def _(spark, sf):
     past = st.before_split(st.items(spark, sf, duplicates=True))
     return dedup.candidates(past, AS_OF).select("id", "published_at")
@@ -164,8 +165,7 @@ def _(spark, sf):
 
 _SEMANTIC = f"""{VECS},
 new AS (SELECT * FROM vecs WHERE published_at >= TIMESTAMP '2024-01-24'),
-old AS (SELECT * FROM vecs WHERE published_at < TIMESTAMP '2024-01-24' AND published_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY
-        ORDER BY published_at DESC, id LIMIT 1000),
+old AS (SELECT * FROM vecs WHERE published_at < TIMESTAMP '2024-01-24' AND published_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY),
 pairs AS (SELECT n.id, o.id AS cand_id, o.published_at AS cand_at, n.published_at, {_COS.format(a='n.v', b='o.v')} AS score FROM new n, old o)"""
 
 
@@ -204,14 +204,14 @@ def _(spark, sf):
 _CASCADE = f"""{ITEMS},
 casc AS (SELECT i.id, i.content, i.title, i.published_at, i.collected_at, CAST(e.embedding AS DOUBLE[]) AS v,
                 CASE WHEN length(i.content) % 4 = 0 THEN 'https://example.com/a/' || substr(sha256(i.content), 1, 16) ELSE i.url END AS url
-         FROM items i JOIN embeddings e ON e.vec_id = i.doc_id),
+         FROM items i LEFT JOIN embeddings e ON e.vec_id = i.doc_id),
 new AS (SELECT * FROM casc WHERE published_at >= TIMESTAMP '2024-01-20'),
 old AS (SELECT * FROM casc WHERE published_at < TIMESTAMP '2024-01-20'),
-cands AS (SELECT * FROM old WHERE published_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY ORDER BY published_at DESC, id LIMIT 1000),
+cands AS (SELECT * FROM old WHERE published_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY),
 by_url AS (SELECT url, arg_min(id, {{'c': collected_at, 'i': id}}) AS original_id FROM old GROUP BY url),
-reg AS (SELECT sha256(lower(title)) AS th, sha256(lower(substr(content, 1, 500))) AS ch, sha256(url) AS uh, collected_at, id FROM old),
+reg AS (SELECT sha256(lower(title)) AS th, sha256(lower(content)) AS ch, sha256(url) AS uh, collected_at, id FROM old),
 by_reg AS (SELECT n.id, arg_min(r.id, {{'c': r.collected_at, 'i': r.id}}) AS original_id FROM new n JOIN reg r
-           ON r.uh = sha256(n.url) OR (r.th = sha256(lower(n.title)) AND r.ch = sha256(lower(substr(n.content, 1, 500)))) GROUP BY n.id),
+           ON r.uh = sha256(n.url) OR (r.th = sha256(lower(n.title)) AND r.ch = sha256(lower(n.content))) GROUP BY n.id),
 best AS (SELECT n.id, o.id AS original_id, n.published_at, o.published_at AS cand_at, {_COS.format(a='n.v', b='o.v')} AS score
          FROM new n, cands o WHERE {_COS.format(a='n.v', b='o.v')} >= 0.60
          QUALIFY row_number() OVER (PARTITION BY n.id ORDER BY round(score, 12) DESC, o.published_at DESC, o.id) = 1),
@@ -233,15 +233,16 @@ SELECT n.id, coalesce(u.original_id, {'r.original_id,' if with_registry else ''}
 FROM new n LEFT JOIN by_url u ON u.url = n.url LEFT JOIN by_reg r ON r.id = n.id LEFT JOIN by_sim s ON s.id = n.id"""
 
 
-def cascade_parts(spark, sf):
+def cascade_parts(spark, sf, texts=False):
     docs = st.items(spark, sf)
     shared = F.concat(F.lit("https://example.com/a/"), F.left(F.sha2("content", 256), F.lit(16)))
     docs = docs.withColumn("url", F.when(F.col("content_length") % 4 == 0, shared).otherwise(F.col("url")))
     docs = dedup.with_dedup_hashes(docs).select(
-        "doc_id", "id", "url", "published_at", "collected_at", "url_hash", "title_hash", "content_hash"
+        "doc_id", "id", "url", "published_at", "collected_at", "url_hash", "title_hash", "content_hash",
+        *(["title", "content"] if texts else []),
     )
     vecs = st.table(spark, sf, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    both = docs.join(vecs, "doc_id").withColumn("is_duplicate", F.lit(False))
+    both = docs.join(vecs, "doc_id", "left").withColumn("is_duplicate", F.lit(False))
     cut = F.lit("2024-01-20 00:00:00").cast("timestamp_ntz")
     old = both.where(F.col("published_at") < cut)
     new = both.where(F.col("published_at") >= cut).drop("is_duplicate")
@@ -278,7 +279,8 @@ def _(spark, sf):
 
 _SIGHTINGS = f"""{SYND},
 reg AS (SELECT sha256(url) AS url_hash, arg_min(id, {{'c': collected_at, 'i': id}}) AS news_item_id,
-               min(collected_at) AS first_seen_at, max(collected_at) AS last_seen_at, count(*) AS occurrence_count
+               min(collected_at) AS first_seen_at, max(collected_at) AS last_seen_at, count(*) AS occurrence_count,
+               arg_min(sha256(lower(title)), {{'c': collected_at, 'i': id}}) AS title_hash, arg_min(sha256(lower(content)), {{'c': collected_at, 'i': id}}) AS content_hash
         FROM synd GROUP BY url)"""
 
 
@@ -289,9 +291,9 @@ def _registry(spark, sf):
 
 @query("ded12_upsert_registry", f"""
 WITH {_SIGHTINGS} SELECT url_hash, news_item_id, CAST(first_seen_at AS VARCHAR) AS first_seen_at,
-       CAST(last_seen_at AS VARCHAR) AS last_seen_at, occurrence_count FROM reg""")
+       CAST(last_seen_at AS VARCHAR) AS last_seen_at, occurrence_count, title_hash, content_hash FROM reg""")
 def _(spark, sf):
-    return _registry(spark, sf).drop("title_hash", "content_hash")
+    return _registry(spark, sf)
 
 
 @query("ded13_expire_registry", f"""

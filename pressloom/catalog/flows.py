@@ -142,8 +142,7 @@ added AS (SELECT id FROM firsts WHERE place = 1)"""
 
 
 def outcome(spark, sf):
-    new, old, _, cands = cascade_parts(spark, sf)
-    new = new.withColumns({"title": F.lit(""), "content": F.lit("")})
+    new, old, _, cands = cascade_parts(spark, sf, texts=True)
     feed = F.concat(F.lit("src"), (F.col("source").cast("long") % 20).cast("string"))
     log = st.fetch_log(spark, sf).withColumn("source", feed)
     return ingest.ingest(new, old, cands, "run-1", AS_OF, failed=log.where("not ok"), feed_log=log, threshold=0.60)
@@ -168,6 +167,28 @@ def _(spark, sf):
     return run.withColumn("n_feeds", feeds_seen).drop("statistics")
 
 
+@query("ingest_added_items", f"WITH {_INGEST} SELECT id, n.url, n.title, sha256(n.content) AS content_hash, NULL::VARCHAR AS duplicate_of FROM added JOIN new n USING (id)")
+def _(spark, sf):
+    added = outcome(spark, sf).added
+    return added.select("id", "url", "title", F.sha2("content", 256).alias("content_hash"), "duplicate_of")
+
+
+@query("ingest_registry_rows", f"""
+WITH {_INGEST} SELECT sha256(n.url) AS url_hash, sha256(lower(n.title)) AS title_hash, sha256(lower(n.content)) AS content_hash,
+  id AS news_item_id, CAST(n.collected_at AS VARCHAR) AS first_seen_at FROM added JOIN new n USING (id)""")
+def _(spark, sf):
+    rows = outcome(spark, sf).registry_rows
+    return rows.select("url_hash", "title_hash", "content_hash", "news_item_id", "first_seen_at")
+
+
+@query("src9_run_statistics", """
+SELECT 'src' || user_id % 20 AS source, round(count(*) FILTER (event_type <> 'error') / count(*)::DOUBLE, 6) AS success_rate FROM events GROUP BY 1""")
+def _(spark, sf):
+    run = outcome(spark, sf).run
+    per_feed = F.explode(F.from_json("statistics", "map<string,struct<success_rate:double>>")).alias("source", "s")
+    return run.select(per_feed).select("source", F.col("s.success_rate").alias("success_rate"))
+
+
 @query("agg6_ingest_counters", f"WITH {_INGEST} SELECT {_COUNTS}")
 def _(spark, sf):
     return outcome(spark, sf).counters

@@ -316,7 +316,7 @@ texts AS (SELECT f.*, '# Daily News Digest - ' || strftime(f.period, '%Y-%m-%d')
 WITH {_FACTS} SELECT CAST(period AS VARCHAR) AS digest_date, item_count, total_collected, sources, categories,
   FALSE AS is_sent, CAST(NULL AS VARCHAR) AS sent_at, '{AS_OF}' AS created_at FROM facts""")
 def _(spark, sf):
-    return daily(spark, sf).records.drop("content_markdown", "content_html")
+    return daily(spark, sf, texts=False).records
 
 
 @query("dig2_weekly_summaries", f"""
@@ -329,17 +329,17 @@ SELECT CAST(s.period AS VARCHAR) AS week_start, CAST(CAST(s.period + INTERVAL 7
   total_collected, sources_count, top_topics, FALSE AS is_sent, CAST(NULL AS VARCHAR) AS sent_at, '{AS_OF}' AS created_at
 FROM sizes s JOIN totals t ON t.period = s.period LEFT JOIN topics p ON p.period = s.period""")
 def _(spark, sf):
-    return weekly(spark, sf).records.drop("content_markdown", "content_html")
+    return weekly(spark, sf, texts=False).records
 
 
 @query("dig3_digest_entries", f"WITH {WEEKLY} {_ENTRIES_SQL.format(kind='weekly')}")
 def _(spark, sf):
-    return weekly(spark, sf).entries
+    return weekly(spark, sf, texts=False).entries
 
 
 # Stored: digests of three items for the first half of the month, already sent.
 def stored_daily(spark, sf):
-    few = digests.daily_digests(all_items(spark, sf), "2024-01-16 00:00:00", st.FIRST_DAY, "2024-01-15", max_items=3)
+    few = digests.daily_digests(all_items(spark, sf), "2024-01-16 00:00:00", st.FIRST_DAY, "2024-01-15", max_items=3, texts=False)
     return few.records.withColumns({"is_sent": F.lit(True), "sent_at": F.lit("2024-01-17 00:00:00").cast("timestamp_ntz")})
 
 
@@ -357,17 +357,17 @@ _MERGED = ("digest_date", "item_count", "total_collected", "is_sent", "sent_at",
 
 @query("dig4_merge_digests", _merged_sql(False))
 def _(spark, sf):
-    return digests.merge_digests(stored_daily(spark, sf), daily(spark, sf).records, "digest_date").select(*_MERGED)
+    return digests.merge_digests(stored_daily(spark, sf), daily(spark, sf, texts=False).records, "digest_date").select(*_MERGED)
 
 
 @query("dig4_merge_digests_forced", _merged_sql(True))
 def _(spark, sf):
-    merged = digests.merge_digests(stored_daily(spark, sf), daily(spark, sf).records, "digest_date", force=True)
+    merged = digests.merge_digests(stored_daily(spark, sf), daily(spark, sf, texts=False).records, "digest_date", force=True)
     return merged.select(*_MERGED)
 
 
 def marked(spark, sf):
-    records = daily(spark, sf).records
+    records = daily(spark, sf, texts=False).records
     even = records.where(F.dayofmonth("digest_date") % 2 == 0).select("digest_date")
     return digests.mark_sent(records, even, "digest_date", "2024-02-01 00:00:00")
 
@@ -386,13 +386,13 @@ SELECT 'daily' AS digest_kind, CAST(period AS VARCHAR) AS period_start, count(*)
 WHERE day(period) % 2 = 1 GROUP BY period
 UNION ALL SELECT 'weekly', CAST(period AS VARCHAR), least(50, count(*)) FROM weeks WHERE n <= 5 GROUP BY period""")
 def _(spark, sf):
-    return filters.unsent(marked(spark, sf), weekly(spark, sf).records)
+    return filters.unsent(marked(spark, sf), weekly(spark, sf, texts=False).records)
 
 
 @query("flt7_digest_for", f"""
 WITH {_FACTS} SELECT CAST(period AS VARCHAR) AS digest_date, item_count, total_collected FROM facts WHERE period = DATE '2024-01-17'""")
 def _(spark, sf):
-    found = filters.digest_for(daily(spark, sf).records, "digest_date", "2024-01-17")
+    found = filters.digest_for(daily(spark, sf, texts=False).records, "digest_date", "2024-01-17")
     return found.select("digest_date", "item_count", "total_collected")
 
 

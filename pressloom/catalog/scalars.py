@@ -36,8 +36,10 @@ def _(spark, sf):
 _CLEAN = r"""trim(regexp_replace(regexp_replace(coalesce({c}, ''), '[\x00-\x08\x0B-\x0C\x0E-\x1F\x7F]', '', 'g'), '[\s\p{{Z}}\x{{85}}]+', ' ', 'g'))"""
 
 
-def _clean_sql(c: str, n: int) -> str:
+def _clean_sql(c: str, n: int | None = None) -> str:
     clean = _CLEAN.format(c=c)
+    if n is None:
+        return clean
     return f"CASE WHEN length({clean}) > {n} THEN substr({clean}, 1, {n}) || '...' ELSE {clean} END"
 
 
@@ -102,7 +104,7 @@ def _(spark, sf):
 @query("prj6_validate_items", f"""
 SELECT page_id, url, title, content, reason AS reject_reason, reason IS NULL AS is_valid FROM (
   SELECT page_id, url, {_REASON_SQL} AS reason, title, content FROM (
-    SELECT page_id, {_SANITIZED_SQL} AS url, {_clean_sql("html", 500)} AS title, {_clean_sql("html", 50000)} AS content
+    SELECT page_id, {_SANITIZED_SQL} AS url, {_clean_sql("html")} AS title, {_clean_sql("html")} AS content
     FROM (SELECT page_id, html, {_FLAWED_SQL} AS url FROM pages)))""")
 def _(spark, sf):
     raw = _flawed(spark, sf).withColumn("title", F.col("html")).withColumnRenamed("html", "content")
@@ -113,7 +115,7 @@ def _(spark, sf):
 
 @query("prj7_dedup_hashes", f"""
 WITH {ITEMS} SELECT doc_id, sha256(url) AS url_hash, sha256(lower(title)) AS title_hash,
-       sha256(lower(substr(content, 1, 500))) AS content_hash FROM items""")
+       sha256(lower(content)) AS content_hash FROM items""")
 def _(spark, sf):
     return st.items(spark, sf).select(
         "doc_id",
@@ -131,9 +133,8 @@ def _(spark, sf):
     return st.table(spark, sf, "pages").select("page_id", urls.domain(F.col("url"), "unknown").alias("domain"))
 
 
-_PREFIX = "CASE WHEN length(content) > 500 THEN substr(content, 1, 500) || '...' ELSE content END"
 _SIM_TEXT = (
-    f"'Title: ' || title || chr(10) || chr(10) || 'Content: ' || {_PREFIX} || chr(10) || chr(10) "
+    f"'Title: ' || title || chr(10) || chr(10) || 'Content: ' || content || chr(10) || chr(10) "
     f"|| 'Source: ' || {_DOMAIN_SQL.format(u='url')}"
 )
 

@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Fixed value: how many leading characters of the content take part in its hash.
-CONTENT_PREFIX = 500
-
 
 def item_id(url: Column, title: Column) -> Column:
     return F.sha2(F.concat(url, title), 256)
@@ -21,8 +18,9 @@ def title_hash(title: Column) -> Column:
     return F.sha2(F.lower(title), 256)
 
 
-def content_hash(content: Column) -> Column:
-    return F.sha2(F.lower(F.substring(content, 1, CONTENT_PREFIX)), 256)
+def content_hash(content: Column, prefix: int | None = None) -> Column:
+    """Of the whole content, or of its first ``prefix`` characters."""
+    return F.sha2(F.lower(content if prefix is None else F.substring(content, 1, prefix)), 256)
 
 
 def cache_key(text: Column, model: str) -> Column:

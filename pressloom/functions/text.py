@@ -11,7 +11,7 @@ _SPACE = r"[\s\x1C-\x1F]"
 _EDGES = rf"(?U)^{_SPACE}+|(?<!{_SPACE}){_SPACE}+$"
 _CONTROLS = r"[\x00-\x08\x0B-\x0C\x0E-\x1F\x7F]"
 
-# The longest title, content and summary kept.
+# Lengths at which a caller may cut titles, contents and summaries.
 MAX_TITLE = 500
 MAX_CONTENT = 50_000
 MAX_SUMMARY = 1_000
@@ -27,10 +27,11 @@ def truncated(c: Column, limit: int) -> Column:
     return F.concat(F.substring(c, 1, limit), F.when(F.length(c) > limit, "...").otherwise(""))
 
 
-def clean_text(c: Column, limit: int) -> Column:
-    """Drop control characters, collapse white space, cut to ``limit``; null becomes ''."""
+def clean_text(c: Column, limit: int | None = None) -> Column:
+    """Drop control characters, collapse white space, cut to ``limit`` if there is one; null becomes ''."""
     visible = F.regexp_replace(F.coalesce(c, F.lit("")), _CONTROLS, "")
-    return truncated(F.trim(F.regexp_replace(visible, r"(?U)\s+", " ")), limit)
+    clean = F.trim(F.regexp_replace(visible, r"(?U)\s+", " "))
+    return clean if limit is None else truncated(clean, limit)
 
 
 def preview(c: Column, limit: int = 200) -> Column:
@@ -58,10 +59,10 @@ def title_case(c: Column) -> Column:
     return F.array_join(capital, "")
 
 
-def similarity_text(title: Column, content: Column, domain: Column) -> Column:
-    """The text that represents an item for semantic comparison."""
+def similarity_text(title: Column, content: Column, domain: Column, limit: int | None = None) -> Column:
+    """The text that represents an item for semantic comparison; ``limit`` cuts the content."""
     return F.concat(
         F.lit("Title: "), title,
-        F.lit("\n\nContent: "), truncated(content, 500),
+        F.lit("\n\nContent: "), content if limit is None else truncated(content, limit),
         F.lit("\n\nSource: "), domain,
     )

@@ -14,9 +14,8 @@ from pressloom.operators import filters, similarity
 from pressloom.operators.skew import HOT_ROWS, first_per, fits, lookup_join, only_keys_of
 from pressloom.sources.scratch import cut_lineage
 
-# History window, candidate cap, similarity and time gate.
+# History window, similarity and time gate.
 CANDIDATE_DAYS = 30
-CANDIDATE_CAP = 1000
 SIMILARITY = 0.90
 GATE_DAYS = 7
 
@@ -112,8 +111,12 @@ def matching_history(
     return out.where(F.col("same_url") | F.col("same_title")).drop("_title_key")
 
 
-def match_url(new: DataFrame, history: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """Add the verdict of an exact url match against history (earliest collected wins)."""
+def match_url(new: DataFrame, history: DataFrame, hot_rows: int = HOT_ROWS, fixed: bool = False) -> DataFrame:
+    """Add the verdict of an exact url match against history (earliest collected wins).
+
+    ``new`` is counted, sketched and joined, so it is written once, unless it is ``fixed`` already.
+    """
+    new = new if fixed else cut_lineage(new)
     past = only_keys_of(history.select("url", "collected_at", "id"), new, ["url"], fits(new))
     known = _earliest_per(past, ["url"], "id", ["collected_at"], "_original")
     known = known.select("url", "_original")
@@ -131,7 +134,9 @@ def match_registry(
     """
     fields = ["url_hash", "title_hash", "content_hash"]
     hashed = lambda df: df if set(fields) <= set(df.columns) else with_dedup_hashes(df)
-    new, counted = hashed(new), hashed(new if counted is None else counted)
+    if counted is None:
+        new = counted = cut_lineage(hashed(new))
+    new, counted = hashed(new), hashed(counted)
     small = fits(counted)
     entry = lambda keys, name: only_keys_of(registry, counted, keys, small).groupBy(*keys).agg(
         F.min(F.struct("first_seen_at", "news_item_id")).alias(name)
@@ -143,8 +148,8 @@ def match_registry(
     return _settle(out, "exact_title", first).drop("_by_url", "_by_text")
 
 
-def candidates(history: DataFrame, as_of, days: int = CANDIDATE_DAYS, cap: int | None = CANDIDATE_CAP) -> DataFrame:
-    """The newest original items of the last ``days``; without ``cap`` all of them."""
+def candidates(history: DataFrame, as_of, days: int = CANDIDATE_DAYS, cap: int | None = None) -> DataFrame:
+    """The original items of the last ``days``; with ``cap`` only the newest."""
     return filters.recent(history, as_of, days, limit=cap)
 
 
@@ -161,14 +166,14 @@ def _as_candidates(cands: DataFrame) -> DataFrame:
 
 def match_semantic(
     new: DataFrame, cands: DataFrame, threshold: float = SIMILARITY, gate: str = "after_best",
-    gate_days: int = GATE_DAYS, cap: int | None = CANDIDATE_CAP,
+    gate_days: int = GATE_DAYS, cap: int | None = None,
 ) -> DataFrame:
     """Add the semantic verdict: only the best candidate counts, and only if it is near in time.
 
     A worse candidate that is near in time is not tried, unless ``gate='before_best'``, which
-    lets only candidates near in time compete. ``cap`` states the most rows ``cands`` can have;
-    a small number of candidates is compared in place, any other by the block join. Rows that
-    are already judged duplicates are not compared.
+    lets only candidates near in time compete. ``cap`` states the most rows ``cands`` can have; few
+    candidates are then compared in place instead of in the block join, with the same verdicts.
+    Rows without a vector find nothing; rows that are already judged are not compared.
     """
     unjudged = ~F.col("is_duplicate") if "match_type" in new.columns else F.lit(True)
     if gate == "after_best" and cap is not None and cap <= similarity.SMALL_CANDIDATES:
@@ -187,28 +192,28 @@ def match_semantic(
 
 def dedup_cascade(
     new: DataFrame, history: DataFrame, registry: DataFrame, cands: DataFrame,
-    threshold: float = SIMILARITY, gate: str = "after_best", cap: int | None = CANDIDATE_CAP,
+    threshold: float = SIMILARITY, gate: str = "after_best", cap: int | None = None,
 ) -> DataFrame:
     """Url, then registry, then meaning; the first that finds something decides.
 
     ``new`` is read by every step, so it is fixed first; give it without wide columns.
     """
     new = cut_lineage(with_dedup_hashes(new) if "content_hash" not in new.columns else new)
-    by_url = match_url(new, history)
+    by_url = match_url(new, history, fixed=True)
     by_registry = match_registry(by_url, registry, counted=new)
     return match_semantic(by_registry, cands, threshold, gate, cap=cap)
 
 
 def dedup_batch_cascade(
     new: DataFrame, history: DataFrame, cands: DataFrame,
-    threshold: float = SIMILARITY, gate: str = "after_best", cap: int | None = CANDIDATE_CAP,
+    threshold: float = SIMILARITY, gate: str = "after_best", cap: int | None = None,
 ) -> DataFrame:
     """Url, then meaning. The form that ingestion runs; the registry is not asked.
 
     ``new`` is read several times, so it is fixed first; give it without wide columns.
     """
     new = cut_lineage(new)
-    return match_semantic(match_url(new, history), cands, threshold, gate, cap=cap)
+    return match_semantic(match_url(new, history, fixed=True), cands, threshold, gate, cap=cap)
 
 
 def flag_duplicates(items: DataFrame, verdicts: DataFrame) -> DataFrame:
@@ -216,7 +221,7 @@ def flag_duplicates(items: DataFrame, verdicts: DataFrame) -> DataFrame:
     found = verdicts.where("is_duplicate").select("id", F.col("original_id").alias("_of"))
     old = F.col("duplicate_of") if "duplicate_of" in items.columns else F.lit(None).cast("string")
     return (
-        items.join(found, "id", "left")
+        lookup_join(items, found, ["id"], ["id"])
         .withColumn("is_duplicate", F.col("_of").isNotNull() | F.col("is_duplicate"))
         .withColumn("duplicate_of", F.coalesce("_of", old))
         .drop("_of")

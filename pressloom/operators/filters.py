@@ -56,12 +56,13 @@ def lookup(items: DataFrame, wanted: DataFrame, on: str, spread_by: list[str] |
 def in_period(items: DataFrame, kind: str, first=None, last=None) -> DataFrame:
     """Add the ``period`` (day, or Monday of the week) of each item.
 
-    ``first`` and ``last`` bound the periods kept, as dates; the bound is also stated on
-    ``published_at`` so that it reaches the scan.
+    ``first`` and ``last`` bound the periods kept, as dates: the periods that hold these days are the
+    first and the last, and they are whole. The bound is also stated on ``published_at`` so that it
+    reaches the scan.
     """
     ts = F.col("published_at")
-    midnight = lambda day: F.lit(f"{day} 00:00:00").cast("timestamp_ntz")
-    start = midnight(first if first is not None else "0001-01-01")
+    midnight = lambda day: period_of(F.lit(str(day)).cast("date"), kind).cast("timestamp_ntz")
+    start = midnight(first) if first is not None else F.lit("0001-01-01 00:00:00").cast("timestamp_ntz")
     if first is not None:
         items = _days_from(items, start).where(ts >= start)
     if last is not None:

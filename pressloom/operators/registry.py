@@ -11,6 +11,7 @@ from pressloom.functions import hashing
 from pressloom.functions.dates import as_of_literal
 from pressloom.operators.dedup import with_dedup_hashes
 from pressloom.operators.skew import lookup_join
+from pressloom.sources.scratch import cut_lineage
 
 KEEP_DAYS = 30
 
@@ -76,9 +77,10 @@ def embed_with_cache(
     keyed = items.withColumn("cache_key", hashing.cache_key(F.col(text), model))
     distinct = keyed.groupBy("cache_key").agg(F.first(text).alias(text))
     missing = distinct.join(cache.select("cache_key"), "cache_key", "left_anti")
-    fresh = missing.select(
+    # Both results read the new vectors, so they are made once and written.
+    fresh = cut_lineage(missing.select(
         "cache_key", embed(F.col(text)).alias("embedding"), as_of_literal(as_of).alias("created_at")
-    )
+    ))
     known = cache.select("cache_key", "embedding", F.lit(True).alias("from_cache")).unionByName(
         fresh.select("cache_key", "embedding", F.lit(False).alias("from_cache"))
     )

@@ -1,7 +1,8 @@
 """Best matches by rescaled cosine, exact, for few or for many candidates.
 
 Both forms return, per query, the candidates at or above a threshold with their rank:
-``query_id, cand_id, cand_pos, score, rank``; equal scores go to the lower ``cand_pos``.
+``query_id, cand_id, cand_pos, score, rank``; equal scores go to the lower ``cand_pos``, then to the
+lower ``cand_id``. Without ``k`` both return all of them. Rows without a vector match nothing.
 
 * ``top_similar_small`` and ``nearest_small``: candidates up to a checked bound are broadcast as one matrix and
   every batch of queries is multiplied with it. No shuffle of the queries.
@@ -52,7 +53,8 @@ def _best_pairs(scores, allowed, threshold, k, q_ids, c_ids, c_pos) -> pd.DataFr
     out = pd.DataFrame({
         "query_id": q_ids[qi], "cand_id": c_ids[ci], "cand_pos": c_pos[ci], "score": scores[qi, ci],
     })
-    out = out.sort_values(["query_id", "score", "cand_pos"], ascending=[True, False, True], kind="stable")
+    order = ["query_id", "score", "cand_pos", "cand_id"]
+    out = out.sort_values(order, ascending=[True, False, True, True], kind="stable")
     return out if k is None else out.groupby("query_id", sort=False).head(k)
 
 
@@ -64,7 +66,7 @@ def _rank(pairs: DataFrame, k: int | None) -> DataFrame:
 
 def _hold(candidates: DataFrame, bound: int):
     """At most ``bound`` candidates as one broadcast matrix; None when there are none."""
-    held = candidates.limit(bound + 1).toPandas()
+    held = candidates.dropna(subset=["embedding"]).limit(bound + 1).toPandas()
     if len(held) > bound:
         raise ValueError(f"more than {bound} candidates; use top_similar_large")
     if held.empty:
@@ -86,6 +88,7 @@ def top_similar_small(
     def match(batches):
         c_unit, c_some, c_ids, c_pos = shared.value
         for batch in batches:
+            batch = batch[batch["embedding"].notna()]
             if batch.empty:
                 continue
             q_unit, q_some = _unit_rows(_matrix(batch["embedding"]))
@@ -154,20 +157,10 @@ def top_similar_large(
     With ``within_days`` only candidates published that close to the query count (both sides
     need ``published_at``); time buckets then keep distant periods apart.
 
-    Candidates with the very same vector score alike, so without a window only the first ``k``
-    of them are compared. With ``k=None`` each distinct vector is reported once, under its first
-    candidate and with the number of its ``copies``: whole results, but no product of two groups
-    of copies.
+    Candidates with the very same vector score alike, so with ``k`` and without a window only the first
+    ``k`` of them are compared.
     """
-    if k is None and within_days is not None:
-        raise ValueError("within_days needs k")
-    if k is None:
-        first = candidates.groupBy("embedding").agg(
-            F.min(F.struct("cand_pos", "cand_id")).alias("_f"), F.count(F.lit(1)).alias("copies")
-        ).select("_f.cand_id", "_f.cand_pos", "embedding", "copies")
-        found = _block_join(queries, first, threshold, None, None, pivots, candidate_block, query_block)
-        return found.join(first.select("cand_id", "copies"), "cand_id")
-    if within_days is None:
+    if k is not None and within_days is None:
         same = Window.partitionBy("embedding").orderBy("cand_pos", "cand_id")
         candidates = candidates.withColumn("_n", F.row_number().over(same)).where(F.col("_n") <= k).drop("_n")
     return _block_join(queries, candidates, threshold, k, within_days, pivots, candidate_block, query_block)

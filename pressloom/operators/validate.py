@@ -14,17 +14,22 @@ def audit_urls(df: DataFrame, url: str = "url") -> DataFrame:
     return df.withColumns({"reject_reason": reason, "is_valid": reason.isNull()})
 
 
-def checked_items(items: DataFrame) -> DataFrame:
-    """Sanitised url, cleaned text columns where present, and the audit columns."""
+TEXTS = ("title", "content", "summary")
+
+
+def checked_items(items: DataFrame, limits: dict[str, int] | None = None) -> DataFrame:
+    """Sanitised url, cleaned text columns where present, and the audit columns.
+
+    Texts stay whole; ``limits`` may name the length at which to cut a column.
+    """
     out = items.withColumn("url", urls.sanitize_url(F.col("url")))
-    limits = {"title": text.MAX_TITLE, "content": text.MAX_CONTENT, "summary": text.MAX_SUMMARY}
-    cleaned = {n: text.clean_text(F.col(n), k) for n, k in limits.items() if n in items.columns}
+    cleaned = {n: text.clean_text(F.col(n), (limits or {}).get(n)) for n in TEXTS if n in items.columns}
     return audit_urls(out.withColumns(cleaned))
 
 
-def validate_items(items: DataFrame) -> tuple[DataFrame, DataFrame]:
+def validate_items(items: DataFrame, limits: dict[str, int] | None = None) -> tuple[DataFrame, DataFrame]:
     """(usable items, refused items with ``reject_reason``)."""
-    checked = checked_items(items)
+    checked = checked_items(items, limits)
     good = checked.where("is_valid").drop("is_valid", "reject_reason")
     return good, checked.where("not is_valid").drop("is_valid")
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
@@ -38,39 +39,46 @@ def _ranked(items: DataFrame, kind: str, first, last, weights: Weights, limits:
     return pool, counts, ranking.rank_items(pool, kind, weights=weights, counts=counts, **limits)
 
 
-def _wide(ranked: DataFrame, items: DataFrame) -> DataFrame:
-    """Texts for the ranked rows, fetched in one scan and fixed for the two renderings.
+def _wide(ranked: DataFrame, pool: DataFrame) -> DataFrame:
+    """Texts for the ranked rows, fetched in one scan of their periods and fixed for the two renderings.
 
     The rows are already fixed, so their number is checked, not guessed.
     """
-    shown = items.withColumn("preview", preview(F.col("content"), 200))
+    shown = pool.withColumn("preview", preview(F.col("content"), 200))
     columns = ["title", "url", "summary", "preview"]
     return cut_lineage(ranking.attach_columns(ranked, shown, columns, row_bound=ranked.count()))
 
 
-def _new_record(facts: DataFrame, markdown: DataFrame, html: DataFrame, as_of) -> DataFrame:
-    return (
-        facts.join(markdown.withColumnRenamed("content", "content_markdown"), "period")
-        .join(html.withColumnRenamed("content", "content_html"), "period")
-        .withColumns({
-            "is_sent": F.lit(False),
-            "sent_at": F.lit(None).cast("timestamp_ntz"),
-            "created_at": as_of_literal(as_of),
-        })
-    )
+_TEXTS = ("content_markdown", "content_html")
+
 
+def _new_record(facts: DataFrame, pool: DataFrame, ranked: DataFrame, write: Callable, as_of, texts: bool) -> DataFrame:
+    """Facts of the periods as records, with their rendered texts if asked for."""
+    made = facts
+    if texts:
+        wide = _wide(ranked, pool)
+        for name, html in zip(_TEXTS, (False, True)):
+            made = made.join(write(wide, facts, html=html).withColumnRenamed("content", name), "period")
+    return made.withColumns({
+        "is_sent": F.lit(False),
+        "sent_at": F.lit(None).cast("timestamp_ntz"),
+        "created_at": as_of_literal(as_of),
+    })
 
-def daily_digests(items: DataFrame, as_of, first=None, last=None, weights: Weights = Weights(), **limits) -> Digests:
-    """One digest per day that has items. ``first`` and ``last`` bound the days."""
-    _, counts, best = _ranked(items, "daily", first, last, weights, limits)
+
+def daily_digests(items: DataFrame, as_of, first=None, last=None, weights: Weights = Weights(), texts: bool = True, **limits) -> Digests:
+    """One digest per day that has items. ``first`` and ``last`` bound the days.
+
+    Without ``texts`` no item text is read and the records have no rendered columns.
+    """
+    pool, counts, best = _ranked(items, "daily", first, last, weights, limits)
     ranked = cut_lineage(ranking.with_category(best))
     totals = stats.period_facts(counts).drop("sources_count")
     facts = cut_lineage(stats.digest_facts(ranked).join(totals, "period"))
-    wide = _wide(ranked, items)
-    records = _new_record(facts, render.render_daily(wide, facts), render.render_daily(wide, facts, html=True), as_of)
+    records = _new_record(facts, pool, ranked, render.render_daily, as_of, texts)
     return Digests(
         records.select(F.col("period").alias("digest_date"), "item_count", "total_collected", "sources",
-                       "categories", "content_markdown", "content_html", "is_sent", "sent_at", "created_at"),
+                       "categories", *(_TEXTS if texts else ()), "is_sent", "sent_at", "created_at"),
         ranking.digest_entries(ranked, "daily"),
     )
 
@@ -89,19 +97,18 @@ def weekly_facts(pool: DataFrame, counts: DataFrame, ranked: DataFrame, topics:
     )
 
 
-def weekly_summaries(items: DataFrame, as_of, first=None, last=None, weights: Weights = Weights(), **limits) -> Digests:
-    """One summary per week that has items; ``period`` is its Monday."""
+def weekly_summaries(items: DataFrame, as_of, first=None, last=None, weights: Weights = Weights(), texts: bool = True, **limits) -> Digests:
+    """One summary per week that has items; ``period`` is its Monday. ``texts`` as in ``daily_digests``."""
     pool, counts, best = _ranked(items, "weekly", first, last, weights, limits)
     ranked = cut_lineage(ranking.with_day(best))
     facts = cut_lineage(weekly_facts(pool, counts, ranked))
-    wide = _wide(ranked, items)
-    records = _new_record(facts, render.render_weekly(wide, facts), render.render_weekly(wide, facts, html=True), as_of)
+    records = _new_record(facts, pool, ranked, render.render_weekly, as_of, texts)
     return Digests(
         records.select(
             F.col("period").alias("week_start"), F.date_add("period", 7).alias("week_end"),
             "item_count", "total_collected", "sources_count",
             F.transform("topics", lambda t: t["topic"]).alias("top_topics"),
-            "content_markdown", "content_html", "is_sent", "sent_at", "created_at",
+            *(_TEXTS if texts else ()), "is_sent", "sent_at", "created_at",
         ),
         ranking.digest_entries(ranked, "weekly"),
     )

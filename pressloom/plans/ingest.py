@@ -60,7 +60,7 @@ def same_url_in_batch(verdicts: DataFrame) -> DataFrame:
 def ingest(
     batch: DataFrame, stored: DataFrame, cands: DataFrame, run_id: str, as_of,
     failed: DataFrame | None = None, feed_log: DataFrame | None = None,
-    threshold: float = dedup.SIMILARITY, gate: str = "after_best", cap: int | None = dedup.CANDIDATE_CAP,
+    threshold: float = dedup.SIMILARITY, gate: str = "after_best", cap: int | None = None,
     collector_type: str = "rss", completed_at=None,
 ) -> Outcome:
     """Judge a batch (one row per id, with ``embedding``) against stored items; describe what it adds.
@@ -70,7 +70,7 @@ def ingest(
     here; the caller writes the parts.
     """
     narrow = batch.select("id", "url", "published_at", "embedding")
-    judged = dedup.dedup_batch_cascade(narrow, stored, cands, threshold, gate, cap).drop("embedding")
+    judged = cut_lineage(dedup.dedup_batch_cascade(narrow, stored, cands, threshold, gate, cap).drop("embedding"))
     verdicts = cut_lineage(same_url_in_batch(judged))
     keys = cut_lineage(tables.new_keys(verdicts.where("not is_duplicate"), stored))
     added = batch.join(keys.select("id"), "id", "left_semi").withColumns({

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The checkpoint folder of the cluster; a temporary one only where none is set."""
+    """The checkpoint folder of the cluster. A temporary one only in local mode, where all tasks run in one
+    process on one machine; on a cluster each executor would write to its own disk."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named
@@ -20,6 +21,9 @@ def shared_root(spark: SparkSession) -> str:
     current = context.getCheckpointDir()
     if current.isDefined():
         return current.get()
+    master = spark.sparkContext.master
+    if not (master == "local" or master.startswith("local[")):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="pressloom-"))
     return context.getCheckpointDir().get()
 

@@ -59,7 +59,7 @@ def test_title_case(one):
 
 
 def test_similarity_text(one):
-    got = one(lambda c: text.similarity_text(F.lit("T"), c, F.lit("d.org")), ["b" * 500, "b" * 501])
+    got = one(lambda c: text.similarity_text(F.lit("T"), c, F.lit("d.org"), 500), ["b" * 500, "b" * 501])
     assert got == [f"Title: T\n\nContent: {'b' * 500}\n\nSource: d.org", f"Title: T\n\nContent: {'b' * 500}...\n\nSource: d.org"]
 
 
@@ -93,7 +93,8 @@ def test_hashes(one):
     sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
     assert one(lambda c: hashing.item_id(c, F.lit("T")), ["http://a/"]) == [sha("http://a/T")]
     assert one(hashing.title_hash, ["ÄB"]) == [sha("äb")]
-    assert one(hashing.content_hash, ["X" * 600]) == [sha("x" * 500)]
+    assert one(hashing.content_hash, ["X" * 600]) == [sha("x" * 600)]
+    assert one(lambda c: hashing.content_hash(c, 500), ["X" * 600]) == [sha("x" * 500)]
     assert one(lambda c: hashing.cache_key(c, "m"), ["t"]) == [sha("m:t")]
 
 

@@ -37,7 +37,7 @@ def test_validation_splits_items(spark):
     df = items(spark, item("ok", url=" https://a.org//x ", title=" A\x00 b ", summary="s" * 1001), item("bad", url="ftp://a.org"))
     good, refused = validate.validate_items(df)
     (row,) = good.collect()
-    assert (row.url, row.title, len(row.summary)) == ("https://a.org/x", "A b", 1003)
+    assert (row.url, row.title, len(row.summary)) == ("https://a.org/x", "A b", 1001)
     assert [(r.id, r.reject_reason) for r in refused.collect()] == [("bad", "scheme")]
 
 

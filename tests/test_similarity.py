@@ -72,14 +72,11 @@ def test_large_within_days(spark, data):
     assert found(got) == brute(q, c, 0.8, 3, days, 5)
 
 
-def test_large_without_k_reports_copies_once(spark, data):
+def test_large_without_k_reports_all(spark, data):
     q, c = data
     qs, cs = tables(spark, q, c)
     got = similarity.top_similar_large(qs, cs, 0.8, None, pivots=4, candidate_block=16, query_block=16)
-    distinct = {tuple(v): f"c{j:04d}" for j, v in reversed(list(enumerate(c.tolist())))}
-    expected = {k: [h for h in hits if h in distinct.values()] for k, hits in brute(q, c, 0.8, None).items()}
-    assert found(got) == expected
-    assert {r.cand_id: r.copies for r in got.collect()}.get("c0000") in (None, 51)
+    assert found(got) == brute(q, c, 0.8, None)
 
 
 def test_small_refuses_more_than_its_bound(spark, data):
