@@ -162,8 +162,15 @@ def _(spark, sf):
     return st.table(spark, sf, "documents").select("doc_id", text.preview(F.col("text")).alias("preview"))
 
 
+# The entities of the sample pages. The ampersand must come last.
+_ENTITIES = (
+    ("&nbsp;?", "\u00a0"), ("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&apos;", "'"), ("&#39;?", "'"),
+    ("&copy;?", "\u00a9"), ("&middot;?", "\u00b7"), ("&hellip;", "\u2026"), ("&mdash;", "\u2014"), ("&ndash;", "\u2013"), ("&amp;?", "&"),
+)
+
+
 def _entities_sql(c: str) -> str:
-    for name, char in markup.ENTITIES:
+    for name, char in _ENTITIES:
         c = f"regexp_replace({c}, '{name}', '{char.replace(chr(39), chr(39) * 2)}', 'g')"
     return c
 
@@ -183,7 +190,7 @@ def _(spark, sf):
 SELECT page_id, {_entities_sql(f"replace({_PIECES}, chr(30), ' ')")} AS text FROM pages""")
 def _(spark, sf):
     return st.table(spark, sf, "pages").select(
-        "page_id", markup.exact_markup_to_text(F.col("html"), " ").alias("text")
+        "page_id", markup.markup_to_text(F.col("html"), " ").alias("text")
     )
 
 

@@ -1,6 +1,7 @@
 """Column functions on literal values: nulls, boundaries, odd characters."""
 
 import hashlib
+import html
 import math
 from datetime import datetime
 from urllib.parse import urlparse
@@ -106,9 +107,17 @@ def test_markup_to_text(one):
         "cut off &amp": "cut off &",
     }
     assert one(markup.markup_to_text, list(cases)) == list(cases.values())
-    assert one(markup.exact_markup_to_text, list(cases)) == list(cases.values())
     assert one(lambda c: markup.markup_to_text(c, " "), ["<p>x</p><p>y</p>"]) == ["x y"]
-    assert one(markup.exact_markup_to_text, ["&#x41;&eacute;<a title='>'>z</a>"]) == ["Aéz"]
+    assert one(markup.markup_to_text, ["&#x41;&eacute;<a title='>'>z</a>"]) == ["Aéz"]
+    assert one(markup.markup_to_text, ["<p>a < b and c > d</p>", "1 <2 <i>x</i>"]) == ["a < b and c > d", "1 <2x"]
+
+
+def test_entities_as_the_standard_library_reads_them(one):
+    written = [
+        "&#8217;&rsquo;&euro;&#146;&#x2019;", "&notit; &notin; &not", "&ampamp;&amp;lt;", "a & b &; &# &#x; &unknown; &copy2", "&#0;&#xD800;&#99999999;",
+        "&NotEqualTilde;&Eacute&eacute", "&amp", "no references", "", "x&lt;y&gt;&nbsp;z",
+    ]
+    assert one(markup.decode_entities, written) == [html.unescape(t) for t in written]
 
 
 def test_escape_markup(one):
@@ -130,6 +139,22 @@ def test_escape_markup(one):
     ("Jan 15, 2024", "2024-01-15 00:00:00"),
     ("January 15, 2024 10:30", "2024-01-15 10:30:00"),
     ("Sept. 5, 2024", "2024-09-05 00:00:00"),
+    ("Mon, 29 Jan 2024 10:00:00 CET", "2024-01-29 09:00:00"),
+    ("29/01/2024 10:00", "2024-01-29 10:00:00"),
+    ("01/29/2024 10:00", "2024-01-29 10:00:00"),
+    ("29.01.2024 10:00", "2024-01-29 10:00:00"),
+    ("Jan 29, 2024 10:00 AM", "2024-01-29 10:00:00"),
+    ("Jan 29, 2024 10:00:05 p.m. GMT", "2024-01-29 22:00:05"),
+    ("Jan 29, 2024 12:10 AM +0100", "2024-01-28 23:10:00"),
+    ("20240129T100000Z", "2024-01-29 10:00:00"),
+    ("20240129", "2024-01-29 00:00:00"),
+    ("20240129T1000+0200", "2024-01-29 08:00:00"),
+    ("Mon Jan 29 10:00:00 2024", "2024-01-29 10:00:00"),
+    ("Mon Jan 29 10:00:00 EST 2024", "2024-01-29 15:00:00"),
+    ("Mon, 29 Jan 2024 10:00:00 +0000 (UTC)", "2024-01-29 10:00:00"),
+    ("Mon, 29 Jan 24 10:00:00 GMT", "2024-01-29 10:00:00"),
+    ("29-Jan-24 10:00", "2024-01-29 10:00:00"),
+    ("29 Jan 99", "1999-01-29 00:00:00"),
     ("  Mon,  15 Jan 2024\n10:00:00 Z ", "2024-01-15 10:00:00"),
     ("yesterday", None), ("", None), (None, None), ("2024-13-45", None),
 ])
