@@ -1,26 +1,22 @@
 """Feed files (RSS 2.0, RDF, Atom) to items.
 
-Feeds lie in folders ``source=<name>/``. Every file is read by one task; a folder of many
-feeds is read by many. Files that cannot be parsed yield no entries and stop nothing.
+Feeds lie in folders ``source=<name>/``. A file is one poll of one feed and is read whole; a folder of
+many feeds is read by many tasks. Text that is no entry yields nothing and stops nothing.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from pressloom.functions import hashing
 from pressloom.functions.dates import as_of_literal, parse_date
-from pressloom.functions.markup import markup_to_text
+from pressloom.functions.markup import escape_markup, markup_to_text
 from pressloom.functions.text import clean_tags, strip, truncated
 from pressloom.operators.filters import require_title_link
 
 _TEXTS = ("title", "link", "description", "content:encoded", "summary", "pubDate", "published", "updated",
           "dc:date", "dc:creator", "author", "guid")
-RSS_SCHEMA = T.StructType(
-    [T.StructField(n, T.StringType()) for n in _TEXTS] + [T.StructField("category", T.ArrayType(T.StringType()))]
-)
 # Tags and metadata of preprints.
 PREPRINT_MARK = "arxiv"
 ABSTRACT_PATH = "arxiv.org/abs/"
@@ -32,71 +28,68 @@ _ATOM_DDL = (
 )
 
 
-def _options(reader, tag: str):
-    return reader.format("xml").options(
-        rowTag=tag, mode="PERMISSIVE", ignoreCorruptFiles="true", multiLine="true"
-    )
+_RSS_DDL = ", ".join(f"`{n}` string" for n in _TEXTS) + ", category array<string>"
+# Fixed value: the references that XML itself knows.
+_XML_REFERENCE = r"&(?!(?:amp|lt|gt|quot|apos|#\d+|#[xX][0-9a-fA-F]+);)"
 
 
 def _none(kind: str = "string") -> Column:
     return F.lit(None).cast(kind)
 
 
-def _position(df: DataFrame) -> Column:
-    """Order of the entries within a file, which one task reads; streams have none."""
-    return F.lit(0).cast("long") if df.isStreaming else F.monotonically_increasing_id()
-
-
-def rss_entries(df: DataFrame, source: str = "source") -> DataFrame:
-    """RSS and RDF rows in the common entry shape."""
-    return df.select(
-        F.col(source).alias("source"),
-        _position(df).alias("entry_pos"),
-        "title", "link",
-        F.col("`content:encoded`").alias("content"),
-        F.coalesce("summary", "description").alias("summary"),
-        F.coalesce("published", "pubDate").alias("published"),
-        "updated",
-        F.col("`dc:date`").alias("dc_date"),
-        F.col("`dc:creator`").alias("dc_creator"),
-        "author",
-        _none("array<string>").alias("authors"),
-        "guid",
-        F.col("category").alias("categories"),
-    )
-
-
-def atom_entries(df: DataFrame, source: str = "source") -> DataFrame:
-    """Atom rows in the common entry shape; the link is the alternate one."""
-    plain = F.filter("link", lambda x: x["_rel"].isNull() | (x["_rel"] == "alternate"))
-    names = F.filter(F.transform("author", lambda a: a["name"]), lambda n: n.isNotNull())
-    return df.select(
-        F.col(source).alias("source"),
-        _position(df).alias("entry_pos"),
-        "title",
-        F.coalesce(F.get(plain, 0), F.get("link", 0))["_href"].alias("link"),
-        "content", "summary", "published", "updated",
-        _none().alias("dc_date"), _none().alias("dc_creator"),
-        F.when(F.size(names) == 1, names[0]).alias("author"),
+def _repaired(xml: Column) -> Column:
+    """XML text that a strict parser accepts: character data sections written out, and every '&' that begins no
+    XML reference taken for itself, so that a named entity stays in the text for the later decoding."""
+    # Even pieces lie outside of the sections, odd ones inside.
+    pieces = F.split(xml, r"<!\[CDATA\[|\]\]>")
+    outside = lambda p: F.regexp_replace(p, _XML_REFERENCE, "&amp;")
+    return F.array_join(F.transform(pieces, lambda p, i: F.when(i % 2 == 0, outside(p)).otherwise(escape_markup(p))), "")
+
+
+def feed_entries(files: DataFrame, source: str = "source") -> DataFrame:
+    """The entries of feed files, one row of text (``value``) and ``source`` each, in the common entry shape.
+
+    RSS and RDF items and Atom entries are cut out of the text one by one and read by themselves: a flaw in one
+    costs that one, and a file that ends early keeps its whole entries. ``entry_pos`` is the file and the place in it.
+    """
+    blocks = F.regexp_extract_all(_repaired(F.col("value")), F.lit(r"(?s)(<(item|entry)(?=[\s>]).*?</\2\s*>)"), F.lit(1))
+    cut = files.select(F.col(source).alias("source"), F.col("_metadata.file_path").alias("file"), F.posexplode(blocks).alias("place", "block"))
+    options = {"mode": "PERMISSIVE"}
+    is_rss = F.col("block").startswith("<item")
+    read = cut.select(
+        "source", F.struct("file", "place").alias("entry_pos"),
+        F.when(is_rss, F.from_xml("block", _RSS_DDL, {**options, "rowTag": "item"})).alias("r"),
+        F.when(~is_rss, F.from_xml("block", _ATOM_DDL, {**options, "rowTag": "entry"})).alias("a"),
+    ).where(F.col("r").isNotNull() | F.col("a").isNotNull())
+    plain = F.filter("a.link", lambda x: x["_rel"].isNull() | (x["_rel"] == "alternate"))
+    names = F.filter(F.transform("a.author", lambda n: n["name"]), lambda n: n.isNotNull())
+    rss, atom = (lambda n: F.col(f"r.`{n}`")), (lambda n: F.col(f"a.{n}"))
+    return read.select(
+        "source", "entry_pos",
+        F.coalesce(rss("title"), atom("title")).alias("title"),
+        # The alternate link of an Atom entry.
+        F.coalesce(rss("link"), F.coalesce(F.get(plain, 0), F.get("a.link", 0))["_href"]).alias("link"),
+        F.coalesce(rss("content:encoded"), atom("content")).alias("content"),
+        F.coalesce(rss("summary"), rss("description"), atom("summary")).alias("summary"),
+        F.coalesce(rss("published"), rss("pubDate"), atom("published")).alias("published"),
+        F.coalesce(rss("updated"), atom("updated")).alias("updated"),
+        rss("dc:date").alias("dc_date"), rss("dc:creator").alias("dc_creator"),
+        F.coalesce(rss("author"), F.when(F.size(names) == 1, F.get(names, 0))).alias("author"),
         names.alias("authors"),
-        F.col("id").alias("guid"),
-        F.transform("category", lambda c: c["_term"]).alias("categories"),
+        F.coalesce(rss("guid"), atom("id")).alias("guid"),
+        F.coalesce(rss("category"), F.transform("a.category", lambda c: c["_term"])).alias("categories"),
     )
 
 
 def read_feeds(spark: SparkSession, path: str, source: str = "source") -> DataFrame:
-    """All entries of all feeds below ``path``."""
-    rss_schema = T.StructType([*RSS_SCHEMA.fields, T.StructField(source, T.StringType())])
-    rss = rss_entries(_options(spark.read, "item").schema(rss_schema).load(path), source)
-    atom = atom_entries(_options(spark.read, "entry").schema(f"{_ATOM_DDL}, {source} string").load(path), source)
-    return rss.unionByName(atom)
+    """All entries of all feeds below ``path``, in one pass over the files."""
+    return feed_entries(spark.read.schema(f"value string, {source} string").text(path, wholetext=True), source)
 
 
 def read_feed_stream(spark: SparkSession, path: str, source: str = "source", files_per_trigger: int = 10_000) -> DataFrame:
-    """RSS and RDF entries of feed files as they arrive."""
-    schema = T.StructType([*RSS_SCHEMA.fields, T.StructField(source, T.StringType())])
-    reader = _options(spark.readStream, "item").schema(schema).option("maxFilesPerTrigger", files_per_trigger)
-    return rss_entries(reader.load(path), source)
+    """Entries of feed files as they arrive, of every kind of feed."""
+    reader = spark.readStream.schema(f"value string, {source} string").option("maxFilesPerTrigger", files_per_trigger)
+    return feed_entries(reader.text(path, wholetext=True), source)
 
 
 def _item(df: DataFrame, as_of) -> DataFrame:

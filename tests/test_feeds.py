@@ -111,5 +111,25 @@ def test_feed_stream_reads_like_the_batch(spark, folder, tmp_path):
     stream = feeds.normalise(feeds.read_feed_stream(spark, folder), AS_OF).select("id", "url", F.col("title"))
     streams.run_to_table(stream, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
     got = spark.read.parquet(str(tmp_path / "out"))
-    batch = feeds.normalise(feeds.read_feeds(spark, folder), AS_OF).where("source != 'atom'").select("id", "url", "title")
+    batch = feeds.normalise(feeds.read_feeds(spark, folder), AS_OF).select("id", "url", "title")
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, batch.collect()))
+
+
+def test_flaws_cost_one_entry(spark, tmp_path):
+    folder = tmp_path / "source=flawed"
+    folder.mkdir()
+    (folder / "b.xml").write_text(HEAD + """<rss version="2.0"><channel><title>F</title>
+<item><title>Cats & dogs</title><link>https://w.org/1?a=1&b=2</link><description>It&rsquo;s &nbsp;fine &amp; well &#8212; 1 &lt; 2</description></item>
+<item><title>Bad <b>nesting</title><link>https://w.org/2</link></item>
+<item><title>After</title><link>https://w.org/3</link><description><![CDATA[<p>Tea &amp; <b>cake</b> a&b]]></description></item>
+<item><title>Cut off</title><link>https://w.org/4</link>""", encoding="utf-8")
+    (folder / "a.xml").write_text(HEAD + "<rss><channel><items/><item><title>Earlier file</title><link>https://w.org/0</link></item></channel></rss>", encoding="utf-8")
+    entries = feeds.read_feeds(spark, str(tmp_path))
+    assert entries._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    got = {r.url: r for r in feeds.normalise(entries, AS_OF).collect()}
+    assert set(got) >= {"https://w.org/0", "https://w.org/1?a=1&b=2", "https://w.org/3"} and "https://w.org/4" not in got
+    first = got["https://w.org/1?a=1&b=2"]
+    assert (first.title, first.content) == ("Cats & dogs", "It\u2019s \u00a0fine & well \u2014 1 < 2")
+    assert got["https://w.org/3"].content == "Tea &cakea&b"
+    order = [r.title for r in entries.orderBy("source", "entry_pos").collect() if r.title]
+    assert order[:2] == ["Earlier file", "Cats & dogs"]
