@@ -12,9 +12,9 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
-from pyspark.sql.types import LongType, StructField, StructType
+from pyspark.sql.types import DateType, LongType, StructField, StructType
 
-from pressloom.operators import registry
+from pressloom.operators import dedup, registry
 from pressloom.sources import tables
 
 # Fixed value: how late an item may be, in step with the age limit of batches.
@@ -51,23 +51,36 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     )
 
 
+def new_in_batch(batch: DataFrame, stored: DataFrame, threshold: float = dedup.SIMILARITY) -> DataFrame:
+    """Rows of a batch that are no duplicates of stored items, by url and, where both sides have an
+    ``embedding``, by meaning. The window of candidates ends with the newest item of the batch."""
+    if "embedding" not in batch.columns or "embedding" not in stored.columns:
+        verdicts = dedup.match_url(batch.select("id", "url", "published_at"), stored)
+    else:
+        newest = batch.agg(F.max("published_at")).first()[0]
+        flagged = stored if "is_duplicate" in stored.columns else stored.withColumn("is_duplicate", F.lit(False))
+        cands = dedup.candidates(flagged, newest) if newest else flagged
+        narrow = batch.select("id", "url", "published_at", "embedding")
+        verdicts = dedup.dedup_batch_cascade(narrow, stored, cands, threshold)
+    return batch.join(verdicts.where("is_duplicate").select("id"), "id", "left_anti")
+
+
 def item_sink(
-    items_path: str, registry_path: str, judge: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+    items_path: str, registry_path: str, judge: Callable[[DataFrame, DataFrame], DataFrame] = new_in_batch,
 ) -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function: new items to the item table, sightings to the registry log.
 
     Both writes are keyed by the batch number and replace what an interrupted run of the same
-    batch left, so a replay changes nothing. ``judge(batch, stored)`` may drop duplicates by
-    meaning before items are stored.
+    batch left, so a replay changes nothing. ``judge(batch, stored)`` drops duplicates before items
+    are stored. Items lie by batch and day, so ``tables.read_items`` reads them and days are pruned.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch = batch.persist(StorageLevel.MEMORY_AND_DISK)  # read by both writes
         try:
             stored = stored_items(batch.sparkSession, items_path, batch.schema, before=batch_id)
-            kept = judge(batch, stored) if judge else batch
-            fresh = tables.new_items(kept, stored)
-            fresh.write.mode("overwrite").parquet(f"{items_path}/batch_id={batch_id:09d}")
+            fresh = tables.new_items(judge(batch, stored), stored)
+            tables.write_items(fresh, f"{items_path}/batch_id={batch_id:09d}", mode="overwrite")
             sightings = registry.merge_registry(registry.registry_rows(batch))
             sightings.write.mode("overwrite").parquet(f"{registry_path}/batch_id={batch_id:09d}")
         finally:
@@ -82,11 +95,11 @@ def stored_items(spark, path: str, schema, before: int | None = None) -> DataFra
     folder = jvm.org.apache.hadoop.fs.Path(path)
     if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
         return spark.createDataFrame([], schema)
-    numbered = StructType([*schema.fields, StructField("batch_id", LongType())])
+    numbered = StructType([*schema.fields, StructField("batch_id", LongType()), StructField("published_date", DateType())])
     out = spark.read.schema(numbered).parquet(path)
     if before is not None:
         out = out.where(F.col("batch_id") < before)
-    return out.drop("batch_id")
+    return out.drop("batch_id", "published_date")
 
 
 def registry_now(spark, path: str) -> DataFrame:

@@ -102,6 +102,24 @@ def test_item_sink_with_a_judge(spark, tmp_path):
     assert [r.id for r in streams.stored_items(spark, str(tmp_path / "i"), batch.schema).collect()] == ["a"]
 
 
+def test_item_sink_judges_by_url_and_meaning(spark, tmp_path):
+    vector = lambda df, **by_id: df.withColumn("embedding", F.coalesce(*[
+        F.when(F.col("id") == k, F.array(*map(F.lit, v))) for k, v in by_id.items()
+    ]))
+    first = vector(items(spark, item("a"), item("b")), a=[1.0, 0.0], b=[0.0, 1.0])
+    second = vector(items(spark, item("c"), item("d", url="https://x.org/b"), item("e"), item("f")), c=[1.0, 0.01], d=[1.0, 1.0], e=[-1.0, 0.3])
+    path = str(tmp_path / "items")
+    sink = streams.item_sink(path, str(tmp_path / "registry"))
+    stored = lambda: sorted(r.id for r in tables.read_items(spark, path).collect())
+    sink(first, 0)
+    sink(second, 1)
+    assert stored() == ["a", "b", "e", "f"]
+    sink(second, 1)
+    assert stored() == ["a", "b", "e", "f"]
+    plan = tables.read_items(spark, path).where("published_date = DATE'2024-01-30'")._jdf.queryExecution().executedPlan().toString()
+    assert "published_date" in plan.split("PartitionFilters: [")[1].split("]")[0]
+
+
 @pytest.mark.parametrize("order", [(0, 1, 2), (2, 0, 1)])
 def test_registry_parts_merge_in_any_order(spark, order):
     parts = [registry.registry_rows(items(spark, item(f"i{n}", url="u", collected_at=days_before(n)))) for n in range(3)]
