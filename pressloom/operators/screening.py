@@ -223,6 +223,7 @@ def screening_counts(flagged: DataFrame, by: str = "source") -> DataFrame:
 
 def wrap_untrusted(content: Column, source: Column) -> Column:
     """Mark text from outside so that it is not taken for instructions."""
+    # The marks and the note, as their readers expect them.
     return F.concat(
         F.lit('\n<UNTRUSTED_CONTENT source="'), source, F.lit('">\n'), content,
         F.lit(

@@ -108,3 +108,13 @@ def test_no_local_scratch_on_a_cluster():
         scratch.shared_root(session)
     session.conf["spark.checkpoint.dir"] = "hdfs://shared"
     assert scratch.shared_root(session) == "hdfs://shared"
+
+
+def test_scratch_goes_with_its_scope(spark):
+    from pathlib import Path
+
+    with scratch.temporary(spark):
+        kept = scratch.cut_lineage(spark.range(3))
+        folder = Path(kept.inputFiles()[0].removeprefix("file://")).parent
+        assert kept.count() == 3 and folder.exists()
+    assert not folder.exists()
