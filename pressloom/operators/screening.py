@@ -203,15 +203,38 @@ def sanitize(docs: DataFrame, text: str = "text") -> DataFrame:
     return redacted.withColumn("sanitized", tidy_unicode(F.col("redacted"))).drop("redacted")
 
 
-_HIDDEN_ELEMENT = (
-    r"(?is)<([a-z][a-z0-9]*)\b[^>]*style\s*=\s*(?:\"[^\"]*|'[^']*)"
-    r"(?:display:\s*none|visibility:\s*hidden)[^>]*>.*?</\1\s*>"
-)
+_HIDDEN_TAG = r"(?is)<([a-z][a-z0-9]*)\b[^>]*style\s*=\s*(?:\"[^\"]*|'[^']*)(?:display:\s*none|visibility:\s*hidden)[^>]*>"
+_HIDDEN_ELEMENT = _HIDDEN_TAG + r".*?</\1\s*>"
+
+
+def _without_hidden(c: Column) -> Column:
+    """A page without its hidden elements, whatever is nested in them.
+
+    The page is cut before its tags and passed once; inside a hidden element its own tag names are counted up and
+    down. If an element is never closed, elements end at the first end tag of their name instead.
+    """
+    none = F.array().cast("array<string>")
+
+    def step(s: Column, piece: Column) -> Column:
+        name = F.lower(F.regexp_extract(piece, r"^</?([a-zA-Z][a-zA-Z0-9]*)", 1))
+        inside, same = s["name"] != "", name == s["name"]
+        depth = s["depth"] + F.when(~same, 0).when(piece.startswith("</"), -1).otherwise(1)
+        begins, ends = ~inside & piece.rlike(f"^{_HIDDEN_TAG}"), inside & (depth == 0)
+        shown = F.when(ends, F.regexp_replace(piece, r"^<[^>]*>", "")).when(~inside & ~begins, piece)
+        return F.struct(
+            F.when(begins, name).when(ends, "").otherwise(s["name"]).alias("name"),
+            F.when(begins, 1).when(inside, depth).otherwise(0).alias("depth"),
+            F.when(shown.isNull(), s["out"]).otherwise(F.array_append(s["out"], shown)).alias("out"),
+        )
+
+    start = F.struct(F.lit("").alias("name"), F.lit(0).alias("depth"), none.alias("out"))
+    whole = F.aggregate(F.split(c, "(?=<[a-zA-Z/])"), start, step, lambda s: F.when(s["name"] == "", F.array_join(s["out"], "")))
+    return F.when(c.rlike(_HIDDEN_TAG), F.coalesce(whole, F.regexp_replace(c, _HIDDEN_ELEMENT, ""))).otherwise(c)
 
 
 def visible_text(c: Column) -> Column:
-    """Text of a page without elements hidden by their own style (not nested in one another)."""
-    return markup_to_text(F.regexp_replace(c, _HIDDEN_ELEMENT, ""))
+    """Text of a page without elements hidden by their own style."""
+    return markup_to_text(_without_hidden(c))
 
 
 def screening_counts(flagged: DataFrame, by: str = "source") -> DataFrame:

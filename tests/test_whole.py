@@ -118,3 +118,16 @@ def test_scratch_goes_with_its_scope(spark):
         folder = Path(kept.inputFiles()[0].removeprefix("file://")).parent
         assert kept.count() == 3 and folder.exists()
     assert not folder.exists()
+
+
+def test_nested_hidden_elements(one):
+    from pressloom.operators import screening
+
+    pages = {
+        '<p>a</p><div style="display:none">b<div>c</div>d<p>e</p></div><p>f</p>': "af",
+        "<DIV style='visibility: hidden'><div><div>x</div></div></DIV>rest": "rest",
+        '<p style="display:none">x</p>y<p style="display: none">never closed': "ynever closed",
+        '<span style="display:none">x</span><b>y</b><i style="color:red">z</i>': "yz",
+        "no tags at all": "no tags at all", None: "",
+    }
+    assert one(screening.visible_text, list(pages)) == list(pages.values())
