@@ -122,6 +122,24 @@ def previous_factors(order: np.ndarray, lcp: np.ndarray, first: np.ndarray) -> n
 def repeated(segments: list[bytes], length: int, keep: str) -> list[list[tuple[int, int]]]:
     """For each segment the ranges of its windows that an earlier one repeats (``keep="first"``), or any
     other one (``keep="none"``). Segments come in their order; ranges are of first bytes of windows."""
+    out: list[list[tuple[int, int]]] = [[] for _ in segments]
+    # Segments without a window whose hash comes twice are not worth sorting.
+    chosen = _with_common_windows(segments, length)
+    for s, ranges in zip(chosen, _repeated([segments[s] for s in chosen], length, keep) if chosen else ()):
+        out[s] = ranges
+    return out
+
+
+def _with_common_windows(segments: list[bytes], length: int) -> list[int]:
+    hashes = [rolling(np.frombuffer(s, np.uint8), length) for s in segments]
+    owner = np.repeat(np.arange(len(segments)), [len(h) for h in hashes])
+    every = np.concatenate([np.zeros(0, np.uint64), *hashes])
+    order = np.argsort(every)
+    same = every[order[1:]] == every[order[:-1]]
+    return np.unique(np.r_[owner[order[1:][same]], owner[order[:-1][same]]]).tolist()
+
+
+def _repeated(segments: list[bytes], length: int, keep: str) -> list[list[tuple[int, int]]]:
     sizes = np.array([len(s) for s in segments], np.int64)
     starts = np.cumsum(sizes + 1) - sizes - 1
     codes = np.zeros(int(sizes.sum() + len(sizes)), np.int64)
