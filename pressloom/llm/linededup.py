@@ -9,9 +9,10 @@ so every line is indexed by (length, number, segment), and probes the index with
 itself that a segment of a line as long or up to ``EDITS`` characters shorter could have become: those
 within as many places of it as edits before and after it allow.
 
-* Keys are hashed and counted without any text. A key that only one line has is done with.
+* Keys are hashes and meet without any text. A key that only one line has is done with; the texts of the
+  lines that share one are fetched afterwards.
 * The lines of the other keys meet in a join. Its condition first compares 64-bit masks of their
-  character pairs, then the banded bit-parallel edit distance, so pairs that are not links do not
+  characters, pairs and triples, then the banded bit-parallel edit distance, so pairs that are not links do not
   leave the join.
 * Equal lines are one line from the start; a line with more than a thousandth of all occurrences is
   keyed at its first one only.
@@ -25,7 +26,10 @@ keep. Ids in order, null last. Other columns pass through.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressloom.llm.components import components
@@ -36,13 +40,18 @@ EDITS = 2
 LEAST = 20
 #: A line with more than this part of all occurrences is keyed once.
 HOT = 1_000
+#: Lengths of the runs of characters that lines are compared by before their distance is found.
+RUNS = (1, 2, 3)
 _ENDS = " \t\r\v\f"
 
 
 def occurrences(df: DataFrame) -> DataFrame:
     """``doc_id, mark, pos, line, n`` and two hashes ``h1, h2`` of every line that takes part."""
-    lines = df.select("doc_id", mark().alias("mark"), F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
-    lines = lines.withColumn("line", F.btrim("line", F.lit(_ENDS))).withColumn("n", F.length("line")).where(F.col("n") >= LEAST)
+    # Everything a line needs is made inside the list, so that it is made once and not in each use.
+    trimmed = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(_ENDS)))
+    sized = F.transform(trimmed, lambda x, i: F.struct(i.alias("pos"), x.alias("line"), F.length(x).alias("n")))
+    lines = df.select("doc_id", mark().alias("mark"), F.explode(F.filter(sized, lambda s: s["n"] >= LEAST)).alias("_line"))
+    lines = lines.select("doc_id", "mark", "_line.*")
     return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(1))})
 
 
@@ -50,39 +59,59 @@ def mark() -> Column:
     return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
 
 
-def _segment(length: Column, i: int, edits: int) -> tuple[Column, Column]:
-    """(start from 0, size) of segment ``i`` (from 0) of a line: the last ones are longer if need be."""
-    base = F.floor(length / (edits + 1))
-    longer = length - base * (edits + 1)
-    first_longer = edits + 1 - longer
-    return base * i + F.greatest(F.lit(0), i - first_longer), base + F.when(i >= first_longer, 1).otherwise(0)
-
+def _tries(edits: int) -> list[tuple[bool, int, int, int]]:
+    """(probe, segment, how much shorter the other line is, shift) of all keys of a line.
 
-def keys(line: Column, n: Column, edits: int = EDITS) -> Column:
-    """``array<struct<probe boolean, key long>>``: the segments of a line and the substrings it probes with."""
-    out = []
-    key = lambda length, i, at, size: F.xxhash64(length, F.lit(i), F.substring(line, (at + 1).cast("int"), size.cast("int")))
-    for i in range(edits + 1):
-        at, size = _segment(n, i, edits)
-        out.append(F.struct(F.lit(False).alias("probe"), key(n, i, at, size).alias("key")))
+    A line of the same length meets an unmoved segment as its own segment, so that is no probe. Up to two edits
+    move a segment of it by one only if one line has an insertion before and a deletion behind it; seen from
+    that line the move is forward, so moves back need no probe.
+    """
+    out = [(False, i, 0, 0) for i in range(edits + 1)]
     for shorter in range(edits + 1):
-        length = n - shorter
         for i in range(edits + 1):
-            at, size = _segment(length, i, edits)
             # Edits before the segment move it by i at most, edits behind it by edits - i.
-            for shift in range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1):
-                fits_in = (at + shift >= 0) & (at + shift + size <= n)
-                out.append(F.when(fits_in, F.struct(F.lit(True).alias("probe"), key(length, i, at + shift, size).alias("key"))))
-    return F.array_compact(F.array(*out))
+            shifts = range(max(-i, shorter - (edits - i)), min(i, shorter + edits - i) + 1)
+            out += [(True, i, shorter, s) for s in shifts if shorter or s > 0 or (s < 0 and edits > 2)]
+    return out
 
 
-def pair_mask(chars: Column) -> Column:
-    """64 bits, each the parity of the number of neighbouring characters hashed to it. One edit changes two
-    pairs into two at most, so it flips four bits at most."""
-    bit = lambda i: F.call_function(
-        "shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(F.get(chars, i - 1), F.get(chars, i)), F.lit(64)).cast("int")
-    )
-    return F.aggregate(F.sequence(F.lit(1), F.size(chars) - 1), F.lit(0).cast("long"), lambda m, i: m.bitwiseXOR(bit(i)))
+def keys(line: Column, n: Column, edits: int = EDITS) -> Column:
+    """``array<struct<probe boolean, key long>>``: the segments of a line and the substrings it probes with.
+
+    One short function over a constant list: written out, it would be too long to be compiled.
+    """
+    names = ("probe", "i", "shorter", "shift")
+    tries = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(names, t)]) for t in _tries(edits)])
+
+    def placed(t: Column) -> Column:
+        length = n - t["shorter"]
+        base = F.floor(length / (edits + 1))
+        # The last segments are one longer, as many as the length needs.
+        spare = t["i"] - (edits + 1) + length - base * (edits + 1)
+        at = base * t["i"] + F.greatest(F.lit(0), spare) + t["shift"]
+        return F.struct(t.alias("t"), length.alias("length"), at.cast("int").alias("at"), (base + F.when(spare >= 0, 1).otherwise(0)).cast("int").alias("size"))
+
+    inside = F.filter(F.transform(tries, placed), lambda p: (p["at"] >= 0) & (p["at"] + p["size"] <= n))
+    key = lambda p: F.xxhash64(p["length"], p["t"]["i"], F.substring(line, p["at"] + 1, p["size"]))
+    return F.transform(inside, lambda p: F.struct(p["t"]["probe"].alias("probe"), key(p).alias("key")))
+
+
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once, however often ``body`` uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def parity_mask(chars: Column, run: int) -> Column:
+    """64 bits, each the parity of the number of runs of ``run`` characters hashed to it. One edit changes
+    ``run`` runs into as many at most, so it flips ``2 * run`` bits at most."""
+
+    def mask(chars: Column) -> Column:
+        hashed = lambda i: F.xxhash64(*[F.get(chars, i - k) for k in range(run)])
+        bit = lambda i: F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(hashed(i), F.lit(64)).cast("int"))
+        places = F.sequence(F.lit(run - 1), F.size(chars) - 1)
+        return F.aggregate(places, F.lit(0).cast("long"), lambda m, i: m.bitwiseXOR(bit(i)))
+
+    return once(chars, mask)
 
 
 def distance(short: Column, long: Column, edits: int = EDITS) -> Column:
@@ -92,6 +121,11 @@ def distance(short: Column, long: Column, edits: int = EDITS) -> Column:
     A column of the dynamic programme is kept as its differences up and down, one bit for each row of a band
     of ``2 * edits + 1`` around the diagonal. The band's lowest row is followed to the last row, then along it.
     """
+    both = F.struct(short.alias("short"), long.alias("long"))
+    return once(both, lambda both: _distance(both["short"], both["long"], edits))
+
+
+def _distance(short: Column, long: Column, edits: int) -> Column:
     width = 2 * edits + 1
     full = F.lit((1 << width) - 1).cast("long")
     m, n = F.size(short), F.size(long)
@@ -100,14 +134,11 @@ def distance(short: Column, long: Column, edits: int = EDITS) -> Column:
 
     def step(state: Column, j: Column) -> Column:
         up, down, now = state["up"], state["down"], F.get(long, j - 1)
-        same = F.lit(0).cast("long")
-        for b in range(width):
-            equal = F.coalesce(F.get(short, j - 1 - edits + b) == now, F.lit(False))
-            same = same.bitwiseOR(F.when(equal, F.lit(1 << b).cast("long")).otherwise(F.lit(0).cast("long")))
-        level = (same.bitwiseAND(up) + up).bitwiseXOR(up).bitwiseOR(same).bitwiseOR(down).bitwiseAND(full)
-
-        def rest(v: Column) -> Column:
-            level = v["level"]
+        bits = [F.when(F.get(short, j - 1 - edits + b) == now, F.lit(1 << b)).otherwise(F.lit(0)) for b in range(width)]
+        same = reduce(Column.bitwiseOR, bits).cast("long")
+        level = once(same, lambda s: (s.bitwiseAND(up) + up).bitwiseXOR(up).bitwiseOR(s).bitwiseOR(down).bitwiseAND(full))
+
+        def rest(level: Column) -> Column:
             more = down.bitwiseOR(flip(level.bitwiseOR(up))).bitwiseAND(full)
             less = level.bitwiseAND(up)
             row = m - j + edits
@@ -120,8 +151,7 @@ def distance(short: Column, long: Column, edits: int = EDITS) -> Column:
                 (state["d"] + change).alias("d"),
             )
 
-        # The level is used many times; as an element of an array it is computed once.
-        return F.get(F.transform(F.array(F.struct(level.alias("level"))), rest), F.lit(0))
+        return once(level, rest)
 
     start = F.struct(
         F.lit(((1 << (edits + 1)) - 1) << edits).cast("long").alias("up"), F.lit(0).cast("long").alias("down"), F.lit(edits).cast("long").alias("d")
@@ -137,20 +167,24 @@ def links(found: DataFrame, kinds: DataFrame, edits: int = EDITS) -> DataFrame:
     keyed = found.join(F.broadcast(hot), F.col("h1") == F.col("_h1"), "left").where(
         F.col("_h1").isNull() | ((F.col("mark") == F.col("_mark")) & (F.col("pos") == F.col("_pos")))
     )
-    keyed = keyed.select("h1", "line", "n", F.explode(keys(F.col("line"), F.col("n"), edits)).alias("k")).select("h1", "line", "n", "k.*")
-    counted = keyed.groupBy("key").agg(
-        F.min("h1").alias("low"), F.max("h1").alias("high"), F.max("probe").alias("probed"), F.min("probe").alias("only_probed")
-    )
-    shared = cut_lineage(counted.where((F.col("low") < F.col("high")) & F.col("probed") & ~F.col("only_probed")).select("key"))
-    small = fits(shared)
-    met = only_keys_of(keyed, shared, ["key"], small)
-    met = met.join(shared, "key", "left_semi").groupBy("key", "probe", "h1").agg(F.first("line").alias("line"))
-    met = met.withColumn("chars", F.split("line", "")).withColumn("mask", pair_mask(F.col("chars")))
-    met = cut_lineage(met.select("key", "probe", "h1", "line", "mask"))
-    side = lambda probe, name: met.where(F.col("probe") == probe).select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("h1", "line", "mask")])
-    near = F.bit_count(F.col("a_mask").bitwiseXOR(F.col("b_mask"))) <= 4 * edits
+    keyed = keyed.select("h1", F.explode(keys(F.col("line"), F.col("n"), edits)).alias("k")).select("k.*", "h1")
+    group = Window.partitionBy("key")
+    judged = keyed.withColumns({
+        "low": F.min("h1").over(group), "high": F.max("h1").over(group), "only_probed": F.min("probe").over(group),
+    })
+    shared = judged.where((F.col("low") < F.col("high")) & ~F.col("only_probed")).select("key", "probe", "h1").distinct()
+    shared = cut_lineage(shared)
+    wanted = cut_lineage(shared.select("h1").distinct())
+    texts = only_keys_of(found.select("h1", "line"), wanted, ["h1"], fits(wanted)).groupBy("h1").agg(F.first("line").alias("line"))
+    masks = {f"mask{run}": parity_mask(F.split("line", ""), run) for run in RUNS}
+    texts = cut_lineage(texts.join(wanted, "h1", "left_semi").withColumns(masks))
+    met = cut_lineage(shared.join(texts, "h1"))
+    side = lambda df, name: df.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("h1", "probe", "line", *masks)])
+    near = reduce(Column.__and__, [F.bit_count(F.col(f"a_mask{r}").bitwiseXOR(F.col(f"b_mask{r}"))) <= 2 * r * edits for r in RUNS])
+    # Two segments that are equal say the same of both lines; a probe comes from the line that is no shorter.
+    once_each = (F.col("a_h1") < F.col("b_h1")) | (F.col("b_probe") & (F.col("a_h1") != F.col("b_h1")))
     close = distance(F.split("a_line", ""), F.split("b_line", ""), edits) <= edits
-    pairs = side(False, "a").join(side(True, "b"), "key").where((F.col("a_h1") != F.col("b_h1")) & near & close)
+    pairs = side(met.where(~F.col("probe")), "a").join(side(met, "b"), "key").where(once_each & near & close)
     return pairs.select(F.least("a_h1", "b_h1").alias("a"), F.greatest("a_h1", "b_h1").alias("b")).distinct()
 
 

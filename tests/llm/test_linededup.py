@@ -56,11 +56,11 @@ def test_distance_and_masks(spark):
         if len(a) > 2 and len(b) - len(a) <= 2:
             pairs.append((a, b))
     chars = [F.split(c, "") for c in ("a", "b")]
-    masks = F.bit_count(linededup.pair_mask(chars[0]).bitwiseXOR(linededup.pair_mask(chars[1])))
-    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", linededup.distance(*chars).alias("d"), masks.alias("m"))
+    flips = [F.bit_count(linededup.parity_mask(chars[0], r).bitwiseXOR(linededup.parity_mask(chars[1], r))) for r in linededup.RUNS]
+    df = spark.createDataFrame(pairs, "a string, b string").select("a", "b", linededup.distance(*chars).alias("d"), F.array(*flips).alias("flips"))
     for r in df.collect():
         assert min(r.d, 3) == min(edits(r.a, r.b), 3)
-        assert r.m <= 4 * edits(r.a, r.b)
+        assert all(f <= 2 * run * edits(r.a, r.b) for f, run in zip(r.flips, linededup.RUNS))
 
 
 def test_against_all_pairs(spark):
