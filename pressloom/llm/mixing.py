@@ -131,7 +131,8 @@ def taken(df: DataFrame) -> DataFrame:
     docs = sized(df)
     plan = quotas(docs)
     uses = slots(plan).groupBy("sid", "block").agg(F.count("*").alias("uses"))
-    cut = pieces(placed(docs, plan)).join(uses, ["sid", "block"], "left")
+    # The planner takes the slots for as few as the sources they are made from; both sides grow with the data.
+    cut = pieces(placed(docs, plan)).join(uses.hint("merge"), ["sid", "block"], "left")
     words = F.coalesce(F.sum((F.col("to_word") - F.col("from_word")) * F.col("uses")), F.lit(0)).cast("long")
     row = ["doc_id", "source", "size", "source_size", "target"]
     return cut.groupBy(*row, "sid", "start", *MARKS).agg(words.alias("taken")).select(*row, "taken")
@@ -143,7 +144,7 @@ def mixed(df: DataFrame) -> DataFrame:
     docs = sized(df)
     plan = quotas(docs)
     cut = pieces(placed(docs, plan)).where("block IS NOT NULL").select(*MARKS, "sid", "block", "from_word", "to_word")
-    picked = slots(plan).join(cut, ["sid", "block"])
+    picked = slots(plan).hint("merge").join(cut, ["sid", "block"])
     # At most MOST times the blocks of a document, so this list is as bounded as its text.
     picked = picked.groupBy(*MARKS).agg(F.collect_list(F.struct("shard", "slot", "from_word", "to_word")).alias("_picked"))
 

@@ -15,5 +15,8 @@ def marked(df: DataFrame) -> DataFrame:
 
 
 def rows_of(df: DataFrame, chosen: DataFrame, how: str = "left_semi") -> DataFrame:
-    """The rows of ``df`` whose marks are in ``chosen``, one of those with equal id and text. Texts move once."""
-    return marked(df).dropDuplicates(MARKS).join(chosen, MARKS, how)
+    """The rows of ``df`` whose marks are in ``chosen``, one of those with equal id and text. Texts move once.
+
+    ``chosen`` may be far larger than the planner can know, so it is never broadcast.
+    """
+    return marked(df).dropDuplicates(MARKS).join(chosen.hint("merge"), MARKS, how)

@@ -290,7 +290,8 @@ def _window_ranges(segments: DataFrame, length: int, keep: str) -> DataFrame:
     windows = segments.mapInArrow(run, schema)
     order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid", "lo", "seg", "at")
     counted = windows.groupBy("key", "h1", "h2").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1")
-    hits = windows.join(counted, ["key", "h1", "h2"])
+    # There are far more windows than the planner expects from the segments.
+    hits = windows.join(counted.hint("merge"), ["key", "h1", "h2"])
     if keep == "first":
         hits = hits.where(~((F.col("seg") == F.col("first.seg")) & (F.col("at") == F.col("first.at"))))
     return hits.select("key", "seg", "uid", "lo", "copies", F.col("at").alias("a"), F.col("at").alias("b"))
