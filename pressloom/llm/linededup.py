@@ -1,8 +1,9 @@
 """Line deduplication: lines within a few edits of an earlier line are removed.
 
-Lines of at least ``LEAST`` characters (ends trimmed) take part; shorter ones stay. Two lines are
-linked if they differ in up to ``EDITS`` insertions, deletions and replacements of characters. Linked lines form
-classes; the first line of a class, by id and place, stays where it is and all others go.
+Lines of at least ``shortest`` characters (ends trimmed; ``LEAST`` unless the caller says otherwise) take part; shorter
+ones stay. The queries take part with all lines that are not blank. Two lines of at least ``LEAST`` characters are
+linked if they differ in up to ``EDITS`` insertions, deletions and replacements of characters; of shorter ones two edits
+would make another line, so only equal ones are alike. Linked lines form classes, and so do equal ones; the first line of a class, by id and place, stays where it is and all others go.
 
 Lines are cut into ``EDITS + 1`` segments of (nearly) equal length. Up to ``EDITS`` edits leave one of them as it is,
 so every line is indexed by (length, number, segment), and probes the index with the substrings of
@@ -45,12 +46,12 @@ RUNS = (1, 2, 3)
 _ENDS = " \t\r\v\f"
 
 
-def occurrences(df: DataFrame) -> DataFrame:
+def occurrences(df: DataFrame, shortest: int = LEAST) -> DataFrame:
     """``doc_id, mark, pos, line, n`` and two hashes ``h1, h2`` of every line that takes part."""
     # Everything a line needs is made inside the list, so that it is made once and not in each use.
     trimmed = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(_ENDS)))
     sized = F.transform(trimmed, lambda x, i: F.struct(i.alias("pos"), x.alias("line"), F.length(x).alias("n")))
-    lines = df.select("doc_id", mark().alias("mark"), F.explode(F.filter(sized, lambda s: s["n"] >= LEAST)).alias("_line"))
+    lines = df.select("doc_id", mark().alias("mark"), F.explode(F.filter(sized, lambda s: s["n"] >= max(shortest, 1))).alias("_line"))
     lines = lines.select("doc_id", "mark", "_line.*")
     return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(1))})
 
@@ -161,6 +162,7 @@ def _distance(short: Column, long: Column, edits: int) -> Column:
 
 def links(found: DataFrame, kinds: DataFrame, edits: int = EDITS) -> DataFrame:
     """``a, b``: pairs of different lines (their ``h1``) within ``edits`` edits, each once."""
+    found = found.where(F.col("n") >= LEAST)
     total = kinds.agg(F.sum("copies")).first()[0] or 0
     hot = kinds.where(F.col("copies") > max(HOT, total // HOT)).select(F.col("h1").alias("_h1"), F.col("first.mark").alias("_mark"), F.col("first.pos").alias("_pos"))
     # At most HOT lines can have so large a part.
@@ -188,10 +190,10 @@ def links(found: DataFrame, kinds: DataFrame, edits: int = EDITS) -> DataFrame:
     return pairs.select(F.least("a_h1", "b_h1").alias("a"), F.greatest("a_h1", "b_h1").alias("b")).distinct()
 
 
-def judged(df: DataFrame, edits: int = EDITS) -> DataFrame:
+def judged(df: DataFrame, edits: int = EDITS, shortest: int = LEAST) -> DataFrame:
     """``mark, gone, near, links`` for each text with repeated or linked lines: the places of the lines that go, how
     many of them only resemble the line that stays, and how many links its lines have to different lines."""
-    found = occurrences(df)
+    found = occurrences(df, shortest)
     placed = cut_lineage(found.select("doc_id", "mark", "pos", "h1", "h2"))
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", "pos")
     kinds = cut_lineage(placed.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min(order).alias("first")))
@@ -213,10 +215,10 @@ def judged(df: DataFrame, edits: int = EDITS) -> DataFrame:
     )
 
 
-def dedup_lines(df: DataFrame, edits: int = EDITS) -> DataFrame:
+def dedup_lines(df: DataFrame, edits: int = EDITS, shortest: int = LEAST) -> DataFrame:
     """``df`` with ``text`` without the lines that go and ``n_lines``, ``n_removed``, ``n_near``, ``n_links``."""
     rows = df.withColumn("_mark", mark())
-    found = judged(df, edits).withColumnRenamed("mark", "_judged")
+    found = judged(df, edits, shortest).withColumnRenamed("mark", "_judged")
     joined = rows.join(found, F.col("_mark") == F.col("_judged"), "left")
     lines = F.split("text", "\n")
     gone = F.coalesce("gone", F.array().cast("array<int>"))

@@ -139,6 +139,6 @@ def op6_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document without the lines that an earlier line, up to two edits away, repeats."""
-    done = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    """Every document without the lines that an earlier line, up to two edits away, repeats; short ones if they are equal."""
+    done = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), shortest=1)
     return done.select("doc_id", "n_lines", "n_removed", "n_near", "n_links", F.sha2("text", 256).alias("kept_sha256"))

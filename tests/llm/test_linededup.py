@@ -1,6 +1,7 @@
 import random
 
-from pressloom.llm import linededup
+import corpus_pipeline
+from pressloom.llm import QUERIES, linededup
 from pyspark.sql import functions as F
 from small_docs import AWKWARD, docs, with_clashes
 
@@ -93,3 +94,14 @@ def test_awkward_rows(spark):
     assert [r.text for r in found if r.doc_id == 6] == [""]
     assert [r.text for r in found if r.doc_id in (1, 2, 3)] == [None, "", " \n\t"]
     assert linededup.dedup_lines(df.limit(0)).count() == 0
+
+
+def test_equal_short_lines_go(spark, tmp_path):
+    rows = [(1, "Share\nsome longer line of the first text\nOK"), (2, " Share\t\n\nShane\nsome longer line of the first texts"), (3, None), (4, "Share\nOK\nOK\n\n"), (4, "Share\nOK\nOK\n\n")]
+    docs(spark, *rows).write.parquet(f"{tmp_path}/documents.parquet")
+    df = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    wanted = [(1, rows[0][1]), (2, "\nShane"), (3, None), (4, "\n"), (4, "\n")]
+    for done in (linededup.dedup_lines(with_clashes(df), shortest=1), corpus_pipeline.line_dedup(spark, df, "")):
+        assert sorted((r.doc_id, r.text) for r in done.collect()) == wanted
+    counted = {r.doc_id: (r.n_removed, r.n_near, r.n_links) for r in QUERIES["op3_lines"](spark, str(tmp_path)).collect()}
+    assert counted == {1: (0, 0, 1), 2: (2, 1, 1), 3: (0, 0, 0), 4: (3, 0, 0)}
