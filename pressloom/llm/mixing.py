@@ -87,12 +87,16 @@ def quotas(docs: DataFrame) -> DataFrame:
     return cut_lineage(named.select("sid", "source", "source_size", "target", "blocks", "slots", "first", "all_slots"))
 
 
-def placed(docs: DataFrame, plan: DataFrame) -> DataFrame:
-    """``docs`` with ``sid``, ``source_size``, ``target`` and ``start``, the words of the source before it."""
-    named = docs.join(
+def with_source(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """``docs`` with ``sid``, ``source_size`` and ``target``."""
+    return docs.join(
         plan.select("sid", F.col("source").alias("_source"), "source_size", "target"), docs["source"].eqNullSafe(F.col("_source"))
     ).drop("_source")
-    named = named.withColumn("part", F.pmod(MARKS[0], F.lit(PARTS)))
+
+
+def placed(docs: DataFrame, plan: DataFrame) -> DataFrame:
+    """``docs`` with ``sid``, ``source_size``, ``target`` and ``start``, the words of the source before it."""
+    named = with_source(docs, plan).withColumn("part", F.pmod(MARKS[0], F.lit(PARTS)))
     sums = named.groupBy("sid", "part").agg(F.sum("size").alias("in_part"))
     before = F.sum("in_part").over(Window.partitionBy("sid").orderBy("part")) - F.col("in_part")
     offsets = sums.select("sid", "part", before.alias("offset"))
@@ -132,10 +136,13 @@ def taken(df: DataFrame) -> DataFrame:
     plan = quotas(docs)
     uses = slots(plan).groupBy("sid", "block").agg(F.count("*").alias("uses"))
     # The planner takes the slots for as few as the sources they are made from; both sides grow with the data.
-    cut = pieces(placed(docs, plan)).join(uses.hint("merge"), ["sid", "block"], "left")
+    cut = pieces(placed(docs.where("size > 0"), plan)).join(uses.hint("merge"), ["sid", "block"], "left")
     words = F.coalesce(F.sum((F.col("to_word") - F.col("from_word")) * F.col("uses")), F.lit(0)).cast("long")
     row = ["doc_id", "source", "size", "source_size", "target"]
-    return cut.groupBy(*row, "sid", "start", *MARKS).agg(words.alias("taken")).select(*row, "taken")
+    # Equal rows differ in their start, but only where they have words; the others are not grouped.
+    some = cut.groupBy(*row, "sid", "start", *MARKS).agg(words.alias("taken")).select(*row, "taken")
+    none = with_source(docs.where("size = 0"), plan).select(*row, F.lit(0).cast("long").alias("taken"))
+    return some.union(none)
 
 
 def mixed(df: DataFrame) -> DataFrame:

@@ -68,3 +68,9 @@ def test_awkward_rows(spark):
     assert mixing.taken(df.limit(0)).count() == mixing.mixed(df.limit(0)).count() == 0
     blank = docs(spark, (1, None), (2, " ", None, "a"))
     assert [(r.size, r.target, r.taken) for r in mixing.taken(blank).collect()] == [(0, 0.0, 0)] * 2
+
+
+def test_equal_rows_without_words_stay_apart(spark):
+    rows = [(1, None, None, "a"), (1, None, None, "a"), (1, "", None, "a"), (2, " ", None, None), (2, " ", None, None), (3, "some words", None, "a"), (3, "some words", None, "a")]
+    found = check(docs(spark, *rows))
+    assert Counter((r.doc_id, r.size) for r in found) == {(1, 0): 3, (2, 0): 2, (3, 2): 2}
