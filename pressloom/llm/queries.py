@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import bpe, htmltext, langid, linededup, mixing, quality, simhash, suffix, urlfilter, winnow
+from pressloom.llm import bpe, htmltext, langid, latticededup, linededup, mixing, quality, simhash, suffix, tokenalign, urlfilter, whitening, winnow
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -142,3 +142,29 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document without the lines that an earlier line, up to two edits away, repeats; short ones if they are equal."""
     done = linededup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), shortest=1)
     return done.select("doc_id", "n_lines", "n_removed", "n_near", "n_links", F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable vector along the first components of all distinct ones."""
+    rows, model, error = whitening.whitened(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+    long = rows.select("vec_id", F.expr("try_cast(deviation AS bigint)").alias("deviation"), F.posexplode("whitened").alias("place", "whitened"))
+    explained = F.array(*map(F.lit, model.explained)) if model.explained else F.array().cast("array<double>")
+    return long.select(
+        "vec_id", (F.col("place") + 1).cast("int").alias("component"), F.lit(model.n).cast("long").alias("n"), "deviation", "whitened",
+        F.get(explained, F.col("place")).alias("explained"), F.lit(error).cast("double").alias("identity_error"),
+    )
+
+
+@query
+def op13_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links and classes of all vectors by cosine."""
+    return latticededup.near_duplicates(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
+@query
+def op11_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's tokens under two vocabularies, aligned by bytes and weighed by how many documents align them so."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = tokenalign.aligned(docs, tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model"))
+    return done.select("doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256")
