@@ -5,7 +5,7 @@ its home cell. The lattice has 240 shortest vectors; the ``PROBES`` of them that
 are probed too. Vectors that are alike meet, with a high chance in each of ``TABLES`` tables, where one is at home.
 
 Equal vectors are one node from the start. Nodes are kept in blocks: those that fall into one cell of a
-finer lattice (two E8 points side by side), at most about ``BLOCK`` together. A tight group of near copies thus has few blocks, and cells hold
+finer lattice (two E8 points side by side) and have nearly the same sketch, at most about ``BLOCK`` together. A tight group of near copies thus has few blocks, and cells hold
 blocks, not vectors. The join on cells yields pairs of blocks, each pair once; a sketch of 128 signs of
 random projections with the spread of the block around it drops pairs that cannot reach the cosine but for a chance of less than
 one in ten thousand. Then the blocks of a pair are multiplied, and every pair of vectors is verified in double
@@ -22,10 +22,12 @@ from __future__ import annotations
 
 import itertools
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +44,10 @@ BLOCK_WIDTH = 1.6
 #: Nodes of a block, and what its vectors may weigh together.
 BLOCK, BLOCK_BYTES = 256, 1 << 17
 SKETCH = 128
+#: Members of a block differ from its first by no more signs; others are blocks by themselves.
+CORE = 24
+#: Pairs of blocks with no more pairs of vectors are looked at many at a time.
+FEW = 256
 SEED = 13
 #: Cosines this near to the threshold are computed again, term by term.
 CLOSE = 1e-9
@@ -146,7 +152,7 @@ def _hashed(tables: int, probes: int, width: float, block_width: float):
 
     @F.arrow_udf(_HASHED)
     def hashed(batch: pa.Array) -> pa.Array:
-        sizes = pa.compute.list_value_length(batch).to_numpy(zero_copy_only=False)
+        sizes = pc.list_value_length(batch).to_numpy(zero_copy_only=False)
         parts, places = [], []
         for d in np.unique(sizes).tolist():
             if d not in made:
@@ -174,13 +180,12 @@ def _multiplied(cosine: float):
 
     @F.arrow_udf(_LINKED)
     def linked(nodes_a: pa.Array, weights_a: pa.Array, a: pa.Array, nodes_b: pa.Array, weights_b: pa.Array, b: pa.Array) -> pa.Array:
-        nodes, links, roots, ends = [], [], [], [0]
-        for i in range(len(nodes_a)):
+        nodes, links, roots, counts = [], [], [], np.zeros(len(a), np.int64)
+        for i, va, vb in _worth_multiplying(a, b, cosine):
             na, wa = (x[i].values.to_numpy() for x in (nodes_a, weights_a))
             nb, wb = (x[i].values.to_numpy() for x in (nodes_b, weights_b))
-            va, vb = a[i].values, b[i].values
             same = len(na) == len(nb) and (na == nb).all()
-            ok = _reaching(va, vb, cosine)
+            ok = _reaching(va, vb, a[i].values, b[i].values, cosine)
             if same:
                 np.fill_diagonal(ok, False)
             if ok.any():
@@ -188,21 +193,48 @@ def _multiplied(cosine: float):
                 nodes.append(found)
                 links.append(count)
                 roots.append(root)
-                ends.append(ends[-1] + len(found))
-            else:
-                ends.append(ends[-1])
+                counts[i] = len(found)
         flat = [np.concatenate([np.zeros(0, np.int64), *x]).astype(np.int64) for x in (nodes, links, roots)]
         rows = pa.StructArray.from_arrays([pa.array(x) for x in flat], ["node", "links", "root"])
-        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), rows)
+        return pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)], pa.int32()), rows)
 
     return linked
 
 
-def _reaching(va: pa.ListArray, vb: pa.ListArray, cosine: float) -> np.ndarray:
-    """Which vectors of ``va`` (rows) and ``vb`` (columns) have the cosine or more."""
-    if len(va[0]) != len(vb[0]):
-        return np.zeros((len(va), len(vb)), bool)
-    cos = _units(va) @ _units(vb).T
+def _worth_multiplying(a: pa.Array, b: pa.Array, cosine: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(row, unit vectors of a, of b) of the pairs of blocks with a chance of links, in order. Pairs of few vectors are
+    looked at together, as most have no links."""
+    inner_a, inner_b = a.flatten(), b.flatten()
+    size_a, size_b = (pc.list_value_length(x).to_numpy() for x in (a, b))
+    if not len(a):
+        return
+    first_a, first_b = np.cumsum(size_a) - size_a, np.cumsum(size_b) - size_b
+    length_a, length_b = (pc.list_value_length(x).to_numpy() for x in (inner_a, inner_b))
+    units = {}
+    comparable = length_a[first_a] == length_b[first_b]
+    for d in np.unique(length_a[first_a][comparable]).tolist():
+        # Vectors of one length, and where each of them is among these.
+        units[d] = [(_units(x.filter(pa.array(n == d))), np.cumsum(n == d) - 1) for x, n in ((inner_a, length_a), (inner_b, length_b))]
+    chances = comparable & (size_a * size_b > FEW)
+    for d, ((ua, at_a), (ub, at_b)) in units.items():
+        few = np.flatnonzero(comparable & ~chances & (length_a[first_a] == d))
+        products = (size_a * size_b)[few]
+        ends = np.cumsum(products)
+        for start in range(0, int(products.sum()), 1 << 16):
+            pair = np.arange(start, min(start + (1 << 16), int(ends[-1])))
+            k = np.searchsorted(ends, pair, "right")
+            row, within = few[k], pair - (ends - products)[k]
+            i, j = at_a[first_a[row] + within // size_b[row]], at_b[first_b[row] + within % size_b[row]]
+            chances[row[np.einsum("nd,nd->n", ua[i], ub[j]) >= cosine - CLOSE]] = True
+    for row in np.flatnonzero(chances).tolist():
+        (ua, at_a), (ub, at_b) = units[int(length_a[first_a[row]])]
+        i, j = at_a[first_a[row]], at_b[first_b[row]]
+        yield row, ua[i : i + size_a[row]], ub[j : j + size_b[row]]
+
+
+def _reaching(ua: np.ndarray, ub: np.ndarray, va: pa.ListArray, vb: pa.ListArray, cosine: float) -> np.ndarray:
+    """Which unit vectors ``ua`` (rows) and ``ub`` (columns) have the cosine or more. ``va`` and ``vb`` are the vectors as given."""
+    cos = ua @ ub.T
     ok = cos >= cosine
     for i, j in np.argwhere(np.abs(cos - cosine) < CLOSE):
         p, q = np.array(va[int(i)].as_py(), float), np.array(vb[int(j)].as_py(), float)
@@ -238,9 +270,13 @@ def blocks_of(nodes: DataFrame, tables: int, probes: int, width: float, block_wi
     hashed = nodes.withColumn("_h", _hashed(tables, probes, width, block_width)("vector"))
     hashed = cut_lineage(hashed.select("node", "weight", "vector", "_h.*"))
     fit = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(F.lit(BLOCK_BYTES) / (F.size("vector") * 8))))
-    sizes = hashed.groupBy("block").agg(F.ceil(F.count("*") / F.min(fit)).cast("int").alias("parts")).where("parts > 1")
-    part = F.pmod(F.xxhash64("node"), F.coalesce("parts", F.lit(1)))
-    cut = lookup_join(hashed, sizes, ["block"], ["node"]).withColumn("block", F.xxhash64("block", F.size("vector"), part))
+    first = F.min(F.struct("node", "s1", "s2")).alias("first")
+    sizes = hashed.groupBy("block").agg(F.ceil(F.count("*") / F.min(fit)).cast("int").alias("parts"), first, F.count("*").alias("n")).where("n > 1")
+    apart = F.bit_count(F.col("s1").bitwiseXOR(F.col("first.s1"))) + F.bit_count(F.col("s2").bitwiseXOR(F.col("first.s2")))
+    own = F.when(apart <= CORE, F.pmod(F.xxhash64("node"), F.col("parts"))).when(apart > CORE, F.col("node"))
+    joined = lookup_join(hashed, sizes.drop("n"), ["block"], ["node"])
+    # A number of the block; whatever else should get the same one would be in it, too, and that is no harm.
+    cut = joined.withColumn("block", F.xxhash64("block", F.size("vector"), apart > CORE, own))
     member = F.struct("node", "weight", "vector", "s1", "s2")
     # Members of a block are bounded by the parts above, so the lists are.
     held = cut.groupBy("block").agg(

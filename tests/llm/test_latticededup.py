@@ -83,14 +83,15 @@ def test_recall_at_the_threshold(spark):
 def test_threshold_is_exact(spark):
     # Cosines of exactly 0.9, just above and just below.
     rows = [(1, [1.0, 0.0]), (2, [9.0, math.sqrt(19.0)]), (3, [0.9, math.sqrt(0.19) + 1e-9]), (4, [0.9, -math.sqrt(0.19) + 1e-9])]
-    pairs = {p: lattice._reaching(*[_lists([dict(rows)[i]]) for i in p], 0.9)[0, 0] for p in itertools.combinations(range(1, 5), 2)}
+    pairs = {p: _pair([dict(rows)[i] for i in p]) for p in itertools.combinations(range(1, 5), 2)}
     assert not pairs[1, 3] and pairs[1, 4] and pairs[2, 3] and not pairs[2, 4]
 
 
-def _lists(values):
+def _pair(vectors):
     import pyarrow as pa
 
-    return pa.array(values, pa.list_(pa.float64()))
+    lists = [pa.array([v], pa.list_(pa.float64())) for v in vectors]
+    return lattice._reaching(*[lattice._units(x) for x in lists], *lists, 0.9)[0, 0]
 
 
 def test_large_groups_are_split_into_blocks(spark, monkeypatch):
