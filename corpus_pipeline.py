@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pressloom.llm import bpe, langid, linededup, mixing, nearcopies
+from pressloom.llm import bpe, langid, linededup, mixing, simhash
 from pressloom.llm.queries import tokenizer_file
 from pressloom.sources.scratch import cut_lineage
 
@@ -38,8 +38,8 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def simhash_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, which share four fifths of their 5-word shingles."""
-    return nearcopies.keep_one(docs).select(*COLUMNS)
+    """One document of each group whose fingerprints of 3-word shingles are linked by two bits or fewer."""
+    return simhash.keep_one(docs).select(*COLUMNS)
 
 
 def mixing_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
