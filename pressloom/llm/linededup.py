@@ -22,7 +22,8 @@ Only DataFrame functions are used.
 
 Defined results: null is the empty text. A text without lines to remove stays as it is, byte for byte; in
 others the lines that stay are joined by line ends. Equal rows are treated alike: what one keeps, all
-keep. Ids in order, null last. Other columns pass through.
+keep. Ids in order, null last. Texts and lines of any length are compared and rebuilt whole, in time that grows with them. Other columns
+pass through; those called ``n_lines``, ``n_removed``, ``n_near`` or ``n_links`` are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -34,6 +35,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressloom.llm.components import components
+from pressloom.llm.rows import MARKS, marked
 from pressloom.operators.skew import fits, only_keys_of
 from pressloom.sources.scratch import cut_lineage
 
@@ -47,19 +49,15 @@ _ENDS = " \t\r\v\f"
 
 
 def occurrences(df: DataFrame, shortest: int = LEAST) -> DataFrame:
-    """``doc_id, mark, pos, line, n`` and two hashes ``h1, h2`` of every line that takes part."""
+    """``doc_id``, the marks of the row, ``pos, line, n`` and two hashes ``h1, h2`` of every line that takes part."""
     # Everything a line needs is made inside the list, so that it is made once and not in each use.
     trimmed = F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), lambda x: F.btrim(x, F.lit(_ENDS)))
     sized = F.transform(trimmed, lambda x, i: F.struct(i.alias("pos"), x.alias("line"), F.length(x).alias("n")))
-    lines = df.select("doc_id", mark().alias("mark"), F.explode(F.filter(sized, lambda s: s["n"] >= max(shortest, 1))).alias("_line"))
-    lines = lines.select("doc_id", "mark", "_line.*")
+    lines = marked(df).select("doc_id", *MARKS, F.explode(F.filter(sized, lambda s: s["n"] >= max(shortest, 1))).alias("_line"))
+    lines = lines.select("doc_id", *MARKS, "_line.*")
     return lines.withColumns({"h1": F.xxhash64("line"), "h2": F.xxhash64("line", F.lit(1))})
 
 
-def mark() -> Column:
-    return F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
-
-
 def _tries(edits: int) -> list[tuple[bool, int, int, int]]:
     """(probe, segment, how much shorter the other line is, shift) of all keys of a line.
 
@@ -77,12 +75,13 @@ def _tries(edits: int) -> list[tuple[bool, int, int, int]]:
 
 
 def keys(line: Column, n: Column, edits: int = EDITS) -> Column:
-    """``array<struct<probe boolean, key long>>``: the segments of a line and the substrings it probes with.
+    """``array<long>``: the segments of a line and the substrings it probes with, hashed. The lowest bit of
+    a key tells whether it probes; the others are the same for a segment and a probe that meet.
 
     One short function over a constant list: written out, it would be too long to be compiled.
     """
     names = ("probe", "i", "shorter", "shift")
-    tries = F.array(*[F.struct(*[F.lit(v).alias(k) for k, v in zip(names, t)]) for t in _tries(edits)])
+    tries = F.array(*[F.struct(*[F.lit(int(v)).alias(k) for k, v in zip(names, t)]) for t in _tries(edits)])
 
     def placed(t: Column) -> Column:
         length = n - t["shorter"]
@@ -94,7 +93,7 @@ def keys(line: Column, n: Column, edits: int = EDITS) -> Column:
 
     inside = F.filter(F.transform(tries, placed), lambda p: (p["at"] >= 0) & (p["at"] + p["size"] <= n))
     key = lambda p: F.xxhash64(p["length"], p["t"]["i"], F.substring(line, p["at"] + 1, p["size"]))
-    return F.transform(inside, lambda p: F.struct(p["t"]["probe"].alias("probe"), key(p).alias("key")))
+    return F.transform(inside, lambda p: key(p).bitwiseAND(F.lit(-2).cast("long")) + p["t"]["probe"])
 
 
 def once(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -161,53 +160,57 @@ def _distance(short: Column, long: Column, edits: int) -> Column:
 
 
 def links(found: DataFrame, kinds: DataFrame, edits: int = EDITS) -> DataFrame:
-    """``a, b``: pairs of different lines (their ``h1``) within ``edits`` edits, each once."""
+    """``a, b``: pairs of different lines (their ``kind``) within ``edits`` edits, each once."""
     found = found.where(F.col("n") >= LEAST)
     total = kinds.agg(F.sum("copies")).first()[0] or 0
-    hot = kinds.where(F.col("copies") > max(HOT, total // HOT)).select(F.col("h1").alias("_h1"), F.col("first.mark").alias("_mark"), F.col("first.pos").alias("_pos"))
+    hot = kinds.where(F.col("copies") > max(HOT, total // HOT)).select("h1", "h2", F.col("first").alias("_first"))
     # At most HOT lines can have so large a part.
-    keyed = found.join(F.broadcast(hot), F.col("h1") == F.col("_h1"), "left").where(
-        F.col("_h1").isNull() | ((F.col("mark") == F.col("_mark")) & (F.col("pos") == F.col("_pos")))
-    )
-    keyed = keyed.select("h1", F.explode(keys(F.col("line"), F.col("n"), edits)).alias("k")).select("k.*", "h1")
-    group = Window.partitionBy("key")
+    keyed = found.join(F.broadcast(hot), ["h1", "h2"], "left")
+    at_first = reduce(Column.__and__, [F.col(c) == F.col(f"_first.{c}") for c in (*MARKS, "pos")])
+    keyed = keyed.where(F.col("_first").isNull() | at_first)
+    keyed = keyed.select("h1", F.explode(keys(F.col("line"), F.col("n"), edits)).alias("key"))
+    keyed = keyed.withColumn("probe", F.col("key").bitwiseAND(F.lit(1).cast("long")))
+    group = Window.partitionBy(F.call_function("shiftright", "key", F.lit(1)))
     judged = keyed.withColumns({
         "low": F.min("h1").over(group), "high": F.max("h1").over(group), "only_probed": F.min("probe").over(group),
     })
-    shared = judged.where((F.col("low") < F.col("high")) & ~F.col("only_probed")).select("key", "probe", "h1").distinct()
-    shared = cut_lineage(shared)
+    shared = judged.where((F.col("low") < F.col("high")) & (F.col("only_probed") == 0)).select("key", "h1").distinct()
+    shared = cut_lineage(shared.withColumns({"probe": F.col("key").bitwiseAND(F.lit(1).cast("long")) == 1, "key": F.call_function("shiftright", "key", F.lit(1))}))
     wanted = cut_lineage(shared.select("h1").distinct())
-    texts = only_keys_of(found.select("h1", "line"), wanted, ["h1"], fits(wanted)).groupBy("h1").agg(F.first("line").alias("line"))
+    # From here on lines have both hashes: one that shares only the first with another is told from it.
+    texts = only_keys_of(found.select("h1", "h2", "line"), wanted, ["h1"], fits(wanted)).groupBy("h1", "h2").agg(F.first("line").alias("line"))
     masks = {f"mask{run}": parity_mask(F.split("line", ""), run) for run in RUNS}
-    texts = cut_lineage(texts.join(wanted, "h1", "left_semi").withColumns(masks))
-    met = cut_lineage(shared.join(texts, "h1"))
-    side = lambda df, name: df.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("h1", "probe", "line", *masks)])
+    texts = texts.join(wanted, "h1", "left_semi").join(kinds.select("h1", "h2", "kind"), ["h1", "h2"]).drop("h2")
+    met = cut_lineage(shared.join(cut_lineage(texts.withColumns(masks)), "h1"))
+    side = lambda df, name: df.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("kind", "probe", "line", *masks)])
     near = reduce(Column.__and__, [F.bit_count(F.col(f"a_mask{r}").bitwiseXOR(F.col(f"b_mask{r}"))) <= 2 * r * edits for r in RUNS])
     # Two segments that are equal say the same of both lines; a probe comes from the line that is no shorter.
-    once_each = (F.col("a_h1") < F.col("b_h1")) | (F.col("b_probe") & (F.col("a_h1") != F.col("b_h1")))
+    once_each = (F.col("a_kind") < F.col("b_kind")) | (F.col("b_probe") & (F.col("a_kind") != F.col("b_kind")))
     close = distance(F.split("a_line", ""), F.split("b_line", ""), edits) <= edits
     pairs = side(met.where(~F.col("probe")), "a").join(side(met, "b"), "key").where(once_each & near & close)
-    return pairs.select(F.least("a_h1", "b_h1").alias("a"), F.greatest("a_h1", "b_h1").alias("b")).distinct()
+    return pairs.select(F.least("a_kind", "b_kind").alias("a"), F.greatest("a_kind", "b_kind").alias("b")).distinct()
 
 
 def judged(df: DataFrame, edits: int = EDITS, shortest: int = LEAST) -> DataFrame:
-    """``mark, gone, near, links`` for each text with repeated or linked lines: the places of the lines that go, how
+    """The marks and ``gone, near, links`` of each text with repeated or linked lines: the places of the lines that go, how
     many of them only resemble the line that stays, and how many links its lines have to different lines."""
     found = occurrences(df, shortest)
-    placed = cut_lineage(found.select("doc_id", "mark", "pos", "h1", "h2"))
-    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "mark", "pos")
-    kinds = cut_lineage(placed.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min(order).alias("first")))
+    placed = cut_lineage(found.select("doc_id", *MARKS, "pos", "h1", "h2"))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *MARKS, "pos")
+    kinds = placed.groupBy("h1", "h2").agg(F.count("*").alias("copies"), F.min(order).alias("first"))
+    # Written with their numbers: a line has the same one whenever they are read.
+    kinds = cut_lineage(kinds.withColumn("kind", F.monotonically_increasing_id()))
     pairs = cut_lineage(links(found, kinds, edits))
-    degree = pairs.select(F.explode(F.array("a", "b")).alias("h1")).groupBy("h1").agg(F.count("*").alias("links"))
-    trees = components(pairs).withColumnRenamed("node", "h1").join(degree, "h1")
-    linked = kinds.join(trees, "h1")
+    degree = pairs.select(F.explode(F.array("a", "b")).alias("kind")).groupBy("kind").agg(F.count("*").alias("links"))
+    trees = components(pairs).withColumnRenamed("node", "kind").join(degree, "kind")
+    linked = kinds.join(trees, "kind")
     firsts = linked.groupBy("root").agg(F.min("first").alias("class_first"))
     linked = linked.join(firsts, "root").select("h1", "h2", "first", "class_first", "links")
-    alone = kinds.where("copies > 1").join(trees, "h1", "left_anti").select("h1", "h2", "first", F.col("first").alias("class_first"), F.lit(0).cast("long").alias("links"))
+    alone = kinds.where("copies > 1").join(trees, "kind", "left_anti").select("h1", "h2", "first", F.col("first").alias("class_first"), F.lit(0).cast("long").alias("links"))
     classes = cut_lineage(linked.unionByName(alone))
-    stays = (F.col("mark") == F.col("class_first.mark")) & (F.col("pos") == F.col("class_first.pos"))
+    stays = reduce(Column.__and__, [F.col(c) == F.col(f"class_first.{c}") for c in (*MARKS, "pos")])
     lines = placed.join(classes, ["h1", "h2"]).withColumns({"stays": stays, "near": ~stays & (F.col("first") != F.col("class_first"))})
-    return lines.groupBy("mark").agg(
+    return lines.groupBy(*MARKS).agg(
         # No more than the lines of one text. Equal rows have the same places.
         F.sort_array(F.collect_set(F.when(~F.col("stays"), F.col("pos")))).alias("gone"),
         F.count_distinct(F.when(F.col("near"), F.col("pos"))).alias("near"),
@@ -215,17 +218,22 @@ def judged(df: DataFrame, edits: int = EDITS, shortest: int = LEAST) -> DataFram
     )
 
 
+def without(lines: Column, gone: Column) -> Column:
+    """The array ``lines`` without the places ``gone``, in time that grows with its length alone."""
+    places = F.sequence(F.lit(0), F.size(lines) - 1)
+    return once(lines, lambda held: F.transform(F.array_except(places, gone), lambda i: F.get(held, i)))
+
+
 def dedup_lines(df: DataFrame, edits: int = EDITS, shortest: int = LEAST) -> DataFrame:
     """``df`` with ``text`` without the lines that go and ``n_lines``, ``n_removed``, ``n_near``, ``n_links``."""
-    rows = df.withColumn("_mark", mark())
-    found = judged(df, edits, shortest).withColumnRenamed("mark", "_judged")
-    joined = rows.join(found, F.col("_mark") == F.col("_judged"), "left")
-    lines = F.split("text", "\n")
-    gone = F.coalesce("gone", F.array().cast("array<int>"))
-    left = F.array_join(F.filter(lines, lambda _, i: ~F.array_contains(gone, i)), "\n")
+    found = judged(df.select("doc_id", "text"), edits, shortest)
+    joined = marked(df).join(found.select(*MARKS, F.struct("gone", "near", "links").alias("_judged")), MARKS, "left")
+    gone = F.coalesce("_judged.gone", F.array().cast("array<int>"))
+    left = F.array_join(without(F.split("text", "\n"), gone), "\n")
     counts = {
         "n_lines": F.size(F.split(F.coalesce("text", F.lit("")), "\n")).cast("long"), "n_removed": F.size(gone).cast("long"),
-        "n_near": F.coalesce("near", F.lit(0)).cast("long"), "n_links": F.coalesce("links", F.lit(0)).cast("long"),
+        "n_near": F.coalesce("_judged.near", F.lit(0)).cast("long"), "n_links": F.coalesce("_judged.links", F.lit(0)).cast("long"),
     }
     done = joined.withColumns({**counts, "_left": F.when(F.size(gone) > 0, left).otherwise(F.col("text"))})
-    return done.withColumn("text", F.col("_left")).select(*df.columns, *counts)
+    others = [F.col("_left").alias("text") if c == "text" else F.col(f"`{c}`") for c in df.columns if c not in counts]
+    return done.select(*others, *counts)

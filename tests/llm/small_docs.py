@@ -2,7 +2,7 @@
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 #: Names that operators use for their own columns.
-CLASHING = ("ids", "mark", "key", "uid", "root", "size", "start", "block", "fingerprint", "score", "part", "spans")
+CLASHING = ("ids", "mark", "key", "uid", "root", "size", "start", "block", "fingerprint", "score", "part", "spans", "links", "gone", "near", "shard", "slot", "first", "kind", "line", "pos")
 
 
 def docs(spark, *rows):

@@ -105,3 +105,18 @@ def test_equal_short_lines_go(spark, tmp_path):
         assert sorted((r.doc_id, r.text) for r in done.collect()) == wanted
     counted = {r.doc_id: (r.n_removed, r.n_near, r.n_links) for r in QUERIES["op3_lines"](spark, str(tmp_path)).collect()}
     assert counted == {1: (0, 0, 1), 2: (2, 1, 1), 3: (0, 0, 0), 4: (3, 0, 0)}
+
+
+def test_long_texts_of_equal_lines(spark):
+    line = "a line that is repeated very many times"
+    rows = [(1, "\n".join([line] * 60_000)), (2, "\n".join([f"{line}{i % 7}{chr(97 + i % 5)}" for i in range(60_000)] + ["end"]))]
+    found = {r.doc_id: r for r in linededup.dedup_lines(docs(spark, *rows), shortest=1).collect()}
+    assert found[1].text == line and found[1].n_removed == 59_999
+    assert found[2].text == "end" and found[2].n_removed == 60_000
+
+
+def test_clashing_results_are_replaced(spark):
+    df = docs(spark, (1, "one line\none line")).withColumns({"n_lines": F.lit("x"), "gone": F.lit("mine"), "a b": F.lit(1)})
+    out = linededup.dedup_lines(df, shortest=1)
+    assert len(set(out.columns)) == len(out.columns) and out.columns[-4:] == ["n_lines", "n_removed", "n_near", "n_links"]
+    assert [(r.text, r.n_lines, r.gone, r["a b"]) for r in out.collect()] == [("one line", 2, "mine", 1)]
