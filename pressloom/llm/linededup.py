@@ -80,20 +80,27 @@ def keys(line: Column, n: Column, edits: int = EDITS) -> Column:
 
     One short function over a constant list: written out, it would be too long to be compiled.
     """
-    names = ("probe", "i", "shorter", "shift")
-    tries = F.array(*[F.struct(*[F.lit(int(v)).alias(k) for k, v in zip(names, t)]) for t in _tries(edits)])
+    names = ("probe", "i", "shift")
+    shorter = sorted({t[2] for t in _tries(edits)})
+    tries = {d: F.array(*[F.struct(*[F.lit(int(v)).alias(k) for k, v in zip(names, (p, i, s))]) for p, i, e, s in _tries(edits) if e == d]) for d in shorter}
+    parts, least = F.lit(edits + 1), lambda a, b: F.when(a < b, a).otherwise(b)
 
-    def placed(t: Column) -> Column:
-        length = n - t["shorter"]
-        base = F.floor(length / (edits + 1))
+    def of_length(d: int) -> Column:
+        length = n - d
+        return once(F.struct(length.alias("length"), F.call_function("div", length, parts).cast("int").alias("base")), lambda at: F.filter(F.transform(tries[d], lambda t: key(at, t)), F.isnotnull))
+
+    def key(at: Column, t: Column) -> Column:
+        base = at["base"]
         # The last segments are one longer, as many as the length needs.
-        spare = t["i"] - (edits + 1) + length - base * (edits + 1)
-        at = base * t["i"] + F.greatest(F.lit(0), spare) + t["shift"]
-        return F.struct(t.alias("t"), length.alias("length"), at.cast("int").alias("at"), (base + F.when(spare >= 0, 1).otherwise(0)).cast("int").alias("size"))
+        spare = t["i"] + at["length"] - base * parts - parts
+        start = base * t["i"] + t["shift"] - least(F.lit(0), -spare)
+        size = base + F.when(spare >= 0, 1).otherwise(0)
+        place = F.struct(start.alias("start"), size.alias("size"))
+        hashed = lambda p: F.xxhash64(at["length"], t["i"], F.substring(line, p["start"] + 1, p["size"]))
+        named = lambda p: hashed(p).bitwiseAND(F.lit(-2).cast("long")) + t["probe"]
+        return once(place, lambda p: F.when((p["start"] >= 0) & (p["start"] + p["size"] <= n), named(p)))
 
-    inside = F.filter(F.transform(tries, placed), lambda p: (p["at"] >= 0) & (p["at"] + p["size"] <= n))
-    key = lambda p: F.xxhash64(p["length"], p["t"]["i"], F.substring(line, p["at"] + 1, p["size"]))
-    return F.transform(inside, lambda p: key(p).bitwiseAND(F.lit(-2).cast("long")) + p["t"]["probe"])
+    return F.flatten(F.array(*[of_length(d) for d in shorter]))
 
 
 def once(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -169,19 +176,23 @@ def links(found: DataFrame, kinds: DataFrame, edits: int = EDITS) -> DataFrame:
     at_first = reduce(Column.__and__, [F.col(c) == F.col(f"_first.{c}") for c in (*MARKS, "pos")])
     keyed = keyed.where(F.col("_first").isNull() | at_first)
     keyed = keyed.select("h1", F.explode(keys(F.col("line"), F.col("n"), edits)).alias("key"))
-    keyed = keyed.withColumn("probe", F.col("key").bitwiseAND(F.lit(1).cast("long")))
-    group = Window.partitionBy(F.call_function("shiftright", "key", F.lit(1)))
-    judged = keyed.withColumns({
-        "low": F.min("h1").over(group), "high": F.max("h1").over(group), "only_probed": F.min("probe").over(group),
-    })
-    shared = judged.where((F.col("low") < F.col("high")) & (F.col("only_probed") == 0)).select("key", "h1").distinct()
-    shared = cut_lineage(shared.withColumns({"probe": F.col("key").bitwiseAND(F.lit(1).cast("long")) == 1, "key": F.call_function("shiftright", "key", F.lit(1))}))
-    wanted = cut_lineage(shared.select("h1").distinct())
-    # From here on lines have both hashes: one that shares only the first with another is told from it.
-    texts = only_keys_of(found.select("h1", "h2", "line"), wanted, ["h1"], fits(wanted)).groupBy("h1", "h2").agg(F.first("line").alias("line"))
+    # Two numbers a row: what a segment and its probes have in common, and the line's hash, whose sign says which it is.
+    probes = F.col("key").bitwiseAND(F.lit(1).cast("long")) == 1
+    sign, rest = F.lit(-(1 << 63)).cast("long"), F.lit((1 << 63) - 1).cast("long")
+    hash63 = F.col("h1").bitwiseAND(rest)
+    keyed = keyed.select(F.call_function("shiftright", "key", F.lit(1)).alias("key"), F.when(probes, hash63).otherwise(hash63.bitwiseOR(sign)).alias("h"))
+    group = Window.partitionBy("key")
+    met = keyed.withColumns({"low": F.min("h").over(group), "high": F.max("h").over(group)})
+    # Some segment is there, and something else.
+    shared = met.where((F.col("low") < 0) & (F.col("low") < F.col("high"))).select("key", "h").distinct()
+    shared = cut_lineage(shared.select("key", (F.col("h") >= 0).alias("probe"), F.col("h").bitwiseAND(rest).alias("h")))
+    wanted = cut_lineage(shared.select("h").distinct())
+    # From here on lines have both hashes: one that shares part of the first with another is told from it.
+    lines = found.select("h1", "h2", "line", hash63.alias("h"))
+    texts = only_keys_of(lines, wanted, ["h"], fits(wanted)).groupBy("h1", "h2").agg(F.first("line").alias("line"), F.first("h").alias("h"))
     masks = {f"mask{run}": parity_mask(F.split("line", ""), run) for run in RUNS}
-    texts = texts.join(wanted, "h1", "left_semi").join(kinds.select("h1", "h2", "kind"), ["h1", "h2"]).drop("h2")
-    met = cut_lineage(shared.join(cut_lineage(texts.withColumns(masks)), "h1"))
+    texts = texts.join(wanted, "h", "left_semi").join(kinds.select("h1", "h2", "kind"), ["h1", "h2"]).drop("h1", "h2")
+    met = cut_lineage(shared.join(cut_lineage(texts.withColumns(masks)), "h"))
     side = lambda df, name: df.select("key", *[F.col(c).alias(f"{name}_{c}") for c in ("kind", "probe", "line", *masks)])
     near = reduce(Column.__and__, [F.bit_count(F.col(f"a_mask{r}").bitwiseXOR(F.col(f"b_mask{r}"))) <= 2 * r * edits for r in RUNS])
     # Two segments that are equal say the same of both lines; a probe comes from the line that is no shorter.
