@@ -130,7 +130,7 @@ WHERE rank <= {k}"""
 
 
 @query("ded6_top_similar_capped", f"""
-WITH {VECS}, cands AS (SELECT * FROM vecs ORDER BY published_at DESC, id LIMIT 1000)
+WITH {VECS}, cands AS (SELECT * FROM vecs ORDER BY published_at DESC NULLS LAST, vec_id LIMIT 1000)
 SELECT query_id, cand_id, round(score, 6) AS score, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 12) DESC, cand_pos) AS rank FROM (
     SELECT CAST(q.vec_id AS VARCHAR) AS query_id, CAST(c.vec_id AS VARCHAR) AS cand_id, c.vec_id AS cand_pos,
@@ -138,7 +138,7 @@ SELECT query_id, cand_id, round(score, 6) AS score, rank FROM (
   WHERE score >= {THRESHOLD}) WHERE rank <= 5""")
 def _(spark, sf):
     v = st.vectors(spark, sf)
-    newest = v.orderBy(F.desc("published_at"), "id").limit(CANDIDATE_CAP)
+    newest = v.orderBy(F.desc_nulls_last("published_at"), "vec_id").limit(CANDIDATE_CAP)
     return similarity.top_similar_small(_queries(v), _cands(newest), THRESHOLD, 5).drop("cand_pos")
 
 

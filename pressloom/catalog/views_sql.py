@@ -52,7 +52,7 @@ SETTINGS = """settings_kv AS (
 
 VECS = f"""{ITEMS},
 vecs AS (SELECT e.vec_id, CAST(e.embedding AS DOUBLE[]) AS v, i.id, i.url, i.source, i.published_at
-         FROM embeddings e JOIN items i ON i.doc_id = e.vec_id)"""
+         FROM embeddings e LEFT JOIN items i ON i.doc_id = e.vec_id)"""
 
 # Pool of a period, its scores, and the capped ranking.
 _HOURS = "(epoch(ref) - epoch(published_at)) / 3600.0"

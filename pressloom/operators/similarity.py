@@ -6,10 +6,13 @@ lower ``cand_id``. Without ``k`` both return all of them. Rows without a vector
 
 * ``top_similar_small`` and ``nearest_small``: candidates up to a checked bound are broadcast as one matrix and
   every batch of queries is multiplied with it. No shuffle of the queries.
-* ``top_similar_large``: no bound. Candidates are grouped around pivots; by the triangle
-  inequality of angles a query needs only the groups whose ring of angles it can reach.
-  Groups are cut into blocks of limited size on both sides, so no task holds a whole group,
-  and a block sends on at most ``k`` rows per query.
+* ``top_similar_large``: no bound, exact. Candidates are put in order of their angle to the nearest of some pivots and cut
+  into intervals of it; an interval knows the least and the largest angle of its vectors to every pivot. By
+  the triangle inequality a query needs only intervals that none of these ranges keeps out of its reach. Neighbouring
+  intervals of a pivot form blocks of limited size, queries likewise, and a block sends on at most ``k`` rows per query.
+  ``comparisons`` tells how many pairs that leaves.
+* ``top_similar_approximate``: for unbounded candidates where a small loss is fine. Signs of random projections in bands
+  are join keys; what meets is compared exactly. Never used unless it is asked for.
 """
 
 from __future__ import annotations
@@ -23,13 +26,21 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pressloom.functions import vectors
+from pressloom.operators.skew import fits
 from pressloom.sources.scratch import cut_lineage
 
 # The most candidates that may be broadcast.
 SMALL_CANDIDATES = 10_000
-PIVOTS = 32
+#: The most pivots, and of how many candidates they are chosen. Fewer candidates get fewer pivots.
+PIVOTS = 48
+PIVOT_SAMPLE = 2_048
+PER_PIVOT = 32
+#: The most intervals of one pivot; a number of 64 bits names a set of them.
+INTERVALS = 60
 CANDIDATE_BLOCK = 4_096
 QUERY_BLOCK = 4_096
+#: Rows that describe blocks are broadcast up to this number, joined beyond it.
+BROADCAST_BLOCKS = 100_000
 _DECIMALS = 12
 _SLACK = 1e-6
 
@@ -166,11 +177,11 @@ def top_similar_large(
     return _block_join(queries, candidates, threshold, k, within_days, pivots, candidate_block, query_block)
 
 
-def _block_join(
-    queries: DataFrame, candidates: DataFrame, threshold: float, k: int | None, within_days: int | None,
-    pivots: int, candidate_block: int, query_block: int,
-) -> DataFrame:
-    spark = queries.sparkSession
+def _placed(
+    queries: DataFrame, candidates: DataFrame, threshold: float, within_days: int | None, pivots: int
+) -> tuple[DataFrame, DataFrame] | None:
+    """Both sides with what decides whether they meet: candidates with ``bucket, pivot, step``, queries with a row per
+    ``bucket, pivot`` and the set of ``steps`` they can reach there. None without candidates."""
     timed = ["published_at"] if within_days is not None else []
     length = vectors.norm(vectors.as_doubles(F.col("embedding")))
     cand = candidates.select("cand_id", "cand_pos", "embedding", *timed).where(length > 0)
@@ -180,67 +191,183 @@ def _block_join(
     else:
         cand, query = cand.withColumn("at", F.lit(0).cast("long")), query.withColumn("at", F.lit(0).cast("long"))
 
-    chosen = cand.orderBy(F.xxhash64("cand_id"), "cand_id").limit(pivots).select("embedding").toPandas()
-    if chosen.empty:
-        return spark.createDataFrame([], f"{_PAIR}, rank int")
-    pivot_unit, _ = _unit_rows(_matrix(chosen["embedding"]))
+    pivot_unit = _pivots(cand, pivots)
+    if pivot_unit is None:
+        return None
     reach = math.acos(max(-1.0, min(1.0, 2 * threshold - 1))) + _SLACK
-    reach_us = None if within_days is None else within_days * 86_400_000_000
+    width = max(reach / 2, math.pi / INTERVALS)
 
     @F.pandas_udf("array<double>")
     def angles(v: pd.Series) -> pd.Series:
-        unit, _ = _unit_rows(_matrix(v))
-        return pd.Series(list(np.arccos(np.clip(unit @ pivot_unit.T, -1.0, 1.0))))
+        return pd.Series(list(_angles(v, pivot_unit)))
 
     cand = _with_bucket(cand, within_days).withColumn("angles", angles("embedding"))
-    cand = cand.withColumn("angle", F.array_min("angles")).withColumn(
-        "pivot", F.array_position("angles", F.col("angle")).cast("int")
-    )
+    cand = cand.withColumn("angle", F.array_min("angles")).withColumns({
+        "pivot": (F.array_position("angles", F.col("angle")) - 1).cast("int"), "step": F.floor(F.col("angle") / width).cast("int"),
+    })
     # Both sides are read several times below; fix them once.
-    cand = cut_lineage(cand.drop("angles"))
-    query = cut_lineage(_with_bucket(query, within_days).withColumn("angles", angles("embedding")))
+    cand = cut_lineage(cand)
+    # One row per interval, that is at most PIVOTS * INTERVALS: the ranges of angles to all pivots.
+    ranges = cand.select("pivot", "step", F.posexplode("angles").alias("to", "angle")).groupBy("pivot", "step", "to").agg(
+        F.min("angle").alias("low"), F.max("angle").alias("high")
+    ).toPandas()
+    names = ranges[["pivot", "step"]].drop_duplicates().to_numpy()
+    low, high = (ranges.pivot(index=["pivot", "step"], columns="to", values=c).loc[list(map(tuple, names))].to_numpy() for c in ("low", "high"))
+
+    @F.pandas_udf("array<long>")
+    def reached(v: pd.Series) -> pd.Series:
+        """For each pivot the set of its intervals that a query can reach."""
+        out = np.zeros((len(v), len(pivot_unit)), np.int64)
+        at = _angles(v, pivot_unit)
+        for i, (pivot, step) in enumerate(names.tolist()):
+            near = ((at - reach <= high[i]) & (at + reach >= low[i])).all(axis=1)
+            out[near, pivot] |= 1 << step
+        return pd.Series(list(out))
+
     near = F.array(F.col("bucket")) if within_days is None else F.array(*[F.col("bucket") + d for d in (-1, 0, 1)])
-    query = query.withColumn("bucket", F.explode(near))
-
-    # One row per bucket and pivot: the ring of angles, and into how many blocks to cut both sides.
-    asked = query.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("q_blocks"))
-    grid = F.broadcast(
-        cand.groupBy("bucket", "pivot").agg(
-            F.min("angle").alias("ring_from"), F.max("angle").alias("ring_to"),
-            F.ceil(F.count(F.lit(1)) / candidate_block).cast("int").alias("c_blocks"),
-        ).join(asked, "bucket")
+    query = _with_bucket(query, within_days).withColumn("bucket", F.explode(near))
+    asked = cut_lineage(query.select("*", F.posexplode(reached("embedding")).alias("pivot", "steps")).where("steps <> 0"))
+    return cand, asked
+
+
+def _pivots(cand: DataFrame, most: int) -> np.ndarray | None:
+    """Unit vectors far from each other, out of a bounded sample of the candidates; None without candidates."""
+    sample = cand.select("cand_id", "embedding").orderBy(F.xxhash64("cand_id"), "cand_id").limit(PIVOT_SAMPLE).toPandas()
+    if sample.empty:
+        return None
+    unit, _ = _unit_rows(_matrix(sample["embedding"]))
+    most = min(most, len(unit)) if len(unit) == PIVOT_SAMPLE else min(most, max(4, len(unit) // PER_PIVOT), len(unit))
+    chosen, nearest = [0], unit @ unit[0]
+    while len(chosen) < most:
+        chosen.append(int(nearest.argmin()))
+        nearest = np.maximum(nearest, unit @ unit[chosen[-1]])
+    return unit[chosen]
+
+
+def _angles(v: pd.Series, pivot_unit: np.ndarray) -> np.ndarray:
+    if not len(v):
+        return np.zeros((0, len(pivot_unit)))
+    unit, _ = _unit_rows(_matrix(v))
+    return np.arccos(np.clip(unit @ pivot_unit.T, -1.0, 1.0))
+
+
+def _steps(cand: DataFrame) -> DataFrame:
+    """``bucket, pivot, step, n``: the candidates of each interval."""
+    return cand.groupBy("bucket", "pivot", "step").agg(F.count(F.lit(1)).alias("n"))
+
+
+def comparisons(
+    queries: DataFrame, candidates: DataFrame, threshold: float = 0.8, within_days: int | None = None, pivots: int = PIVOTS
+) -> tuple[int, int]:
+    """How many pairs ``top_similar_large`` compares, and how many there are, of vectors with a length."""
+    placed = _placed(queries, candidates, threshold, within_days, pivots)
+    if placed is None:
+        return 0, 0
+    cand, asked = placed
+    reached = F.getbit("steps", F.col("step")) == 1
+    met = asked.groupBy("bucket", "pivot", "steps").agg(F.count(F.lit(1)).alias("q")).join(_steps(cand), ["bucket", "pivot"]).where(reached)
+    length = vectors.norm(vectors.as_doubles(F.col("embedding"))) > 0
+    return met.agg(F.sum(F.col("q") * F.col("n"))).first()[0] or 0, queries.where(length).count() * cand.count()
+
+
+def _block_join(
+    queries: DataFrame, candidates: DataFrame, threshold: float, k: int | None, within_days: int | None,
+    pivots: int, candidate_block: int, query_block: int,
+) -> DataFrame:
+    placed = _placed(queries, candidates, threshold, within_days, pivots)
+    if placed is None:
+        return queries.sparkSession.createDataFrame([], f"{_PAIR}, rank int")
+    cand, asked = placed
+    reach_us = None if within_days is None else within_days * 86_400_000_000
+    # Intervals of a pivot in a row form blocks; one with too many vectors is dealt to several.
+    before = Window.partitionBy("bucket", "pivot").orderBy("step")
+    blocks = _steps(cand).withColumns({
+        "block": F.floor((F.sum("n").over(before) - F.col("n")) / candidate_block).cast("int"), "parts": F.ceil(F.col("n") / candidate_block).cast("int"),
+    })
+    here = asked.groupBy("bucket", "pivot").agg(F.ceil(F.count(F.lit(1)) / query_block).cast("int").alias("q_parts"))
+    blocks = cut_lineage(blocks.join(here, ["bucket", "pivot"]))
+    rows = blocks.groupBy("bucket", "pivot", "block", "q_parts").agg(
+        F.bit_or(F.expr("shiftleft(1L, step)")).alias("held"), F.max("parts").alias("c_parts")
     )
-    here = F.element_at("angles", F.col("pivot"))
-    blocks = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    block_of = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
+    # Few rows per block, not per vector; if there are many all the same, they are not broadcast.
+    blocks, rows = (F.broadcast(x) if fits(x, BROADCAST_BLOCKS) else x for x in (blocks, rows))
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    part = lambda c, n: F.pmod(F.xxhash64(c), F.col(n)).cast("int")
     q_side = (
-        query.join(grid, "bucket")
-        .where((here - reach <= F.col("ring_to")) & (here + reach >= F.col("ring_from")))
-        .select("bucket", "pivot", block_of("query_id", "q_blocks").alias("q_block"),
-                blocks("c_blocks").alias("c_block"), "query_id", "embedding", "at")
+        asked.join(rows, ["bucket", "pivot"]).where(F.col("steps").bitwiseAND(F.col("held")) != 0)
+        .select("bucket", "pivot", "block", part("query_id", "q_parts").alias("q_part"), every("c_parts").alias("c_part"), "query_id", "embedding", "at", "steps")
     )
-    c_side = (
-        cand.join(grid, ["bucket", "pivot"])
-        .select("bucket", "pivot", blocks("q_blocks").alias("q_block"),
-                block_of("cand_id", "c_blocks").alias("c_block"), "cand_id", "cand_pos", "embedding", "at")
+    c_side = cand.join(blocks, ["bucket", "pivot", "step"]).select(
+        "bucket", "pivot", "block", every("q_parts").alias("q_part"), part("cand_id", "parts").alias("c_part"), "cand_id", "cand_pos", "embedding", "at", "step"
     )
 
     def match(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
+        found = [pd.DataFrame(columns=["query_id", "cand_id", "cand_pos", "score"])]
         if q.empty or c.empty:
-            return pd.DataFrame(columns=["query_id", "cand_id", "cand_pos", "score"])
+            return found[0]
         q_unit, _ = _unit_rows(_matrix(q["embedding"]))
         c_unit, _ = _unit_rows(_matrix(c["embedding_"]))
-        scores = np.round((q_unit @ c_unit.T + 1) / 2, _DECIMALS)
-        allowed = np.ones(scores.shape, dtype=bool)
-        if reach_us is not None:
-            gap = np.abs(q["at"].to_numpy()[:, None] - c["at_"].to_numpy()[None, :])
-            allowed = gap <= reach_us
-        return _best_pairs(scores, allowed, threshold, k, q["query_id"].to_numpy(dtype=object),
-                           c["cand_id_"].to_numpy(dtype=object), c["cand_pos_"].to_numpy())
+        q_ids, c_ids, c_pos = q["query_id"].to_numpy(dtype=object), c["cand_id_"].to_numpy(dtype=object), c["cand_pos_"].to_numpy()
+        steps, step = q["steps"].to_numpy(), c["step_"].to_numpy()
+        for one in np.unique(step):
+            i, j = np.flatnonzero(steps >> one & 1), np.flatnonzero(step == one)
+            if not len(i):
+                continue
+            scores = np.round((q_unit[i] @ c_unit[j].T + 1) / 2, _DECIMALS)
+            allowed = np.ones(scores.shape, dtype=bool)
+            if reach_us is not None:
+                allowed = np.abs(q["at"].to_numpy()[i][:, None] - c["at_"].to_numpy()[j][None, :]) <= reach_us
+            pairs = _best_pairs(scores, allowed, threshold, k, q_ids[i], c_ids[j], c_pos[j])
+            if len(pairs):
+                found.append(pairs)
+        return pd.concat(found[1:]) if len(found) > 1 else found[0]
 
     # Both sides come from the same candidates; new names keep their columns apart.
-    key = ["bucket", "pivot", "q_block", "c_block"]
+    key = ["bucket", "pivot", "block", "q_part", "c_part"]
     left, right = q_side, c_side.toDF(*[f"{c}_" for c in c_side.columns])
     left = left.groupBy(*key)
     right = right.groupBy(*[f"{c}_" for c in key])
     return _rank(left.cogroup(right).applyInPandas(match, _PAIR), k)
+
+
+# ---- approximate, only where it is asked for
+
+BANDS, BAND_BITS = 24, 10
+_SEED = 5
+
+
+def top_similar_approximate(
+    queries: DataFrame, candidates: DataFrame, threshold: float = 0.8, k: int | None = 1, bands: int = BANDS, bits: int = BAND_BITS
+) -> DataFrame:
+    """As ``top_similar_large`` without a window, but it may miss candidates; every row it returns has its exact score.
+
+    A vector gets ``bands`` keys of ``bits`` signs of random projections each. Vectors at an angle ``a`` agree in a sign
+    with chance ``1 - a / pi``, so at least one band agrees with chance ``1 - (1 - (1 - a / pi) ** bits) ** bands``. Ids and keys meet
+    first, each pair once; vectors are fetched for the pairs. More bands find more, more bits compare less. Vectors
+    of queries and candidates must be of one length.
+    """
+    length = vectors.norm(vectors.as_doubles(F.col("embedding")))
+    sides = {}
+    for name, df, columns in (("q", queries, ["query_id"]), ("c", candidates, ["cand_id", "cand_pos"])):
+        sides[name] = cut_lineage(df.select(*columns, "embedding").where(length > 0).withColumn("keys", _band_keys(bands, bits)("embedding")))
+    keyed = lambda s, c: sides[s].select(c, F.posexplode("keys").alias("band", "key"))
+    # A key that very many vectors share is split on both sides by the planner, as any skewed join.
+    met = keyed("q", "query_id").hint("merge").join(keyed("c", "cand_id"), ["band", "key"]).select("query_id", "cand_id").distinct()
+    q = sides["q"].select("query_id", F.col("embedding").alias("_q"))
+    c = sides["c"].select("cand_id", "cand_pos", F.col("embedding").alias("_c"))
+    both = met.join(q, "query_id").join(c, "cand_id")
+    score = F.round(vectors.cosine01(F.col("_q"), F.col("_c")), _DECIMALS)
+    return _rank(both.select("query_id", "cand_id", "cand_pos", score.alias("score")).where(F.col("score") >= threshold), k)
+
+
+def _band_keys(bands: int, bits: int):
+    @F.pandas_udf("array<long>")
+    def keys(v: pd.Series) -> pd.Series:
+        if not len(v):
+            return pd.Series([], dtype=object)
+        m = _matrix(v)
+        directions = np.random.default_rng([_SEED, m.shape[1]]).normal(size=(m.shape[1], bands * bits))
+        signs = (m @ directions > 0).reshape(len(m), bands, bits)
+        return pd.Series(list(signs @ (1 << np.arange(bits, dtype=np.int64))))
+
+    return keys

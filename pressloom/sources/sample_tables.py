@@ -94,10 +94,10 @@ def from_split(df: DataFrame) -> DataFrame:
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Embeddings with the publication time and id of the document of the same number."""
+    """Embeddings with the publication time and id of the document of the same number, null where there is none."""
     docs = items(spark, sf_dir).select("doc_id", "id", "url", "source", "published_at")
     vecs = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding")
-    return vecs.join(docs, "doc_id").withColumnRenamed("doc_id", "vec_id")
+    return vecs.join(docs, "doc_id", "left").withColumnRenamed("doc_id", "vec_id")
 
 
 def _k() -> Column:

@@ -90,3 +90,47 @@ def test_no_candidates(spark, data):
     none = cs.where("false")
     assert similarity.top_similar_small(qs, none, 0.8, 1).count() == 0
     assert similarity.top_similar_large(qs, none, 0.8, 1).count() == 0
+
+
+def far_clusters(n, dim=32, centres=40, noise=0.25):
+    rng = np.random.default_rng(11)
+    middle = rng.normal(size=(centres, dim))
+    middle /= np.linalg.norm(middle, axis=1)[:, None]
+    return np.float32(middle[rng.integers(0, centres, n)] + noise / np.sqrt(dim) * rng.normal(size=(n, dim)))
+
+
+def test_few_pairs_are_compared_in_clusters(spark):
+    """Under a tenth of all pairs, and still all results."""
+    m = far_clusters(2_300)
+    qs, cs = tables(spark, m[:300], m[300:])
+    compared, every = similarity.comparisons(qs, cs, 0.9)
+    assert every == 300 * 2_000 and 0 < compared < every / 10
+    got = similarity.top_similar_large(qs, cs, 0.9, 2, candidate_block=64, query_block=32)
+    assert found(got) == brute(m[:300], m[300:], 0.9, 2)
+
+
+def test_comparisons_of_nothing(spark, data):
+    qs, cs = tables(spark, *data)
+    assert similarity.comparisons(qs, cs.where("false"), 0.9) == (0, 0)
+    assert similarity.comparisons(qs.where("false"), cs, 0.9)[0] == 0
+
+
+def test_many_blocks_are_joined_without_broadcast(spark, data, monkeypatch):
+    monkeypatch.setattr(similarity, "BROADCAST_BLOCKS", 0)
+    q, c = data
+    qs, cs = tables(spark, q, c)
+    got = similarity.top_similar_large(qs, cs, 0.8, 3, pivots=4, candidate_block=16, query_block=16)
+    assert found(got) == brute(q, c, 0.8, 3)
+
+
+def test_approximate_finds_most_and_scores_exactly(spark):
+    m = far_clusters(1_200, noise=0.5)
+    m[5] = 0
+    qs, cs = tables(spark, m[:200], m[200:])
+    exact = {(r.query_id, r.cand_id): r.score for r in similarity.top_similar_large(qs, cs, 0.9, None).collect()}
+    rough = {(r.query_id, r.cand_id): r.score for r in similarity.top_similar_approximate(qs, cs, 0.9, None).collect()}
+    assert set(rough) <= set(exact) and len(rough) >= 0.9 * len(exact) > 1_000
+    assert all(abs(rough[p] - exact[p]) < 1e-9 for p in rough)
+    best = similarity.top_similar_approximate(qs, cs, 0.9, 1)
+    assert best.count() == best.select("query_id").distinct().count() and best.where("rank <> 1").isEmpty()
+    assert similarity.top_similar_approximate(qs, cs.where("false"), 0.9).count() == 0
