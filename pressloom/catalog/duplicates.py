@@ -9,7 +9,9 @@ from pressloom.catalog.scalars import _SIM_TEXT, similarity_texts
 from pressloom.catalog.views_sql import BATCH, ITEMS, SYND, VECS
 from pressloom.functions import hashing, vectors
 from pressloom.operators import dedup, registry, similarity
+from pressloom.sources import keyindex, tables
 from pressloom.sources import sample_tables as st
+from pressloom.sources.scratch import scratch_path
 
 AS_OF = st.AS_OF
 # No pair of the sample vectors reaches the usual threshold.
@@ -266,10 +268,13 @@ def _(spark, sf):
     return dedup.dedup_batch_cascade(new, old, cands, 0.60).select("id", *dedup.VERDICT)
 
 
-@query("ded11_flag_duplicates", f"""
+_FLAG_SQL = f"""
 WITH {BATCH}, {_URL_SQL}
 SELECT b.id, h.original_id IS NOT NULL AS is_duplicate, h.original_id AS duplicate_of
-FROM batch b LEFT JOIN by_url h ON h.url = b.url""")
+FROM batch b LEFT JOIN by_url h ON h.url = b.url"""
+
+
+@query("ded11_flag_duplicates", _FLAG_SQL)
 def _(spark, sf):
     new = batch(spark, sf)
     verdicts = dedup.match_url(new, history(spark, sf))
@@ -277,6 +282,27 @@ def _(spark, sf):
     return flagged.select("id", "is_duplicate", "duplicate_of")
 
 
+@query("ded11_flag_stored", _FLAG_SQL)
+def _(spark, sf):
+    """As above in the stored table, where only the days with duplicates are written again."""
+    path, new = scratch_path(spark, "items"), batch(spark, sf)
+    tables.write_items(tables.as_items(new.withColumn("is_duplicate", F.lit(False))), path)
+    tables.flag_stored(spark, path, dedup.match_url(new, history(spark, sf)))
+    return tables.read_items(spark, path).select("id", "is_duplicate", "duplicate_of")
+
+
+@query("flt3_known_urls", f"""
+WITH {BATCH} SELECT b.id, arg_min(h.id, {{'c': h.collected_at, 'i': h.id}}) AS first_id
+FROM batch b JOIN hist h ON h.url = b.url GROUP BY b.id""")
+def _(spark, sf):
+    """Stored items by url through the key index, which was written in two parts."""
+    path, new, past = scratch_path(spark, "keys"), batch(spark, sf), history(spark, sf)
+    for part in (0, 1):
+        keyindex.write_keys(past.where(F.pmod("doc_id", F.lit(2)) == part), path, part)
+    found = keyindex.known(new, path, "url").groupBy("url").agg(F.min(F.struct("collected_at", "id")).alias("first"))
+    return new.join(found, "url").select("id", F.col("first.id").alias("first_id"))
+
+
 _SIGHTINGS = f"""{SYND},
 reg AS (SELECT sha256(url) AS url_hash, arg_min(id, {{'c': collected_at, 'i': id}}) AS news_item_id,
                min(collected_at) AS first_seen_at, max(collected_at) AS last_seen_at, count(*) AS occurrence_count,

@@ -6,9 +6,10 @@ from pressloom.catalog.registry import query
 from pressloom.catalog.views_sql import BY_DAY, CATEGORISED, DAILY, FETCH_LOG, ITEMS, RUNS, TASK_RUNS, WEEKLY
 from pressloom.functions import scoring
 from pressloom.functions.text import preview
-from pressloom.operators import filters, ranking, stats
+from pressloom.operators import filters, partials, ranking, stats
 from pressloom.plans import digests, render
 from pressloom.sources import sample_tables as st
+from pressloom.sources.scratch import scratch_path
 
 AS_OF = st.AS_OF
 
@@ -108,7 +109,7 @@ def _(spark, sf):
     )
 
 
-@query("agg7_daily_rollup", f"""
+_DAILY_SQL = f"""
 WITH {ITEMS}, d AS (SELECT *, CAST(published_at AS DATE) AS day FROM items),
 s AS (SELECT day, string_agg(source || '=' || n, '|' ORDER BY source) AS sources_summary FROM (
         SELECT day, source, count(*) AS n FROM d GROUP BY 1, 2) GROUP BY day),
@@ -117,7 +118,10 @@ t AS (SELECT day, string_agg(topic || '=' || n, '|' ORDER BY n DESC, topic) AS t
         QUALIFY row_number() OVER (PARTITION BY day ORDER BY count(*) DESC, topic) <= 5) GROUP BY day)
 SELECT CAST(d.day AS VARCHAR) AS digest_date, count(*) AS total_collected, count(*) FILTER (is_duplicate) AS duplicates_found,
   count(*) FILTER (NOT is_duplicate) AS unique_items, any_value(sources_summary) AS sources_summary, any_value(top_tags) AS top_tags
-FROM d JOIN s ON s.day = d.day LEFT JOIN t ON t.day = d.day GROUP BY d.day""")
+FROM d JOIN s ON s.day = d.day LEFT JOIN t ON t.day = d.day GROUP BY d.day"""
+
+
+@query("agg7_daily_rollup", _DAILY_SQL)
 def _(spark, sf):
     out = stats.daily_rollup(narrow(spark, sf))
     return _listed(out, "sources_summary", "top_tags")
@@ -131,7 +135,7 @@ def _listed(df, source_map, topics):
     })
 
 
-@query("agg8_weekly_rollup", f"""
+_WEEKLY_SQL = f"""
 WITH {ITEMS}, d AS (SELECT *, CAST(date_trunc('week', published_at) AS DATE) AS week, CAST(published_at AS DATE) AS day FROM items),
 s AS (SELECT week, string_agg(source || '=' || n, '|' ORDER BY source) AS sources_breakdown FROM (
         SELECT week, source, count(*) AS n FROM d GROUP BY 1, 2) GROUP BY week),
@@ -144,11 +148,32 @@ SELECT CAST(d.week AS VARCHAR) AS week_start, CAST(CAST(d.week + INTERVAL 7 DAY
   count(*) FILTER (NOT is_duplicate) AS unique_stories, count(*) FILTER (is_duplicate) AS duplicates_found,
   any_value(trending_topics) AS trending_topics, CAST(any_value(b.day) AS VARCHAR) AS most_active_day,
   any_value(b.n) AS most_active_day_items, any_value(sources_breakdown) AS sources_breakdown
-FROM d JOIN s ON s.week = d.week JOIN b ON b.week = d.week LEFT JOIN t ON t.week = d.week GROUP BY d.week""")
+FROM d JOIN s ON s.week = d.week JOIN b ON b.week = d.week LEFT JOIN t ON t.week = d.week GROUP BY d.week"""
+
+
+@query("agg8_weekly_rollup", _WEEKLY_SQL)
 def _(spark, sf):
     return _listed(stats.weekly_rollup(narrow(spark, sf)), "sources_breakdown", "trending_topics")
 
 
+def _rolled(spark, sf, kind):
+    """The rollups after three batches that came out of order, one of them twice."""
+    root, items = scratch_path(spark, "rollups"), narrow(spark, sf)
+    for part in (2, 0, 1, 0):
+        partials.roll(items.where(F.pmod("doc_id", F.lit(3)) == part), root, part)
+    return spark.read.parquet(f"{root}/{kind}")
+
+
+@query("agg7_daily_incremental", _DAILY_SQL)
+def _(spark, sf):
+    return _listed(_rolled(spark, sf, "daily"), "sources_summary", "top_tags")
+
+
+@query("agg8_weekly_incremental", _WEEKLY_SQL)
+def _(spark, sf):
+    return _listed(_rolled(spark, sf, "weekly"), "sources_breakdown", "trending_topics")
+
+
 @query("agg9_period_facts", f"""
 WITH {ITEMS} SELECT CAST(CAST(date_trunc('week', published_at) AS DATE) AS VARCHAR) AS period,
   count(*) AS total_collected, count(DISTINCT source) AS sources_count FROM items WHERE NOT is_duplicate GROUP BY 1""")
@@ -366,6 +391,25 @@ def _(spark, sf):
     return merged.select(*_MERGED)
 
 
+def _replaced(spark, sf, force):
+    root = scratch_path(spark, "digests")
+    few = digests.Digests(stored_daily(spark, sf), daily(spark, sf, texts=False).entries.where("period_start <= DATE'2024-01-15'"))
+    digests.store_digests(few, root, "daily")
+    made = daily(spark, sf, texts=False)
+    digests.store_digests(made, root, "daily", force)
+    return spark.read.schema(made.records.schema).parquet(f"{root}/daily").select(*_MERGED)
+
+
+@query("dig4_store_digests", _merged_sql(False))
+def _(spark, sf):
+    return _replaced(spark, sf, False)
+
+
+@query("dig4_store_digests_forced", _merged_sql(True))
+def _(spark, sf):
+    return _replaced(spark, sf, True)
+
+
 def marked(spark, sf):
     records = daily(spark, sf, texts=False).records
     even = records.where(F.dayofmonth("digest_date") % 2 == 0).select("digest_date")

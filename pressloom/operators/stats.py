@@ -32,9 +32,13 @@ def top_topics(items: DataFrame, limit: int = 5, by: str | None = None) -> DataF
     """The most frequent tags, overall or per group, most frequent first, then by name."""
     if by is None:
         return topic_counts(items).orderBy(F.desc("n_items"), "topic").limit(limit)
+    return best_topics(topic_counts(items, by), limit, by)
+
+
+def best_topics(counted: DataFrame, limit: int, by: str) -> DataFrame:
+    """The first ``limit`` of counted topics (``topic, n_items``) per group, with ``topic_rank``."""
     w = Window.partitionBy(by).orderBy(F.desc("n_items"), F.asc("topic"))
-    counted = topic_counts(items, by).withColumn("topic_rank", F.row_number().over(w))
-    return counted.where(F.col("topic_rank") <= limit)
+    return counted.withColumn("topic_rank", F.row_number().over(w)).where(F.col("topic_rank") <= limit)
 
 
 def _rate(part: Column, whole: Column) -> Column:
@@ -170,23 +174,27 @@ def weekly_rollup(items: DataFrame, topics: int = 10) -> DataFrame:
     days = by_week.groupBy("week_start", F.to_date("published_at").alias("day")).agg(F.count(F.lit(1)).alias("n"))
     # Most items first, the earlier day on a tie.
     busiest = days.groupBy("week_start").agg(F.max(F.struct("n", -F.datediff("day", "week_start"), "day")).alias("_b"))
-    start = F.col("week_start")
-    return (
+    return as_weeks(
         _totals(by_week, "week_start", "sources_breakdown")
         .join(_topic_list(by_week, "week_start", topics, "trending_topics"), "week_start", "left")
         .join(busiest, "week_start")
-        .select(
-            "week_start",
-            F.date_add(start, 7).alias("week_end"),
-            F.weekofyear(start).alias("week_number"),
-            F.extract(F.lit("YEAROFWEEK"), start).alias("year"),
-            F.col("total_collected").alias("total_items"),
-            F.col("unique_items").alias("unique_stories"),
-            "duplicates_found", "trending_topics",
-            F.col("_b.day").alias("most_active_day"),
-            F.col("_b.n").alias("most_active_day_items"),
-            "sources_breakdown",
-        )
+    )
+
+
+def as_weeks(totals: DataFrame) -> DataFrame:
+    """Totals per ``week_start`` in the columns of a weekly rollup; ``_b`` is the busiest day."""
+    start = F.col("week_start")
+    return totals.select(
+        "week_start",
+        F.date_add(start, 7).alias("week_end"),
+        F.weekofyear(start).alias("week_number"),
+        F.extract(F.lit("YEAROFWEEK"), start).alias("year"),
+        F.col("total_collected").alias("total_items"),
+        F.col("unique_items").alias("unique_stories"),
+        "duplicates_found", "trending_topics",
+        F.col("_b.day").alias("most_active_day"),
+        F.col("_b.n").alias("most_active_day_items"),
+        "sources_breakdown",
     )
 
 

@@ -14,6 +14,7 @@ from pressloom.functions.text import preview
 from pressloom.operators import ranking, stats
 from pressloom.operators.filters import in_period
 from pressloom.plans import render
+from pressloom.sources import files
 from pressloom.sources.scratch import cut_lineage
 
 # Fixed value: topics listed in a weekly summary.
@@ -143,6 +144,17 @@ def merge_entries(stored: DataFrame, made: DataFrame, force: bool = False) -> Da
     return stored.unionByName(made.join(stored.select(*key).distinct(), key, "left_anti"))
 
 
+def store_digests(made: Digests, root: str, kind: str, force: bool = False) -> DataFrame:
+    """Write digests of ``kind`` (daily, weekly) and their entries to the tables below ``root``, period by period: the files of
+    periods that ``made`` does not have are neither read nor written. Same outcome as ``merge_digests`` and ``merge_entries``.
+    Returns the records that were written."""
+    key = "digest_date" if kind == "daily" else "week_start"
+    written = files.replace_partitions(made.records, f"{root}/{kind}", [key], force, _KEPT)
+    entries = made.entries.join(written.select(F.col(key).alias("period_start")), "period_start", "left_semi")
+    files.replace_partitions(entries.select(*made.entries.columns), f"{root}/entries", ["digest_kind", "period_start"])
+    return written
+
+
 def mark_sent(digests: DataFrame, sent: DataFrame, key: str, as_of) -> DataFrame:
     """Digests whose ``key`` is in ``sent`` marked as sent at ``as_of``."""
     marks = sent.select(key).distinct().withColumn("_now", F.lit(True))

@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
 from pressloom.functions.dates import as_of_literal
+from pressloom.operators import dedup
 from pressloom.operators.skew import first_per, fits, only_keys_of
 from pressloom.schemas import ITEM_SCHEMA
+from pressloom.sources import files
 from pressloom.sources.scratch import cut_lineage
 
 
@@ -16,8 +18,9 @@ def _first_of_id():
     return [F.asc("published_at"), F.asc("url")]
 
 
-def new_keys(batch: DataFrame, stored: DataFrame) -> DataFrame:
-    """``id, url`` of the batch rows that may be added; works on narrow rows only.
+def new_keys(batch: DataFrame, stored: DataFrame, stored_urls: DataFrame | None = None) -> DataFrame:
+    """``id, url`` of the batch rows that may be added; works on narrow rows only. Stored urls are those of ``stored``
+    unless ``stored_urls`` has them.
 
     Ids and urls are unique, also within the batch. The batch is reduced to one row per id and
     per url first, so the anti-joins against the stored keys meet no hot key.
@@ -26,18 +29,18 @@ def new_keys(batch: DataFrame, stored: DataFrame) -> DataFrame:
     by_id = first_per(narrow, ["id"], _first_of_id())
     one = first_per(by_id, ["url"], [F.asc("published_at"), F.asc("id")])
     small = fits(narrow)
-    known = lambda key: only_keys_of(stored.select(key), narrow, [key], small)
-    fresh = one.join(known("id"), "id", "left_anti")
-    return fresh.join(known("url"), "url", "left_anti").select("id", "url")
+    known = lambda table, key: only_keys_of(table.select(key), narrow, [key], small)
+    fresh = one.join(known(stored, "id"), "id", "left_anti")
+    return fresh.join(known(stored if stored_urls is None else stored_urls, "url"), "url", "left_anti").select("id", "url")
 
 
-def new_items(batch: DataFrame, stored: DataFrame) -> DataFrame:
+def new_items(batch: DataFrame, stored: DataFrame, stored_urls: DataFrame | None = None) -> DataFrame:
     """Items of the batch that may be added. Adding the same batch twice adds nothing.
 
     Wide rows are shuffled once, by id; the rest is decided on narrow rows.
     """
     one = first_per(batch, ["id"], _first_of_id())
-    return one.join(new_keys(batch, stored).select("id"), "id", "left_semi")
+    return one.join(new_keys(batch, stored, stored_urls).select("id"), "id", "left_semi")
 
 
 def write_items(items: DataFrame, path: str, mode: str = "append") -> None:
@@ -66,6 +69,20 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def flag_stored(spark: SparkSession, path: str, verdicts: DataFrame) -> list:
+    """Set ``is_duplicate`` and ``duplicate_of`` in the table at ``path``; rewrites the days that have such items and no
+    others. Returns these days."""
+    found = cut_lineage(verdicts.where("is_duplicate").select("id", "original_id", F.lit(True).alias("is_duplicate")))
+    stored = read_items(spark, path)
+    # Ids and days only; the texts of other days are never read.
+    narrow = only_keys_of(stored.select("id", "published_date"), found, ["id"], fits(found))
+    days = files.partitions(narrow.join(found.select("id"), "id", "left_semi"), ["published_date"])
+    if days:
+        touched = stored.where(files.one_of(["published_date"], days))
+        files.replace_partitions(dedup.flag_duplicates(touched, found).select(*stored.columns), path, ["published_date"])
+    return [d for (d,) in days]
+
+
 def as_items(stored: DataFrame) -> DataFrame:
     """Stored rows as item rows (``extra_metadata`` becomes ``metadata``, null lists become empty)."""
     out = stored.withColumnRenamed("extra_metadata", "metadata") if "extra_metadata" in stored.columns else stored
@@ -106,17 +123,7 @@ def publish(df: DataFrame, root: str, version: int) -> str:
 
 def current_version(spark: SparkSession, root: str) -> int | None:
     """The newest version that was written completely, or None."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(root)
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(folder):
-        return None
-    done = [
-        int(s.getPath().getName()[2:])
-        for s in fs.listStatus(folder)
-        if s.getPath().getName().startswith("v=")
-        and fs.exists(jvm.org.apache.hadoop.fs.Path(s.getPath(), "_SUCCESS"))
-    ]
+    done = [n for n in files.numbers(spark, root, "v=") if files.exists(spark, f"{root.rstrip('/')}/v={n:09d}/_SUCCESS")]
     return max(done, default=None)
 
 

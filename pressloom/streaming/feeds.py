@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import DateType, LongType, StructField, StructType
 
 from pressloom.operators import dedup, registry
-from pressloom.sources import tables
+from pressloom.sources import files, keyindex, tables
 
 # Fixed value: how late an item may be, in step with the age limit of batches.
 MAX_AGE = "7 days"
@@ -51,36 +51,47 @@ def run_to_table(stream: DataFrame, path: str, checkpoint: str, mode: str = "app
     )
 
 
-def new_in_batch(batch: DataFrame, stored: DataFrame, threshold: float = dedup.SIMILARITY) -> DataFrame:
+def new_in_batch(
+    batch: DataFrame, stored: DataFrame, threshold: float = dedup.SIMILARITY, stored_urls: DataFrame | None = None
+) -> DataFrame:
     """Rows of a batch that are no duplicates of stored items, by url and, where both sides have an
-    ``embedding``, by meaning. The window of candidates ends with the newest item of the batch."""
+    ``embedding``, by meaning. The window of candidates ends with the newest item of the batch. Urls are looked
+    for in ``stored_urls`` if it is given."""
+    urls = stored if stored_urls is None else stored_urls
     if "embedding" not in batch.columns or "embedding" not in stored.columns:
-        verdicts = dedup.match_url(batch.select("id", "url", "published_at"), stored)
+        verdicts = dedup.match_url(batch.select("id", "url", "published_at"), urls)
     else:
         newest = batch.agg(F.max("published_at")).first()[0]
         flagged = stored if "is_duplicate" in stored.columns else stored.withColumn("is_duplicate", F.lit(False))
         cands = dedup.candidates(flagged, newest) if newest else flagged
         narrow = batch.select("id", "url", "published_at", "embedding")
-        verdicts = dedup.dedup_batch_cascade(narrow, stored, cands, threshold)
+        verdicts = dedup.dedup_batch_cascade(narrow, urls, cands, threshold)
     return batch.join(verdicts.where("is_duplicate").select("id"), "id", "left_anti")
 
 
 def item_sink(
     items_path: str, registry_path: str, judge: Callable[[DataFrame, DataFrame], DataFrame] = new_in_batch,
+    keys_path: str | None = None,
 ) -> Callable[[DataFrame, int], None]:
-    """A ``foreachBatch`` function: new items to the item table, sightings to the registry log.
+    """A ``foreachBatch`` function: new items to the item table, their keys to the key index, sightings to the registry log.
 
-    Both writes are keyed by the batch number and replace what an interrupted run of the same
-    batch left, so a replay changes nothing. ``judge(batch, stored)`` drops duplicates before items
-    are stored. Items lie by batch and day, so ``tables.read_items`` reads them and days are pruned.
+    All writes are keyed by the batch number and replace what an interrupted run of the same
+    batch left, so a replay changes nothing. Which ids and urls are stored is read from the key index at ``keys_path``
+    (beside the items unless it is named), in the buckets of the batch only. ``judge(batch, stored)`` drops duplicates before
+    items are stored. Items lie by batch and day, so ``tables.read_items`` reads them and days are pruned.
     """
+    keys_path = keys_path or f"{items_path.rstrip('/')}-keys"
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)  # read by both writes
+        spark, folder = batch.sparkSession, f"{items_path}/batch_id={batch_id:09d}"
+        batch = batch.persist(StorageLevel.MEMORY_AND_DISK)  # read by all writes
         try:
-            stored = stored_items(batch.sparkSession, items_path, batch.schema, before=batch_id)
-            fresh = tables.new_items(judge(batch, stored), stored)
-            tables.write_items(fresh, f"{items_path}/batch_id={batch_id:09d}", mode="overwrite")
+            stored = stored_items(spark, items_path, batch.schema, before=batch_id)
+            ids, urls = (keyindex.known(batch, keys_path, kind, before=batch_id) for kind in keyindex.KINDS)
+            kept = new_in_batch(batch, stored, stored_urls=urls) if judge is new_in_batch else judge(batch, stored)
+            tables.write_items(tables.new_items(kept, ids, urls), folder, mode="overwrite")
+            # From the files themselves, so that both tables tell the same.
+            keyindex.write_keys(spark.read.schema(batch.schema).parquet(folder), keys_path, batch_id)
             sightings = registry.merge_registry(registry.registry_rows(batch))
             sightings.write.mode("overwrite").parquet(f"{registry_path}/batch_id={batch_id:09d}")
         finally:
@@ -91,9 +102,7 @@ def item_sink(
 
 def stored_items(spark, path: str, schema, before: int | None = None) -> DataFrame:
     """Items of the batches so far; with ``before`` only of earlier batches."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(path)
-    if not folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(folder):
+    if not files.exists(spark, path):
         return spark.createDataFrame([], schema)
     numbered = StructType([*schema.fields, StructField("batch_id", LongType()), StructField("published_date", DateType())])
     out = spark.read.schema(numbered).parquet(path)
