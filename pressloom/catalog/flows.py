@@ -10,7 +10,7 @@ from pressloom.catalog.duplicates import _CASCADE, _verdicts_sql, cascade_parts,
 from pressloom.catalog.registry import query
 from pressloom.catalog.views_sql import BATCH, ITEMS, SYND
 from pressloom.functions.markup import escape_markup
-from pressloom.operators import dedup
+from pressloom.operators import dedup, stats
 from pressloom.plans import ingest
 from pressloom.sources import feeds, sample_tables as st, tables
 from pressloom.sources.scratch import scratch_path
@@ -79,6 +79,17 @@ def _(spark, sf):
     return entries(spark, sf).groupBy("source").agg(F.count(F.lit(1)).alias("n_entries"), F.count("link").alias("n_links"))
 
 
+@query("src1_fetch_log", f"""
+WITH {ITEMS} SELECT CASE WHEN CAST(regexp_extract(source, '(\\d+)$', 1) AS INT) % 2 = 1 THEN 'arxiv-' || source ELSE source END AS source,
+  count(DISTINCT doc_id // 1000) AS success_count, 0 AS failure_count, count(*) AS items, count(*) FILTER (doc_id % 13 = 0) AS refused, 0 AS malformed
+FROM items GROUP BY 1""")
+def _(spark, sf):
+    """What one collection of all feeds met, and the statistics per feed that follow from its log."""
+    log = feeds.collect_feeds(spark, write_feeds(spark, sf), AS_OF).log
+    sums = log.groupBy("source").agg(*[F.sum(c).alias(c) for c in ("items", "refused", "malformed")])
+    return stats.feed_stats(log).select("source", "success_count", "failure_count").join(sums, "source")
+
+
 @query("src2_normalise_standard", f"""
 WITH {_FEED} SELECT sha256(link || title) AS id, link AS url, title, source, CAST(pub AS VARCHAR) AS published_at, tags,
   'desk@' || s AS author, id AS guid, text AS content, text AS summary FROM feed WHERE NOT preprint""")

@@ -6,7 +6,10 @@ many feeds is read by many tasks. Text that is no entry yields nothing and stops
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from collections.abc import Callable
+from dataclasses import dataclass
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from pressloom.functions import hashing
@@ -14,6 +17,7 @@ from pressloom.functions.dates import as_of_literal, parse_date
 from pressloom.functions.markup import escape_markup, markup_to_text
 from pressloom.functions.text import clean_tags, strip, truncated
 from pressloom.operators.filters import require_title_link
+from pressloom.sources.scratch import cut_lineage
 
 _TEXTS = ("title", "link", "description", "content:encoded", "summary", "pubDate", "published", "updated",
           "dc:date", "dc:creator", "author", "guid")
@@ -52,15 +56,24 @@ def feed_entries(files: DataFrame, source: str = "source") -> DataFrame:
     RSS and RDF items and Atom entries are cut out of the text one by one and read by themselves: a flaw in one
     costs that one, and a file that ends early keeps its whole entries. ``entry_pos`` is the file and the place in it.
     """
-    blocks = F.regexp_extract_all(_repaired(F.col("value")), F.lit(r"(?s)(<(item|entry)(?=[\s>]).*?</\2\s*>)"), F.lit(1))
-    cut = files.select(F.col(source).alias("source"), F.col("_metadata.file_path").alias("file"), F.posexplode(blocks).alias("place", "block"))
+    return _entries(_blocks(files.withColumn("_xml", _repaired(F.col("value"))), source, F.posexplode))
+
+
+def _blocks(files: DataFrame, source: str, explode: Callable[..., Column], *more: str) -> DataFrame:
+    """The entries of feed files (``_xml``) as they were read: ``r`` from RSS or RDF, ``a`` from Atom, neither if it could not be read."""
+    blocks = F.regexp_extract_all(F.col("_xml"), F.lit(r"(?s)(<(item|entry)(?=[\s>]).*?</\2\s*>)"), F.lit(1))
+    cut = files.select(F.col(source).alias("source"), F.col("_metadata.file_path").alias("file"), *more, explode(blocks).alias("place", "block"))
     options = {"mode": "PERMISSIVE"}
     is_rss = F.col("block").startswith("<item")
-    read = cut.select(
-        "source", F.struct("file", "place").alias("entry_pos"),
+    return cut.select(
+        "source", F.struct("file", "place").alias("entry_pos"), *more, F.col("block").isNotNull().alias("found"),
         F.when(is_rss, F.from_xml("block", _RSS_DDL, {**options, "rowTag": "item"})).alias("r"),
         F.when(~is_rss, F.from_xml("block", _ATOM_DDL, {**options, "rowTag": "entry"})).alias("a"),
-    ).where(F.col("r").isNotNull() | F.col("a").isNotNull())
+    )
+
+
+def _entries(blocks: DataFrame) -> DataFrame:
+    read = blocks.where(F.col("r").isNotNull() | F.col("a").isNotNull())
     plain = F.filter("a.link", lambda x: x["_rel"].isNull() | (x["_rel"] == "alternate"))
     names = F.filter(F.transform("a.author", lambda n: n["name"]), lambda n: n.isNotNull())
     rss, atom = (lambda n: F.col(f"r.`{n}`")), (lambda n: F.col(f"a.{n}"))
@@ -86,6 +99,46 @@ def read_feeds(spark: SparkSession, path: str, source: str = "source") -> DataFr
     return feed_entries(spark.read.schema(f"value string, {source} string").text(path, wholetext=True), source)
 
 
+@dataclass(frozen=True)
+class Collected:
+    """Entries, what became of every feed file, and the totals over all files."""
+
+    entries: DataFrame
+    log: DataFrame
+    totals: dict[str, int]
+
+
+def collect_feeds(spark: SparkSession, path: str, as_of, source: str = "source") -> Collected:
+    """All entries below ``path`` and the log of their collection, from one pass over the files.
+
+    What is read is written once to the checkpoint folder; entries and log come from there, and the totals are observed while it
+    is written. The log has a row per file: ``source, started_at, ok, items, malformed, refused, elapsed_s`` as ``stats.feed_stats``
+    reads it. ``ok``: the text is a feed. ``malformed``: entries that cannot be read or have no end. ``refused``: entries among
+    the items that have no title or no link.
+    """
+    files = spark.read.schema(f"value string, {source} string").text(path, wholetext=True).withColumn("_xml", _repaired(F.col("value")))
+    files = files.withColumns({
+        "is_feed": F.col("_xml").rlike(r"<(rss|feed|(\w+:)?RDF)[\s>]"), "begun": F.size(F.regexp_extract_all("_xml", F.lit(r"(<(item|entry)(?=[\s>]))"), F.lit(1))),
+    })
+    blocks = _blocks(files, source, F.posexplode_outer, "is_feed", "begun")
+    read = F.col("r").isNotNull() | F.col("a").isNotNull()
+    blank = lambda c: F.coalesce(F.length(strip(c)), F.lit(0)) == 0
+    title, link = F.coalesce("r.title", "a.title"), F.coalesce("r.link", F.get("a.link", 0)["_href"])
+    flags = blocks.withColumns({"read": read, "refused": read & (blank(title) | blank(link))})
+    seen = Observation()
+    counted = flags.observe(
+        seen, F.count_if("read").alias("items"), F.count_if(F.col("found") & ~F.col("read")).alias("unreadable"), F.count_if("refused").alias("refused"),
+        F.count_if(~F.col("is_feed")).alias("rows_of_no_feed"),
+    )
+    fixed = cut_lineage(counted)
+    log = fixed.groupBy("source", F.col("entry_pos.file").alias("file")).agg(
+        F.first("is_feed").alias("ok"), F.count_if("read").alias("items"),
+        (F.first("begun") - F.count_if("read")).cast("long").alias("malformed"), F.count_if("refused").alias("refused"),
+    )
+    log = log.withColumns({"started_at": as_of_literal(as_of), "elapsed_s": F.lit(None).cast("double")})
+    return Collected(_entries(fixed), log, seen.get)
+
+
 def read_feed_stream(spark: SparkSession, path: str, source: str = "source", files_per_trigger: int = 10_000) -> DataFrame:
     """Entries of feed files as they arrive, of every kind of feed."""
     reader = spark.readStream.schema(f"value string, {source} string").option("maxFilesPerTrigger", files_per_trigger)

@@ -4,6 +4,7 @@ import pytest
 from helpers import AS_OF, rows, when
 from pyspark.sql import functions as F
 
+from pressloom.operators import stats
 from pressloom.plans import ingest
 from pressloom.sources import feeds
 
@@ -133,3 +134,29 @@ def test_flaws_cost_one_entry(spark, tmp_path):
     assert got["https://w.org/3"].content == "Tea &cakea&b"
     order = [r.title for r in entries.orderBy("source", "entry_pos").collect() if r.title]
     assert order[:2] == ["Earlier file", "Cats & dogs"]
+
+
+def test_collection_log(spark, tmp_path):
+    whole = "<item><title>A</title><link>https://a.org/1</link></item>"
+    texts = {
+        "good": f"<rss><channel>{whole}{whole}<item><title>No link</title></item></channel></rss>",
+        "cut": f"<rss><channel>{whole}<item><title>Ends",
+        "page": "<html><body>Not found</body></html>",
+        "none": "<feed xmlns='http://www.w3.org/2005/Atom'><title>F</title></feed>",
+        "flaw": f"<rss><channel>{whole}<item><title>X</item></channel></rss>",
+        "blank": "",
+    }
+    for name, text in texts.items():
+        (tmp_path / f"source={name}").mkdir()
+        (tmp_path / f"source={name}" / "feed.xml").write_text(text)
+    done = feeds.collect_feeds(spark, str(tmp_path), AS_OF)
+    log = {r.source: (r.ok, r["items"], r.malformed, r.refused) for r in done.log.collect()}
+    assert log["good"] == (True, 3, 0, 1) and log["cut"] == (True, 1, 1, 0)
+    assert log["page"][:2] == (False, 0) and log["none"] == (True, 0, 0, 0)
+    assert log["flaw"][0] and log["flaw"][1] + log["flaw"][2] == 2 and log["flaw"][1] >= 1
+    assert not log["blank"][0] if "blank" in log else True
+    assert done.totals["items"] == sum(v[1] for v in log.values()) and done.totals["refused"] == sum(v[3] for v in log.values())
+    same = lambda df: sorted((r.source, r.title or "", r.link or "") for r in df.collect())
+    assert same(done.entries) == same(feeds.read_feeds(spark, str(tmp_path)))
+    health = {r.source: r.success_rate for r in stats.feed_stats(done.log).collect()}
+    assert health["good"] == 1.0 and health["page"] == 0.0
