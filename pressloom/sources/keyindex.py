@@ -1,7 +1,8 @@
 """Which ids and urls are stored: narrow rows in buckets of the key, so that a batch reads its own buckets only.
 
-A row says that a key (``id`` or ``url``) belongs to a stored item. Rows lie by batch, kind of key and bucket, a hash of the
-key, and their files carry Parquet Bloom filters of the keys. Writing a batch again replaces what it wrote before.
+A row says that a key (``id`` or ``url``) belongs to a stored item. Rows lie by batch and bucket, a hash of the
+key, in order of kind and key, and their files carry Parquet Bloom filters of the keys. Writing a batch again replaces what it
+wrote before. The number of buckets is a choice for the life of an index: more of them read less per batch and make more files.
 """
 
 from __future__ import annotations
@@ -12,11 +13,11 @@ from pyspark.sql import functions as F
 from pressloom.sources import files
 from pressloom.sources.scratch import cut_lineage
 
-BUCKETS = 64
+BUCKETS = 32
 #: Keys that a file is expected to hold; Bloom filters are made for so many. More keys only make them let more through.
 KEYS_A_FILE = 20_000
 KINDS = ("id", "url")
-_SCHEMA = "key string, item_id string, collected_at timestamp_ntz, batch_id long, kind string, bucket int"
+_SCHEMA = "kind string, key string, item_id string, collected_at timestamp_ntz, batch_id long, bucket int"
 
 
 def bucket_of(key: Column, buckets: int = BUCKETS) -> Column:
@@ -28,13 +29,13 @@ def key_rows(items: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     at = F.col("collected_at") if "collected_at" in items.columns else F.lit(None).cast("timestamp_ntz")
     kinds = F.explode(F.array(*[F.struct(F.lit(k).alias("kind"), F.col(k).alias("key")) for k in KINDS]))
     rows = items.select(F.col("id").alias("item_id"), at.alias("collected_at"), kinds.alias("k"))
-    return rows.select("k.key", "item_id", "collected_at", "k.kind", bucket_of(F.col("k.key"), buckets).alias("bucket")).where("key IS NOT NULL")
+    return rows.select("k.kind", "k.key", "item_id", "collected_at", bucket_of(F.col("k.key"), buckets).alias("bucket")).where("key IS NOT NULL")
 
 
 def _write(rows: DataFrame, folder: str) -> None:
-    spread = rows.hint("rebalance", "kind", "bucket")
+    spread = rows.repartition("bucket").sortWithinPartitions("bucket", "kind", "key")
     options = {"parquet.bloom.filter.enabled#key": "true", "parquet.bloom.filter.expected.ndv#key": str(KEYS_A_FILE), "partitionOverwriteMode": "static"}
-    spread.write.mode("overwrite").options(**options).partitionBy("kind", "bucket").parquet(folder)
+    spread.write.mode("overwrite").options(**options).partitionBy("bucket").parquet(folder)
 
 
 def write_keys(items: DataFrame, path: str, batch_id: int, buckets: int = BUCKETS) -> None:
