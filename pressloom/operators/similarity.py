@@ -34,7 +34,7 @@ SMALL_CANDIDATES = 10_000
 #: The most pivots, and of how many candidates they are chosen. Fewer candidates get fewer pivots.
 PIVOTS = 48
 PIVOT_SAMPLE = 2_048
-PER_PIVOT = 32
+PER_PIVOT = 128
 #: The most intervals of one pivot; a number of 64 bits names a set of them.
 INTERVALS = 60
 CANDIDATE_BLOCK = 4_096
