@@ -29,7 +29,7 @@ FILES = {
     "arXiv AI": HEAD + """<rdf:RDF xmlns:rdf="http://www.w3.org/1999/02/22-rdf-syntax-ns#" xmlns="http://purl.org/rss/1.0/" xmlns:dc="http://purl.org/dc/elements/1.1/">
 <channel rdf:about="http://arxiv.org/rss/cs.AI"><title>c</title><link>http://arxiv.org/rss/cs.AI</link></channel>
 <item rdf:about="http://arxiv.org/abs/2401.1"><title>Paper</title><link>http://arxiv.org/abs/2401.1</link><description>&lt;p&gt;""" + "w" * 250 + """&lt;/p&gt;</description>
-  <dc:creator>John Doe,  Jane Smith, ,</dc:creator><dc:date>2024-01-30T09:00:00+00:00</dc:date></item>
+  <dc:creator>Mara Quint,  Tove Brandt, ,</dc:creator><dc:date>2024-01-30T09:00:00+00:00</dc:date></item>
 <item rdf:about="x"><title>Older id</title><link>http://arxiv.org/abs/math/0101</link><description>d</description><dc:date>nonsense</dc:date></item>
 <item rdf:about="y"><title>Elsewhere</title><link>http://other.org/1</link><description>d</description></item>
 </rdf:RDF>""",
@@ -75,7 +75,7 @@ def test_blank_entries_are_dropped_and_broken_feeds_stop_nothing(parsed):
 
 def test_preprints(parsed):
     paper = parsed["http://arxiv.org/abs/2401.1"]
-    assert paper.metadata == {"authors": "John Doe, Jane Smith", "arxiv_id": "2401.1", "type": "research_paper", "source_type": "preprint"}
+    assert paper.metadata == {"authors": "Mara Quint, Tove Brandt", "arxiv_id": "2401.1", "type": "research_paper", "source_type": "preprint"}
     assert (paper.tags, paper.summary, paper.content) == (["arxiv", "cs.ai"], "w" * 200 + "...", "w" * 250)
     assert paper.published_at == when("2024-01-30 09:00:00")
     older = parsed["http://arxiv.org/abs/math/0101"]
