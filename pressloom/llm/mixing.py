@@ -41,7 +41,7 @@ SHARD = 8_192
 PARTS = 4_096
 ROUNDS = 24
 #: Slots that are made from one row.
-RUN = 8_192
+RUN = 1_024
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -119,8 +119,14 @@ def pieces(docs: DataFrame) -> DataFrame:
 
 def slots(plan: DataFrame) -> DataFrame:
     """``shard, slot, sid, block``: what every slot of the output takes."""
-    runs = plan.where("slots > 0").withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("slots") - 1) / RUN))))
-    runs = runs.repartition("sid", "run")
+    n = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    last_run = F.floor((F.col("slots") - 1) / RUN)
+    # Two steps, so that no list of runs is longer than RUN.
+    thousands = F.sequence(F.lit(0).cast("long"), F.floor(last_run / RUN))
+    runs = plan.where("slots > 0").withColumn("thousand", F.explode(thousands))
+    within = F.sequence(F.col("thousand") * RUN, F.least((F.col("thousand") + 1) * RUN - 1, last_run))
+    # The rows are few but each becomes very many: with a number of its own the planner leaves them apart.
+    runs = runs.withColumn("run", F.explode(within)).drop("thousand").repartition(n, "sid", "run")
     last = F.least((F.col("run") + 1) * RUN, F.col("slots")) - 1
     each = runs.withColumn("j", F.explode(F.sequence(F.col("run") * RUN, last)))
     turn = F.floor(F.col("j") / F.col("blocks"))
