@@ -10,9 +10,10 @@ mistake; the third those rule keys that the second lets through, and so on until
 mistake. Levels take turns, so for every key of the universe the first level that rejects it tells
 whether it is listed: exactly, without a join and without the rules themselves.
 
-A filter's size follows the rule list and the mistakes, not the corpus: with a first level at an
-error rate of ``1 / ERROR`` the second holds about that part of the universe. Distinct keys are found by
-aggregation; only bits come to the driver, as words that hold at least one key each.
+A filter's size follows the rule list and the mistakes: the first level's error rate is ``1 / ERROR``, and smaller for a
+universe of more than ``ERROR * MISTAKES`` keys, so that the second level holds about ``MISTAKES`` keys at most. That costs the first one
+1.44 bits a rule for each doubling. The universe's distinct keys are found once and written; only bits come to the driver, as words
+that hold at least one key each.
 
 Defined results: null and a url without ``://`` have host and path ''. An empty host has no keys. A url
 that no rule fits is not listed, and gets ``DEFAULT``. Repeated rows give equal rows; without rules
@@ -27,9 +28,13 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pressloom.sources.scratch import cut_lineage
+
 DEFAULT = "allow"
-#: One in so many keys passes the first level by mistake; one in two passes each later one.
+#: One in so many keys passes the first level by mistake, or fewer: about as many as MISTAKES at most; one in two passes each later one.
 ERROR = 256
+#: Keys that the second level is expected to hold at most, whatever the corpus: 180 KB of bits.
+MISTAKES = 1_000_000
 Rule = tuple[str, str, str]  # action, host, path
 
 
@@ -87,12 +92,12 @@ def contains(key: Column, level: int, made: Level) -> Column:
     return out
 
 
-def _filled(keys: DataFrame, level: int) -> Level:
-    """A filter of the column ``key``. Bits are set by an aggregation over their words."""
+def _filled(keys: DataFrame, level: int, error: float) -> Level:
+    """A filter of the column ``key``; one in ``error`` keys passes by mistake. Bits are set by an aggregation over their words."""
     n = keys.count()
     if not n:
         return Level(64, 1, {})
-    rate = 1 / ERROR if level == 0 else 1 / 2
+    rate = 1 / error
     bits = 64 * math.ceil(-n * math.log(rate) / math.log(2) ** 2 / 64)
     hashes = max(1, round(bits / n * math.log(2))) if level == 0 else 1
     at = keys.select(F.explode(F.array(*_places(F.col("key"), level, bits, hashes))).alias("at"))
@@ -110,12 +115,14 @@ class Cascade:
 
     @classmethod
     def build(cls, listed: DataFrame, universe: DataFrame) -> Cascade:
-        """From tables with the column ``key``. ``universe`` holds every key that will be asked for."""
+        """From tables with the column ``key``. ``universe`` holds every key that will be asked for and is read at each level.
+        ``listed`` is broadcast: a list that was in memory before."""
         listed = listed.select("key").distinct()
         others = universe.select("key").distinct().join(F.broadcast(listed), "key", "left_anti")
         inside, outside, levels = listed, others, []
+        first = max(ERROR, universe.count() / MISTAKES)
         while True:
-            made = _filled(inside, len(levels))
+            made = _filled(inside, len(levels), 2 if levels else first)
             levels.append(made)
             if not made.words:
                 return cls(levels)
@@ -139,7 +146,7 @@ def judge(df: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
     parsed = df.withColumns({"host": host_of(F.col(f"`{url}`")), "path": path_of(F.col(f"`{url}`"))})
     lengths = sorted({len(p) for _, _, p in rules})
     keys = keys_of(F.col("host"), F.col("path"), lengths)
-    universe = parsed.select(F.explode(keys).alias("key"))
+    universe = cut_lineage(parsed.select(F.explode(keys).alias("key")).distinct())
     cascades = {}
     for action in ("allow", "block"):
         own = [(f"{h} {p}",) for a, h, p in rules if a == action]
