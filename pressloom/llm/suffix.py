@@ -15,8 +15,10 @@ Suffixes are dealt out so that equal passages meet:
   array of many such groups at once. In suffix order the previous and the next smaller position give
   the longest earlier match of each position (the longest previous factor); with the order turned
   round they give the longest later one.
-* An anchor with more than ``SMALL`` different segments is not put into one task: the hashes of its windows
-  are counted by a Spark aggregate, with the same result.
+* An anchor with more different segments than fit one array (``TOGETHER``) is made longer: its windows are cut into those that
+  begin farther before it and those that begin nearer, and each half goes to the longer string that all its windows
+  share. Parts of segments that are equal there are counted; the different ones of one such string are few, or it is made
+  longer again. After eight halvings the string is the window itself, so no group stays large.
 
 Defined results: null is the empty text; shorter texts have no passages. Equal rows are separate
 documents, each a copy of the other; as nothing tells them apart, ``keep="first"`` leaves in all of them
@@ -39,7 +41,8 @@ from pyspark.sql import functions as F
 from pressloom.sources.scratch import cut_lineage
 
 LENGTH, K = 400, 200
-SMALL = 400
+#: Different segments of one anchor that go into one suffix array.
+TOGETHER = 400
 #: Bytes of segments in one suffix array.
 BATCH = 1_000_000
 
@@ -250,12 +253,10 @@ def spans(df: DataFrame, keep: str = "none", length: int = LENGTH, k: int = K) -
     texts = docs.join(wanted, "uid").select("uid", raw.alias("raw"), F.explode("wanted").alias("w"))
     content = F.substring(F.col("raw"), F.col("w.lo").cast("int") + 1, (F.col("w.hi") - F.col("w.lo")).cast("int") + length)
     segments = cut_lineage(texts.select("uid", "w.*", content.alias("content")))
-    small = segments.where(F.col("kinds") <= SMALL)
+    small, equal = _small_groups(segments, length, k, keep)
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ordered = small.repartition(n, "key").sortWithinPartitions("key", F.col("doc_id").asc_nulls_last(), "uid", "lo")
-    ranges = ordered.mapInPandas(_compare(length, keep), _RANGE)
-    large = _window_ranges(segments.where(F.col("kinds") > SMALL), length, keep)
-    mixed = ranges.union(large)
+    mixed = ordered.mapInPandas(_compare(length, keep), _RANGE)
     # What has copies is already removed whole, unless its first copy is to be kept.
     mixed = mixed.where("copies = 1") if keep == "none" else mixed
     parts = mixed.select("uid", (F.col("lo") + F.col("a")).alias("a"), (F.col("lo") + F.col("b") + length).alias("b"))
@@ -270,31 +271,59 @@ def spans(df: DataFrame, keep: str = "none", length: int = LENGTH, k: int = K) -
             ),
         ).otherwise(F.concat(done, F.array(s))),
     )
+    for more in equal:
+        whole = whole.union(more)
     return whole.union(parts).groupBy("uid").agg(merged.alias("spans"))
 
 
-def _window_ranges(segments: DataFrame, length: int, keep: str) -> DataFrame:
-    """The repeated windows of segments of which one anchor has very many: hashes of windows, counted."""
-    schema = "key long, seg long, doc_id long, uid long, lo long, copies long, h1 long, h2 long, at long"
-    names = [c.split()[0] for c in schema.split(", ")]
+def _small_groups(segments: DataFrame, length: int, k: int, keep: str) -> tuple[DataFrame, list[DataFrame]]:
+    """(segments or parts of them, by keys with at most ``TOGETHER`` different ones; ranges of equal parts, as ``uid, a, b``).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for row in batch.select(["key", "seg", "doc_id", "uid", "lo", "copies", "content"]).to_pylist():
-                codes = np.frombuffer(row.pop("content"), np.uint8)
-                h1 = rolling(codes, length).view(np.int64)
-                h2 = rolling(codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15), length).view(np.int64)
-                same = [pa.array([row[c]] * len(h1), pa.int64()) for c in names[:6]]
-                yield pa.RecordBatch.from_arrays([*same, pa.array(h1), pa.array(h2), pa.array(np.arange(len(h1)))], names)
-
-    windows = segments.mapInArrow(run, schema)
-    order = F.struct(F.col("doc_id").isNull(), "doc_id", "uid", "lo", "seg", "at")
-    counted = windows.groupBy("key", "h1", "h2").agg(F.count("*").alias("n"), F.min(order).alias("first")).where("n > 1")
-    # There are far more windows than the planner expects from the segments.
-    hits = windows.join(counted.hint("merge"), ["key", "h1", "h2"])
-    if keep == "first":
-        hits = hits.where(~((F.col("seg") == F.col("first.seg")) & (F.col("at") == F.col("first.at"))))
-    return hits.select("key", "seg", "uid", "lo", "copies", F.col("at").alias("a"), F.col("at").alias("b"))
+    ``s`` is the first window of a row and ``x`` to ``y`` are the windows its key stands for, all counted from the anchor.
+    """
+
+    @F.arrow_udf("long")
+    def first_window(contents: pa.Array) -> pa.Array:
+        return pa.array([-int(anchors(c.as_py(), length, k)[0][0]) for c in contents], pa.int64())
+
+    columns = ["key", "seg", "doc_id", "uid", "lo", "copies", "content"]
+    small, equal = segments.where(F.col("kinds") <= TOGETHER).select(*columns), []
+    large = segments.where(F.col("kinds") > TOGETHER).select(*columns)
+    large = large.withColumns({"s": first_window("content"), "x": F.lit(k - length).cast("long"), "y": F.lit(0).cast("long")})
+    while not large.isEmpty():
+        parts = cut_lineage(_halves(large, length))
+        order = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "uid", "lo")
+        kinds = parts.groupBy("key", "seg").agg(F.count("*").alias("n"), F.min(order).alias("first"))
+        per_key = kinds.groupBy("key").agg(F.count("*").alias("kinds"))
+        is_first = (F.col("uid") == F.col("first.uid")) & (F.col("lo") == F.col("first.lo"))
+        copied = parts.join(kinds.where("n > 1"), ["key", "seg"])
+        if keep == "first":
+            copied = copied.where(~is_first)
+        equal.append(copied.select("uid", F.col("lo").alias("a"), (F.col("lo") + F.octet_length("content")).alias("b")))
+        several = kinds.join(per_key.where("kinds > 1"), "key").select("key", "seg", "first", "kinds")
+        large = cut_lineage(parts.join(several, ["key", "seg"]).where(is_first).drop("first"))
+        small = small.union(large.where(F.col("kinds") <= TOGETHER).select(*columns))
+        large = large.where(F.col("kinds") > TOGETHER).drop("kinds")
+    return small, equal
+
+
+def _halves(rows: DataFrame, length: int) -> DataFrame:
+    """Each row as its windows up to the middle of ``x`` to ``y`` and those after it, by the string that the windows of a half share."""
+    middle = F.floor((F.col("x") + F.col("y")) / 2)
+    both = F.array(F.struct(F.col("x"), middle.alias("y")), F.struct((middle + 1).alias("x"), F.col("y")))
+    cut = rows.withColumn("half", F.explode(both)).withColumns({"x": F.col("half.x"), "y": F.col("half.y")})
+    last = F.col("s") + F.octet_length("content") - length
+    cut = cut.withColumns({"from": F.greatest("x", "s"), "to": F.least(F.col("y"), last)}).where(F.col("from") <= F.col("to"))
+
+    def piece(begin: Column, size: Column) -> Column:
+        return F.substring(F.col("content"), (begin - F.col("s")).cast("int") + 1, size.cast("int"))
+
+    shared = piece(F.col("y"), F.col("x") - F.col("y") + length)
+    content = piece(F.col("from"), F.col("to") - F.col("from") + length)
+    return cut.select(
+        F.xxhash64("key", "x", shared).alias("key"), F.xxhash64("from", content, F.lit(1)).alias("seg"), "doc_id", "uid",
+        (F.col("lo") + F.col("from") - F.col("s")).alias("lo"), "copies", content.alias("content"), F.col("from").alias("s"), "x", "y",
+    )
 
 
 def remove_repeats(df: DataFrame, keep: str = "none", length: int = LENGTH, k: int = K) -> DataFrame:

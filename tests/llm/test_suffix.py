@@ -28,9 +28,9 @@ def texts(seed):
 
 
 @pytest.mark.parametrize("keep", ["none", "first"])
-@pytest.mark.parametrize("small", [400, 2])
-def test_against_all_windows(spark, monkeypatch, keep, small):
-    monkeypatch.setattr(suffix, "SMALL", small)
+@pytest.mark.parametrize("together", [400, 2])
+def test_against_all_windows(spark, monkeypatch, keep, together):
+    monkeypatch.setattr(suffix, "TOGETHER", together)
     rows = texts(5)
     df = with_clashes(docs(spark, *enumerate(rows)))
     found = {r.doc_id: r for r in suffix.remove_repeats(df, keep, 20, 10).collect()}
@@ -41,6 +41,18 @@ def test_against_all_windows(spark, monkeypatch, keep, small):
         assert len(wanted[i]) == found[i].n_bytes - sum(s.b - s.a for s in found[i].spans)
 
 
+@pytest.mark.parametrize("keep", ["none", "first"])
+def test_one_passage_in_many_texts(spark, monkeypatch, keep):
+    """One anchor with far more segments than go into one array, equal at its left, at its right, on both sides or on none."""
+    monkeypatch.setattr(suffix, "TOGETHER", 5)
+    random.seed(9)
+    some = lambda n: "".join(random.choice("abcdef") for _ in range(n))
+    passage, lefts, rights = some(14), [some(9) for _ in range(4)], [some(9) for _ in range(4)]
+    rows = [random.choice([*lefts, some(9)]) + passage + random.choice([*rights, some(random.randint(0, 9))]) for _ in range(120)]
+    found = {r.doc_id: bytes(r.kept) for r in suffix.remove_repeats(docs(spark, *enumerate(rows)), keep, 20, 10).collect()}
+    assert [found[i] for i in range(len(rows))] == plain(rows, 20, keep)
+
+
 def test_longest_previous_factors():
     random.seed(6)
     for _ in range(30):
