@@ -9,7 +9,7 @@ from pressloom.catalog.scalars import _SIM_TEXT, similarity_texts
 from pressloom.catalog.views_sql import BATCH, ITEMS, SYND, VECS
 from pressloom.functions import hashing, vectors
 from pressloom.operators import dedup, registry, similarity
-from pressloom.sources import keyindex, tables
+from pressloom.sources import embedding_cache, keyindex, tables
 from pressloom.sources import sample_tables as st
 from pressloom.sources.scratch import scratch_path
 
@@ -369,3 +369,31 @@ def _(spark, sf):
     items = similarity_texts(st.items_synd(spark, sf))
     embedded, _ = registry.embed_with_cache(items, _cache(spark, sf), stand_in_embedder, "model-a", AS_OF, spread_by=("doc_id",))
     return embedded.select("doc_id", "cache_key", "from_cache", F.col("embedding")[0].cast("double").alias("first_number"))
+
+
+def _stored_cache(spark, sf):
+    """The cache rows as a stored table: its name and path."""
+    path = scratch_path(spark, "cache")
+    name = f"cache_{path[-32:]}"
+    embedding_cache.open_cache(spark, name, path)
+    embedding_cache.add(_cache(spark, sf), name)
+    return name, path
+
+
+@query("ded15_stored_cache", f"""
+WITH {_CACHE_SQL} SELECT doc_id, k.cache_key, c.cache_key IS NOT NULL AS from_cache, length(sim_text)::DOUBLE AS first_number
+FROM keyed k LEFT JOIN cache c ON c.cache_key = k.cache_key""")
+def _(spark, sf):
+    name, _ = _stored_cache(spark, sf)
+    items = similarity_texts(st.items_synd(spark, sf))
+    embedded = embedding_cache.embed(items, name, stand_in_embedder, "model-a", AS_OF, spread_by=("doc_id",))
+    return embedded.select("doc_id", "cache_key", "from_cache", F.col("embedding")[0].cast("double").alias("first_number"))
+
+
+@query("ded14_expire_stored_cache", f"""
+WITH {_CACHE_SQL} SELECT cache_key FROM cache WHERE CAST(created_at AS DATE) >= CAST(TIMESTAMP '{AS_OF}' - INTERVAL 14 DAY AS DATE)""")
+def _(spark, sf):
+    """Whole days go."""
+    name, path = _stored_cache(spark, sf)
+    embedding_cache.expire(spark, name, path, AS_OF, 14)
+    return spark.table(name).select("cache_key")

@@ -14,7 +14,7 @@ from pressloom.operators import dedup, stats
 from pressloom.plans import ingest
 from pressloom.sources import feeds, sample_tables as st, tables
 from pressloom.sources.scratch import scratch_path
-from pressloom.streaming import feeds as streams
+from pressloom.streaming import feeds as streams, registry_state
 
 AS_OF = st.AS_OF
 _LINK = "https://arxiv.org/abs/"
@@ -244,8 +244,11 @@ def _(spark, sf):
 
 
 def synd_stream(spark, sf):
-    """Arriving documents as items; exact copies share their id."""
-    docs = _stream(spark, sf, "documents")
+    return synd_items(spark, sf, _stream(spark, sf, "documents"))
+
+
+def synd_items(spark, sf, docs):
+    """Documents as items; exact copies share their id."""
     title = F.substring(F.substring_index("text", "\n", 1), 1, 500)
     url = F.concat(F.lit("https://example.com/a/"), F.left(F.sha2("text", 256), F.lit(16)))
     at = st.published_at(F.col("doc_id"))
@@ -289,6 +292,28 @@ def _(spark, sf):
     return stored.withColumn("url_hash", F.sha2("url", 256)).join(counts, "url_hash").select("id", "url", "occurrence_count")
 
 
+@query("ded13_registry_stream", f"""
+WITH {SYND}, l AS (SELECT max(collected_at) FILTER (published_at < TIMESTAMP '2024-01-24') - INTERVAL 10 DAY AS between_runs,
+                          max(collected_at) - INTERVAL 10 DAY AS at_end FROM synd),
+old AS (SELECT url, max(collected_at) AS seen FROM synd WHERE published_at < TIMESTAMP '2024-01-24' GROUP BY 1),
+live AS (SELECT s.* FROM synd s LEFT JOIN old USING (url) CROSS JOIN l
+         WHERE s.published_at >= TIMESTAMP '2024-01-24' OR old.seen >= l.between_runs)
+SELECT sha256(url) AS url_hash, arg_min(id, {{'c': collected_at, 'i': id}}) AS news_item_id, CAST(min(collected_at) AS VARCHAR) AS first_seen_at,
+       CAST(max(collected_at) AS VARCHAR) AS last_seen_at, count(*) AS occurrence_count
+FROM live GROUP BY url HAVING max(collected_at) >= (SELECT at_end FROM l)""")
+def _(spark, sf):
+    """Older items arrive first, then the newer ones in a new run from the same checkpoint; keys live ten days."""
+    items = synd_items(spark, sf, st.table(spark, sf, "documents"))
+    path, state = (scratch_path(spark, n) for n in ("arrivals", "stream-state"))
+    for part in (st.before_split(items), st.from_split(items)):
+        part.write.mode("append").parquet(path)
+        arriving = spark.readStream.schema(items.schema).parquet(path)
+        registry_state.keep_registry(arriving, state, 10).awaitTermination()
+    return registry_state.live_registry(spark, state).select(
+        "url_hash", "news_item_id", "first_seen_at", "last_seen_at", "occurrence_count"
+    )
+
+
 @query("str5_counts_by_day", """
 SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, event_type, count(*) AS n_items FROM events
 WHERE CAST(ts AS DATE) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY GROUP BY 1, 2""")
