@@ -144,6 +144,28 @@ def _(spark, sf):
                        F.col("metadata")["doc_id"].cast("long").alias("doc_id"))
 
 
+def _stored_path(spark, sf):
+    path = scratch_path(spark, "items")
+    tables.write_items(tables.as_items(st.items(spark, sf, duplicates=True)), path)
+    return path
+
+
+@query("flt2_newest_stored", f"""
+WITH {ITEMS} SELECT id, CAST(published_at AS VARCHAR) AS published_at FROM items
+WHERE published_at >= TIMESTAMP '{AS_OF}' - INTERVAL 20 DAY AND NOT is_duplicate AND source = 'src3'
+ORDER BY items.published_at DESC, id LIMIT 10""")
+def _(spark, sf):
+    return tables.newest_items(spark, _stored_path(spark, sf), AS_OF, 10, 20, "src3").select("id", "published_at")
+
+
+@query("ded7_newest_candidates", f"""
+WITH {ITEMS} SELECT id, CAST(published_at AS VARCHAR) AS published_at FROM items
+WHERE published_at >= TIMESTAMP '{AS_OF}' - INTERVAL 30 DAY AND NOT is_duplicate ORDER BY items.published_at DESC, id LIMIT 1000""")
+def _(spark, sf):
+    """The cap of 1,000 newest candidates."""
+    return tables.newest_items(spark, _stored_path(spark, sf), AS_OF, 1000, dedup.CANDIDATE_DAYS).select("id", "published_at")
+
+
 # The whole batch judged, stored items and all that follows from it.
 _INGEST = f"""{_CASCADE},
 v AS ({_verdicts_sql(False)}),

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import date
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,17 @@ def numbers(spark: SparkSession, path: str, prefix: str) -> list[int]:
     return [int(n.removeprefix(prefix)) for n in names if n.startswith(prefix)]
 
 
+def days(spark: SparkSession, path: str, column: str) -> list[date]:
+    """The days that have a folder of the partition ``column`` in ``path`` or in its folders of batches, newest first.
+    Only names are listed."""
+    fs, root = _folder(spark, path)
+    level = [s.getPath() for s in fs.listStatus(root)] if fs.exists(root) else []
+    batches = [f for f in level if f.getName().startswith("batch_id=")]
+    names = {f.getName() for f in level} | {s.getPath().getName() for f in batches for s in fs.listStatus(f)}
+    values = [n.removeprefix(f"{column}=") for n in names if n.startswith(f"{column}=")]
+    return sorted((date.fromisoformat(v) for v in values if v[:1].isdigit()), reverse=True)
+
+
 def one_of(keys: list[str], values: list) -> "F.Column":
     """Whether the row is in one of the partitions ``values`` (rows of ``keys``): plain comparisons of partition
     columns, so that other folders are not read."""

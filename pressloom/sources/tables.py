@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DateType, StructField, StructType
 
 from pressloom.functions.dates import as_of_literal
-from pressloom.operators import dedup
+from pressloom.operators import dedup, filters
 from pressloom.operators.skew import first_per, fits, only_keys_of
 from pressloom.schemas import ITEM_SCHEMA
 from pressloom.sources import files
@@ -69,6 +69,23 @@ def read_items(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+def newest_items(spark: SparkSession, path: str, as_of, limit: int, days: int = 7, source: str | None = None) -> DataFrame:
+    """``filters.recent`` with ``limit`` on the table at ``path``, without reading more days than it takes.
+
+    Days are walked from the newest, one, two, four and so on at a time, and their rows counted, until there are enough; only
+    those days are then sorted. Candidates with a cap (``dedup.candidates``) are these rows for ``dedup.CANDIDATE_DAYS``.
+    """
+    stored, some, enough, step = read_items(spark, path), [], 0, 1
+    since = spark.range(1).select(F.to_date(as_of_literal(as_of) - F.make_dt_interval(F.lit(days)))).first()[0]
+    left = [d for d in files.days(spark, path, "published_date") if d >= since]
+    while left and enough < limit:
+        taken, left = left[:step], left[step:]
+        of_days = stored.where(F.col("published_date").isin(taken))
+        enough += filters.recent(of_days, as_of, days, source).count()
+        some, step = some + taken, step * 2
+    return filters.recent(stored.where(F.col("published_date").isin(some)), as_of, days, source, limit)
+
+
 def flag_stored(spark: SparkSession, path: str, verdicts: DataFrame) -> list:
     """Set ``is_duplicate`` and ``duplicate_of`` in the table at ``path``; rewrites the days that have such items and no
     others. Returns these days."""
