@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 UNKNOWN = "und"
 SIZES = (2, 3, 4)
-#: About so many labelled texts of each language are learned from.
+#: About so many different labelled texts of each language are learned from.
 SAMPLE_PER_LANGUAGE = 2_000
 #: An n-gram belongs to a language in which it makes up this share of the n-grams of its size, and
 #: at least this part of its share in the language that uses it most. The first bounds a filter
@@ -86,18 +86,20 @@ def _cells(h: np.ndarray, cells: int) -> list[np.ndarray]:
 def learn(labelled: DataFrame, text: str = "text", lang: str = "lang", sample: int = SAMPLE_PER_LANGUAGE) -> Filters:
     """Filters from the rows of ``labelled`` that have a text and a language.
 
-    Fitted on a bounded sample: rows are taken by a hash of their text, so that about ``sample``
-    rows of each language are learned from. Counting is a Spark aggregation; what comes to the
-    driver is the number of rows of each language and at most ``1 / LEAST_SHARE`` n-grams for each
-    language and size.
+    Fitted on a bounded sample: texts are taken by their hash, each once however many copies it has, so that about
+    ``sample`` different texts of each language are learned from and a group of copies weighs as one. Counting is a Spark
+    aggregation; what comes to the driver is the numbers of rows and texts of each language and at most ``1 / LEAST_SHARE`` n-grams for
+    each language and size.
     """
     rows = labelled.select(F.col(f"`{text}`").alias("text"), F.col(f"`{lang}`").alias("lang")).dropna()
-    found = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    counted = rows.groupBy("lang").agg(F.count("*").alias("n"), F.approx_count_distinct("hash", 0.02).alias("different")).collect()
+    found, different = {r.lang: r.n for r in counted}, {r.lang: max(1, r.different) for r in counted}
     languages = sorted(found)
     if not languages:
         return Filters([], np.zeros((1, 1), np.uint64), np.zeros(0), 0)
-    part = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, sample / found[k]))])
-    chosen = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 20)) < part[F.col("lang")] * (1 << 20))
+    part = F.create_map(*[F.lit(x) for k in languages for x in (k, min(1.0, sample / different[k]))])
+    chosen = rows.where(F.pmod("hash", F.lit(1 << 20)) < part[F.col("lang")] * (1 << 20)).dropDuplicates(["lang", "hash"])
     grams = chosen.select("lang", "text").mapInPandas(_counted, "lang string, size int, gram long, n long")
     counts = grams.groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
     totals = {(r.lang, r.size): r.n for r in counts.groupBy("lang", "size").agg(F.sum("n").alias("n")).collect()}

@@ -1,3 +1,6 @@
+import random
+from collections import Counter
+
 from small_docs import AWKWARD, docs, with_clashes
 from pressloom.llm import langid, queries
 from pyspark.sql import functions as F
@@ -39,3 +42,43 @@ def test_more_languages_than_bits(spark):
     filters = langid.learn(known)
     assert len(filters.languages) == 70
     assert all(langid.judge(f"{w} {w}", filters)[0] == f"l{i:02}" for i, w in enumerate(words))
+
+
+def grams(text):
+    letters = "".join(c if c.isalpha() else " " for c in text.lower())
+    letters = " " + " ".join(letters.split()) + " "
+    return [letters[i : i + n] for n in langid.SIZES for i in range(len(letters) - n + 1)]
+
+
+def test_against_plain_sets_of_ngrams(spark):
+    """The languages of each n-gram as sets, its occurrences in a text counted one by one."""
+    random.seed(8)
+    sounds = {"aa": "ka lo mi tu re sa", "bb": "ka lo vi zu ne pa", "cc": "cho lo mi zu que ra"}
+    say = lambda k, n: " ".join("".join(random.choices(sounds[k].split(), k=random.randint(1, 4))) for _ in range(n))
+    known = [(say(k, 30), k) for k in sounds for _ in range(20)]
+    filters = langid.learn(docs(spark, *[(i, t, k) for i, (t, k) in enumerate(known)]))
+    counts = {(k, n): Counter(g for t, lang in known if lang == k for g in grams(t) if len(g) == n) for k in sounds for n in langid.SIZES}
+    share = {(k, g): c / sum(counts[k, n].values()) for k, n in counts for g, c in counts[k, n].items()}
+    best = Counter()
+    for (_, g), s in share.items():
+        best[g] = max(best[g], s)
+    sets = {k: {g for (lang, g), s in share.items() if lang == k and s >= langid.LEAST_SHARE and s >= langid.LEAST_PART * best[g]} for k in sounds}
+    for _ in range(200):
+        text = " ".join(say(k, random.randint(0, 8)) for k in sounds)
+        if not text.strip():
+            continue
+        all_grams = grams(text)
+        hits = {k: sum(g in sets[k] for g in all_grams) for k in sounds}
+        lang, score = langid.judge(text, filters)
+        assert abs(score - max(hits.values()) / len(all_grams)) < 0.08
+        first, second, *_ = sorted(hits.values(), reverse=True)
+        assert first - second < 0.1 * len(all_grams) or hits[lang] == first
+
+
+def test_copies_weigh_once(spark):
+    """One text in thousands of copies among others of its language: all are learned from."""
+    others = [f"word{chr(97 + i % 26)}{chr(97 + i // 26)} stands here" for i in range(100)]
+    many = docs(spark, *[(i, "the same text", "en") for i in range(3_000)], *[(9_000 + i, t, "en") for i, t in enumerate(others)])
+    once = docs(spark, (1, "the same text", "en"), *[(9_000 + i, t, "en") for i, t in enumerate(others)])
+    a, b = langid.learn(many, sample=200), langid.learn(once, sample=200)
+    assert (a.masks == b.masks).all() and (a.rates == b.rates).all()
