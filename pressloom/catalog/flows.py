@@ -222,6 +222,25 @@ def _(spark, sf):
     return run.select(per_feed).select("source", F.col("s.success_rate").alias("success_rate"))
 
 
+@query("src9_run_sources", """
+SELECT 'run-1' AS run_id, 'src' || user_id % 20 AS source,
+  round(count(*) FILTER (event_type <> 'error') / count(*)::DOUBLE, 6) AS success_rate,
+  round(coalesce(avg(value) FILTER (event_type <> 'error'), 0.0), 6) AS average_response_time,
+  CAST(max(ts) FILTER (event_type <> 'error') AS VARCHAR) AS last_success,
+  count(*) FILTER (event_type = 'error') AS failed_fetches FROM events GROUP BY 2""")
+def _(spark, sf):
+    """Sources of a run as rows, written twice and read back."""
+    path, made = scratch_path(spark, "run-sources"), outcome(spark, sf).run_sources
+    tables.write_run_sources(tables.write_run_sources(made, path), path)
+    return spark.read.schema(made.schema).parquet(path).select(*made.columns)
+
+
+@query("agg6_failed_sources", """
+SELECT CAST(user_id AS VARCHAR) AS source, count(*) AS failed_fetches FROM events WHERE event_type = 'error' GROUP BY 1""")
+def _(spark, sf):
+    return stats.failed_sources(st.fetch_log(spark, sf).where("not ok"))
+
+
 @query("agg6_ingest_counters", f"WITH {_INGEST} SELECT {_COUNTS}")
 def _(spark, sf):
     return outcome(spark, sf).counters
@@ -271,7 +290,7 @@ def synd_stream(spark, sf):
 
 def synd_items(spark, sf, docs):
     """Documents as items; exact copies share their id."""
-    title = F.substring(F.substring_index("text", "\n", 1), 1, 500)
+    title = F.substring_index("text", "\n", 1)
     url = F.concat(F.lit("https://example.com/a/"), F.left(F.sha2("text", 256), F.lit(16)))
     at = st.published_at(F.col("doc_id"))
     return docs.select(

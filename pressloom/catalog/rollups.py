@@ -86,6 +86,13 @@ def _(spark, sf):
     return stats.feed_stats(log, seen.unionByName(idle))
 
 
+@query("agg5_collection_sources", f"""
+WITH {ITEMS} SELECT source, count(*) AS n_items FROM items
+WHERE NOT is_duplicate AND collected_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY GROUP BY source""")
+def _(spark, sf):
+    return stats.collection_sources(st.items(spark, sf, duplicates=True), AS_OF, 7)
+
+
 @query("agg5_collection_summary", f"""
 WITH {ITEMS}, {RUNS}, c AS (
   SELECT source, count(*) AS n FROM items WHERE NOT is_duplicate AND collected_at >= TIMESTAMP '{AS_OF}' - INTERVAL 7 DAY GROUP BY source),

@@ -1,5 +1,7 @@
 """Projections, filters and screening."""
 
+import unicodedata
+
 from pyspark.sql import functions as F
 
 from pressloom.catalog.registry import query
@@ -365,7 +367,21 @@ def _(spark, sf):
     return screening.hidden_flags(baited_pages(spark, sf)).drop("html")
 
 
-@query("doc3_sanitize_text")
+def _decomposed_sql(c: str) -> str:
+    """Compatibility decomposition of the letters and signs up to U+017F, which the sample's languages are written with."""
+    for char in map(chr, range(0xA0, 0x180)):
+        if (plain := unicodedata.normalize("NFKD", char)) != char:
+            c = f"replace({c}, '{char}', '{plain}')"
+    return c
+
+
+_SPACE = r"[\s\x0B\p{Z}\x{85}]"
+
+
+@query("doc3_sanitize_text", rf"""
+SELECT doc_id, regexp_replace(regexp_replace(regexp_replace({_decomposed_sql('redacted')}, '[{screening.ZERO_WIDTH}]', '', 'g'),
+  '{_SPACE}{{4,}}', ' ', 'g'), '^{_SPACE}+|{_SPACE}+$', '', 'g') AS text FROM (
+  SELECT doc_id, coalesce({_redact_sql('text')}, '') AS redacted FROM (SELECT doc_id, {_BAIT_SQL} AS text FROM documents))""")
 def _(spark, sf):
     return screening.sanitize(baited(spark, sf)).select("doc_id", F.col("sanitized").alias("text"))
 

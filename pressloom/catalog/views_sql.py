@@ -12,7 +12,7 @@ def _items(name: str, url: str) -> str:
   SELECT doc_id, url, title, sha256(url || title) AS id, content, '' AS summary, source, published_at,
          published_at + INTERVAL 1 HOUR AS collected_at, tags, is_duplicate,
          source AS feed_pos, doc_id AS entry_pos
-  FROM (SELECT d.doc_id, {url} AS url, substr(split_part(d.text, chr(10), 1), 1, 500) AS title,
+  FROM (SELECT d.doc_id, {url} AS url, split_part(d.text, chr(10), 1) AS title,
                d.text AS content, d.source, {_PUBLISHED} AS published_at, {_TAGS} AS tags,
                row_number() OVER (PARTITION BY d.text ORDER BY d.doc_id) > 1 AS is_duplicate
         FROM documents d LEFT JOIN labels l ON l.doc_id = d.doc_id))"""

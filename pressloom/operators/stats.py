@@ -96,14 +96,19 @@ def feed_stats(fetch_log: DataFrame, feeds: DataFrame | None = None) -> DataFram
     return stats.withColumn("success_rate", rate).withColumn("health_status", _health(F.col("success_rate")))
 
 
+def collection_sources(items: DataFrame, as_of, days: int = 7) -> DataFrame:
+    """Original items per source collected in the last ``days``, a row per source."""
+    since = as_of_literal(as_of) - F.make_dt_interval(F.lit(days))
+    return count_by_source(items.where(F.col("collected_at") >= since))
+
+
 def collection_summary(items: DataFrame, runs: DataFrame, as_of, days: int = 7, collector_type: str = "rss") -> DataFrame:
     """One row: items per source, total, run statistics, the last ten runs.
 
-    Each part is aggregated on its own before the one-row results meet.
+    Each part is aggregated on its own before the one-row results meet. The map has an entry for every source; where
+    they are too many for a row, read ``collection_sources``, ``run_stats`` and ``filters.recent_runs``.
     """
-    since = as_of_literal(as_of) - F.make_dt_interval(F.lit(days))
-    counts = count_by_source(items.where(F.col("collected_at") >= since))
-    sources = counts.agg(
+    sources = collection_sources(items, as_of, days).agg(
         F.map_from_entries(F.array_sort(F.collect_list(F.struct("source", "n_items")))).alias("sources"),
         F.coalesce(F.sum("n_items"), F.lit(0)).alias("total_items"),
     )
@@ -122,16 +127,26 @@ def collection_summary(items: DataFrame, runs: DataFrame, as_of, days: int = 7,
     )
 
 
-def ingest_counters(verdicts: DataFrame, failed: DataFrame | None = None) -> DataFrame:
-    """Total, new, duplicates and (distinct) failed sources of a batch."""
-    counts = verdicts.agg(
+def batch_counts(verdicts: DataFrame) -> DataFrame:
+    """Total, new and duplicates of a batch in one row."""
+    return verdicts.agg(
         F.count(F.lit(1)).alias("total_items"),
         F.count_if(~F.col("is_duplicate")).alias("new_items"),
         F.count_if("is_duplicate").alias("duplicate_items"),
     )
+
+
+def failed_sources(failed: DataFrame) -> DataFrame:
+    """Failed fetches per source, a row per source that failed."""
+    return failed.groupBy("source").agg(F.count(F.lit(1)).alias("failed_fetches"))
+
+
+def ingest_counters(verdicts: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """``batch_counts`` with the names of ``failed_sources`` as a list."""
+    counts = batch_counts(verdicts)
     if failed is None:
         return counts.withColumn("failed_sources", F.array().cast("array<string>"))
-    names = failed.agg(F.array_sort(F.collect_set("source")).alias("failed_sources"))
+    names = failed_sources(failed).agg(F.array_sort(F.collect_list("source")).alias("failed_sources"))
     one = lambda df: df.withColumn("_one", F.lit(1))
     return one(counts).join(one(names), "_one").drop("_one")
 

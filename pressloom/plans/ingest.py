@@ -25,6 +25,7 @@ class Outcome:
     registry_rows: DataFrame
     counters: DataFrame
     run: DataFrame
+    run_sources: DataFrame | None = None
 
 
 def collect(entries: DataFrame, as_of, max_age_days: int = MAX_AGE_DAYS) -> tuple[DataFrame, DataFrame]:
@@ -85,4 +86,5 @@ def ingest(
         registry_rows=registry.registry_rows(added),
         counters=counters,
         run=tables.run_record(run_id, collector_type, as_of, completed_at or as_of, counters, log),
+        run_sources=None if log is None else tables.run_sources(run_id, log, failed),
     )

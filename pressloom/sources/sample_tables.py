@@ -37,7 +37,7 @@ def _tags(lang: Column) -> Column:
 
 def _from_documents(spark, sf_dir, url: Column, tags: bool, duplicates: bool) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    title = F.substring(F.substring_index("text", "\n", 1), 1, 500)
+    title = F.substring_index("text", "\n", 1)
     items = docs.select(
         "doc_id",
         url.alias("url"),

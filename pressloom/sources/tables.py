@@ -9,6 +9,7 @@ from pyspark.sql.types import DateType, StructField, StructType
 from pressloom.functions.dates import as_of_literal
 from pressloom.operators import dedup, filters
 from pressloom.operators.skew import first_per, fits, only_keys_of
+from pressloom.operators.stats import failed_sources
 from pressloom.schemas import ITEM_SCHEMA
 from pressloom.sources import files
 from pressloom.sources.scratch import cut_lineage
@@ -113,11 +114,39 @@ def link_items(run_id: str, added: DataFrame) -> DataFrame:
     return added.select(F.lit(run_id).alias("run_id"), F.col("id").alias("item_id"))
 
 
+_FEED_FACTS = ("success_rate", "average_response_time", "last_success")
+
+
+def run_sources(run_id: str, feeds: DataFrame, failed: DataFrame | None = None) -> DataFrame:
+    """The sources of a run, a row each: ``stats.feed_stats`` of ``feeds`` and how many of its fetches failed.
+
+    A source that only one of the two knows has a row too, without facts or with no failure. Nothing is gathered, so
+    the number of sources is not bounded by what fits a row; ``run_record`` has the same facts as a text.
+    """
+    facts = feeds.select("source", *_FEED_FACTS)
+    if failed is None:
+        known = facts.withColumn("failed_fetches", F.lit(0).cast("long"))
+    else:
+        # Null is a source like any other here, so that its failures are not lost.
+        lost = failed_sources(failed).withColumnRenamed("source", "_lost")
+        joined = facts.withColumn("_known", F.lit(True)).join(lost, F.col("source").eqNullSafe(F.col("_lost")), "full_outer")
+        known = joined.select(
+            F.when(F.col("_known"), F.col("source")).otherwise(F.col("_lost")).alias("source"), *_FEED_FACTS,
+            F.coalesce("failed_fetches", F.lit(0)).alias("failed_fetches"),
+        )
+    return known.select(F.lit(run_id).alias("run_id"), "*")
+
+
+def write_run_sources(sources: DataFrame, path: str) -> DataFrame:
+    """Write ``run_sources`` rows by run; a run that is written again replaces its own rows and touches no other run."""
+    return files.replace_partitions(sources, path, ["run_id"])
+
+
 def run_record(
     run_id: str, collector_type: str, started_at, completed_at, counters: DataFrame, feeds: DataFrame | None = None
 ) -> DataFrame:
     """The closed record of a run: counters plus per-source statistics as a JSON text."""
-    per_feed = F.struct("success_rate", "average_response_time", "last_success")
+    per_feed = F.struct(*_FEED_FACTS)
     closed = counters.select(
         F.lit(run_id).alias("run_id"), F.lit(collector_type).alias("collector_type"),
         as_of_literal(started_at).alias("started_at"), as_of_literal(completed_at).alias("completed_at"),

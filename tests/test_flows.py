@@ -31,6 +31,7 @@ def test_ingest(spark):
     assert out.registry_rows.count() == 2
     (run,) = out.run.collect()
     assert (run.run_id, run.new_items, run.failed_sources) == ("run-7", 2, ["f"])
+    assert out.run_sources is None
 
 
 def test_one_url_for_most_of_the_batch(spark):

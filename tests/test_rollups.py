@@ -204,6 +204,33 @@ def test_run_record(spark, feeds_given):
     assert rows(tables.link_items("r", verdicts)) == [("r", "a"), ("r", "b"), ("r", "c")]
 
 
+def test_run_sources(spark, tmp_path):
+    path = str(tmp_path / "sources")
+    facts = "source string, success_rate double, average_response_time double, last_success timestamp_ntz"
+    feeds = spark.createDataFrame([("w", 0.5, 2.0, days_before(1)), ("v", 1.0, 1.0, None), (None, 0.0, 0.0, None)], facts)
+    failed = spark.createDataFrame([("w",), ("w",), ("x",), (None,)], "source string")
+    made = tables.run_sources("r1", feeds, failed)
+    want = {("w", 0.5, 2), ("v", 1.0, 0), ("x", None, 1), (None, 0.0, 1)}
+    got = lambda df: {(r.source, r.success_rate, r.failed_fetches) for r in df.collect()}
+    assert got(made) == want and made.count() == 4
+    assert got(tables.run_sources("r1", feeds)) == {("w", 0.5, 0), ("v", 1.0, 0), (None, 0.0, 0)}
+    assert got(tables.run_sources("r1", feeds.where("false"), failed)) == {("w", None, 2), ("x", None, 1), (None, None, 1)}
+    tables.write_run_sources(made, path)
+    first = {f: f.stat().st_mtime_ns for f in (tmp_path / "sources" / "run_id=r1").glob("*.parquet")}
+    tables.write_run_sources(tables.run_sources("r2", feeds), path)
+    assert first and all(f.stat().st_mtime_ns == t for f, t in first.items())
+    # Written again with fewer sources, a run loses the others; the next run stays.
+    tables.write_run_sources(tables.run_sources("r1", feeds.where("source = 'w'"), failed.where("source = 'w'")), path)
+    back = spark.read.schema(made.schema).parquet(path)
+    assert got(back.where("run_id = 'r1'")) == {("w", 0.5, 2)} and back.where("run_id = 'r2'").count() == 3
+
+
+def test_collection_sources(spark):
+    df = items(spark, item("a"), item("b", source="t"), item("c", source="t"), item("d", source="t", is_duplicate=True))
+    assert rows(stats.collection_sources(df, AS_OF), "source") == [("s", 1), ("t", 2)]
+    assert rows(stats.failed_sources(spark.createDataFrame([("x",), ("x",)], "source string"))) == [("x", 2)]
+
+
 def test_stored_days_are_skipped(spark, tmp_path):
     path = str(tmp_path / "items")
     tables.write_items(items(spark, *[item(f"d{n}", published_at=days_before(n)) for n in range(6)]), path)
