@@ -13,6 +13,9 @@ Defined results: null is the empty text, which has no hashes; a text of fewer th
 one k-gram; with fewer than ``w`` k-grams all of them are one window. Likeness is the Jaccard index
 of the sets of hashes, 1 for two empty sets. Rows with one id follow each other in the order of
 their texts; a null id comes after all others. With a single row it is its own successor.
+
+``located`` tells where a text has the k-grams of the chosen hashes that another text has as well: of every passage of
+``w + k - 1`` characters that both share, at least one k-gram is in these spans.
 """
 
 from __future__ import annotations
@@ -66,6 +69,15 @@ def likeness(a: np.ndarray, b: np.ndarray) -> float:
     return both / (len(a) + len(b) - both) if len(a) or len(b) else 1.0
 
 
+def located(hashes: np.ndarray, places: np.ndarray, other: np.ndarray, k: int) -> list[tuple[int, int]]:
+    """(start, end) of the parts of a text that chosen k-grams shared with ``other`` cover, in order; parts that meet are one."""
+    starts = places[np.isin(hashes, other)]
+    if not len(starts):
+        return []
+    begins = np.r_[True, starts[1:] > starts[:-1] + k]
+    return list(zip(starts[begins].tolist(), (starts[np.r_[begins[1:], True]] + k).tolist()))
+
+
 def fingerprints(df: DataFrame, text: str = "text", out: str = "fingerprint", k: int = K, window: int = WINDOW) -> DataFrame:
     """``df`` with ``out``, the chosen hashes of ``text`` and their places in it."""
 
@@ -154,7 +166,8 @@ def with_next(df: DataFrame, per_range, schema: str) -> DataFrame:
 
 
 COMPARED = (
-    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
+    "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, "
+    "edited_spans string, next_spans string"
 )
 
 
@@ -162,21 +175,26 @@ def compared_with_edits(df: DataFrame, k: int = K, window: int = WINDOW) -> Data
     """Each text (``doc_id``, ``text``) against its edited form and against the next text.
 
     The edited text has its last ``floor(n/2)`` characters replaced by as many from the start of the next
-    text (all of it, if it is shorter). Fingerprints are the chosen hashes in order, 8 hex digits each.
+    text (all of it, if it is shorter). Fingerprints are the chosen hashes in order, 8 hex digits each. Spans are
+    the ``located`` parts of the text itself, as ``start-end`` (first character, one behind the last) with commas between.
     """
 
     def shown(h: np.ndarray) -> str:
         return h.astype(">u4").tobytes().hex()
 
+    def spans(own: tuple, other: np.ndarray, n: int) -> str:
+        return ",".join(f"{a}-{b}" for a, b in located(*own, other, min(k, n)))
+
     def compare(rows: Iterator[tuple]) -> Iterator[tuple]:
         following, cached = None, None
         for (doc_id, text), after in rows:
-            own = cached if following == text and cached is not None else chosen(text, k, window)[0]
+            own = cached if following == text and cached is not None else chosen(text, k, window)
             half = len(text) // 2
             edited = text[: len(text) - half] + after[:half]
             changed, following = chosen(edited, k, window)[0], after
-            cached = chosen(after, k, window)[0]
+            cached = chosen(after, k, window)
             sha = hashlib.sha256(edited.encode("utf-8")).hexdigest()
-            yield doc_id, len(text), sha, shown(own), shown(changed), likeness(own, changed), likeness(own, cached)
+            near = likeness(own[0], changed), likeness(own[0], cached[0])
+            yield doc_id, len(text), sha, shown(own[0]), shown(changed), *near, spans(own, changed, len(text)), spans(own, cached[0], len(text))
 
     return with_next(df, compare, COMPARED)

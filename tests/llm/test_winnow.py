@@ -42,6 +42,43 @@ def test_shared_passages_share_a_hash():
         assert set(a) & set(b)
 
 
+def covered(text, other, k=winnow.K, w=winnow.WINDOW):
+    """Spans by marking every character of a shared k-gram."""
+    shared = {h for h, _ in plain(other, k, w)}
+    marks = [False] * len(text)
+    for h, p in plain(text, k, w):
+        if h in shared:
+            marks[p : p + min(k, len(text))] = [True] * min(k, len(text))
+    out, i = [], 0
+    while i < len(marks):
+        j = i
+        while j < len(marks) and marks[j]:
+            j += 1
+        if j > i:
+            out.append(f"{i}-{j}")
+        i = j + 1
+    return ",".join(out)
+
+
+def test_shared_passages_are_located(spark):
+    random.seed(5)
+    draw = lambda n: "".join(random.choice("abcdefgh é") for _ in range(n))
+    for _ in range(50):
+        passage = draw(winnow.K + winnow.WINDOW - 1)
+        a, b = draw(random.randrange(99)) + passage + draw(50), draw(70) + passage
+        found = winnow.located(*winnow.chosen(a), winnow.chosen(b)[0], winnow.K)
+        assert ",".join(f"{x}-{y}" for x, y in found) == covered(a, b)
+        at = a.index(passage)
+        assert any(x < at + len(passage) and y > at for x, y in found)
+    rows = {i: draw(random.randrange(300)) for i in range(40)} | {40: "", 41: "short"}
+    rows[7] = rows[6]
+    got = {r.doc_id: r for r in winnow.compared_with_edits(docs(spark, *rows.items())).collect()}
+    for i, text in rows.items():
+        after, half = rows[(i - 1) % len(rows)], len(text) // 2
+        assert got[i].next_spans == covered(text, after) and got[i].edited_spans == covered(text, text[: len(text) - half] + after[:half])
+    assert got[40].next_spans == "" == got[40].edited_spans
+
+
 def test_edits_and_order(spark):
     random.seed(3)
     rows = [(random.randrange(10**6), "".join(random.choice("ab cé") for _ in range(random.randrange(200)))) for _ in range(120)]
