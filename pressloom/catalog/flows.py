@@ -102,11 +102,11 @@ def _(spark, sf):
 @query("src3_normalise_preprint", f"""
 WITH {_FEED} SELECT sha256(link || title) AS id, link AS url, title, source, CAST(pub AS VARCHAR) AS published_at, tags,
   'Ann Lee, Bo Ray' AS authors, regexp_extract(link, '/abs/(.*)$', 1) AS arxiv_id,
-  CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS summary FROM feed WHERE preprint""")
+  CASE WHEN length(text) > 200 THEN substr(text, 1, 200) || '...' ELSE text END AS summary, sha256(text) AS content_hash FROM feed WHERE preprint""")
 def _(spark, sf):
     items = feeds.normalise_preprint(entries(spark, sf).where(feeds.is_preprint_source()), AS_OF)
     return items.select("id", "url", "title", "source", "published_at", "tags", F.col("metadata")["authors"].alias("authors"),
-                        F.col("metadata")["arxiv_id"].alias("arxiv_id"), "summary")
+                        F.col("metadata")["arxiv_id"].alias("arxiv_id"), "summary", F.sha2("content", 256).alias("content_hash"))
 
 
 @query("src4_routing", f"""
