@@ -266,8 +266,9 @@ def _(spark, sf):
 # --- streams --------------------------------------------------------------------------------
 
 def _stream(spark, sf, name):
+    # Braces, since a stream takes a file for its source only where it is found by a pattern; the table may be a folder too.
     schema = st.table(spark, sf, name).schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", f"{name}.parquet").parquet(sf)
+    return spark.readStream.schema(schema).parquet(f"{sf}/{{{name}.parquet}}")
 
 
 def _run(stream, mode="append"):
