@@ -37,3 +37,8 @@ def test_a_stream_has_the_rows_of_its_table(spark, sf):
 
 def test_unique_items(spark, sf):
     assert entry.queries()["str2_unique_items"](spark, sf).count() == 45
+
+
+def test_item_sink(spark, sf):
+    rows = entry.queries()["str4_item_sink"](spark, sf).collect()
+    assert len(rows) == 45 and sum(r.occurrence_count for r in rows) == 60
