@@ -39,6 +39,8 @@ PER_PIVOT = 128
 INTERVALS = 60
 CANDIDATE_BLOCK = 4_096
 QUERY_BLOCK = 4_096
+#: So many scores of a pair of blocks are held at a time.
+SCORES = 1_000_000
 #: Rows that describe blocks are broadcast up to this number, joined beyond it.
 BROADCAST_BLOCKS = 100_000
 _DECIMALS = 12
@@ -58,15 +60,41 @@ def _unit_rows(m: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return m / np.where(some, length, 1.0)[:, None], some
 
 
-def _best_pairs(scores, allowed, threshold, k, q_ids, c_ids, c_pos) -> pd.DataFrame:
-    """Rows of the score matrix at or above the threshold, at most ``k`` per query."""
-    qi, ci = np.nonzero(allowed & (scores >= threshold))
-    out = pd.DataFrame({
-        "query_id": q_ids[qi], "cand_id": c_ids[ci], "cand_pos": c_pos[ci], "score": scores[qi, ci],
-    })
-    order = ["query_id", "score", "cand_pos", "cand_id"]
-    out = out.sort_values(order, ascending=[True, False, True, True], kind="stable")
-    return out if k is None else out.groupby("query_id", sort=False).head(k)
+def _best_pairs(q_unit, c_unit, threshold, k, q_ids, c_ids, c_pos, allowed=None) -> pd.DataFrame:
+    """Pairs at or above the threshold, at most ``k`` per query; ``allowed(rows)`` tells which pairs of a slice of the queries count.
+
+    Queries are taken in slices, so that no more than about ``SCORES`` scores are held at a time, and with ``k`` only the
+    best of a query leave its slice, however many pairs reach the threshold.
+    """
+    # Candidates in order of preference: of equal scores the first is the preferred one.
+    order = pd.DataFrame({"pos": c_pos, "id": c_ids}).sort_values(["pos", "id"], kind="stable").index.to_numpy()
+    c_unit, c_ids, c_pos = c_unit[order], c_ids[order], c_pos[order]
+    size, found = max(1, SCORES // max(1, len(c_ids))), []
+    for at in range(0, len(q_ids), size):
+        rows = slice(at, at + size)
+        scores = q_unit[rows] @ c_unit.T
+        scores += 1
+        scores /= 2
+        np.round(scores, _DECIMALS, out=scores)
+        scores[~(scores >= threshold)] = -1
+        if allowed is not None:
+            scores[~allowed(rows)[:, order]] = -1
+        if k == 1 and len(c_ids):
+            qi, ci = np.arange(len(scores)), scores.argmax(axis=1)
+            hit = scores[qi, ci] >= 0
+            qi, ci = qi[hit], ci[hit]
+        else:
+            qi, ci = np.nonzero(scores >= 0)
+            if k is not None:
+                best = np.lexsort((-scores[qi, ci], qi))
+                # Places from the first of the query on.
+                best = best[np.arange(len(qi)) - np.searchsorted(qi, qi) < k]
+                qi, ci = qi[best], ci[best]
+        found.append((qi + at, ci, scores[qi, ci]))
+    if not found:
+        return pd.DataFrame(columns=["query_id", "cand_id", "cand_pos", "score"])
+    qi, ci, score = (np.concatenate(x) for x in zip(*found))
+    return pd.DataFrame({"query_id": q_ids[qi], "cand_id": c_ids[ci], "cand_pos": c_pos[ci], "score": score})
 
 
 def _rank(pairs: DataFrame, k: int | None) -> DataFrame:
@@ -103,9 +131,8 @@ def top_similar_small(
             if batch.empty:
                 continue
             q_unit, q_some = _unit_rows(_matrix(batch["embedding"]))
-            scores = np.round((q_unit @ c_unit.T + 1) / 2, _DECIMALS)
             ids = batch["query_id"].to_numpy(dtype=object)
-            yield _best_pairs(scores, q_some[:, None] & c_some[None, :], threshold, k, ids, c_ids, c_pos)
+            yield _best_pairs(q_unit[q_some], c_unit[c_some], threshold, k, ids[q_some], c_ids[c_some], c_pos[c_some])
 
     return _rank(queries.select("query_id", "embedding").mapInPandas(match, _PAIR), k)
 
@@ -313,11 +340,11 @@ def _block_join(
             i, j = np.flatnonzero(steps >> one & 1), np.flatnonzero(step == one)
             if not len(i):
                 continue
-            scores = np.round((q_unit[i] @ c_unit[j].T + 1) / 2, _DECIMALS)
-            allowed = np.ones(scores.shape, dtype=bool)
+            near = None
             if reach_us is not None:
-                allowed = np.abs(q["at"].to_numpy()[i][:, None] - c["at_"].to_numpy()[j][None, :]) <= reach_us
-            pairs = _best_pairs(scores, allowed, threshold, k, q_ids[i], c_ids[j], c_pos[j])
+                q_at, c_at = q["at"].to_numpy()[i], c["at_"].to_numpy()[j]
+                near = lambda rows, q_at=q_at, c_at=c_at: np.abs(q_at[rows, None] - c_at) <= reach_us
+            pairs = _best_pairs(q_unit[i], c_unit[j], threshold, k, q_ids[i], c_ids[j], c_pos[j], near)
             if len(pairs):
                 found.append(pairs)
         return pd.concat(found[1:]) if len(found) > 1 else found[0]

@@ -134,3 +134,39 @@ def test_approximate_finds_most_and_scores_exactly(spark):
     best = similarity.top_similar_approximate(qs, cs, 0.9, 1)
     assert best.count() == best.select("query_id").distinct().count() and best.where("rank <> 1").isEmpty()
     assert similarity.top_similar_approximate(qs, cs.where("false"), 0.9).count() == 0
+
+
+@pytest.mark.parametrize("k", [1, 3, None])
+def test_best_pairs_hold_few_scores(monkeypatch, k):
+    """A full pair of blocks of which every pair reaches the threshold, with equal scores and places."""
+    rng = np.random.default_rng(2)
+    q, c = np.abs(rng.normal(size=(300, 8))), np.abs(rng.normal(size=(500, 8)))
+    c[100:400] = c[0]
+    q, c = (m / np.linalg.norm(m, axis=1)[:, None] for m in (q, c))
+    ids, pos = np.array([f"c{i}" for i in rng.permutation(500)], object), rng.integers(0, 50, 500)
+    days, q_days = rng.integers(0, 10, 500), rng.integers(0, 10, 300)
+    near = lambda rows: np.abs(q_days[rows, None] - days) <= 2
+    scores = np.where(near(slice(None)), np.round((q @ c.T + 1) / 2, 9), -1)
+    wanted = [
+        (f"q{i}", ids[j]) for i in range(300) for j in sorted(np.flatnonzero(scores[i] >= 0.5), key=lambda j: (-scores[i, j], pos[j], ids[j]))[:k]
+    ]
+    monkeypatch.setattr(similarity, "SCORES", 10_000)
+    q_ids = np.array([f"q{i}" for i in range(300)], object)
+    got = similarity._best_pairs(q, c, 0.5, k, q_ids, ids, pos, near)
+    assert sorted(zip(got["query_id"], got["cand_id"])) == sorted(wanted)
+
+
+def test_best_pairs_of_full_blocks_stay_small():
+    """Two full blocks whose pairs all reach the threshold; all pairs at once would take gigabytes."""
+    import tracemalloc
+
+    m = np.full((similarity.CANDIDATE_BLOCK, 4), 0.5)
+    ids, pos = np.array([f"{i:064d}" for i in range(len(m))], object), np.arange(len(m))
+    tracemalloc.start()
+    try:
+        got = similarity._best_pairs(m, m, 0.6, 1, ids, ids, pos)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert len(got) == len(m) and (got["cand_pos"] == 0).all()
+    assert peak < 100e6
