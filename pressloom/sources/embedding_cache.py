@@ -67,12 +67,15 @@ def embed(
     """``items`` without ``text``, with ``cache_key``, ``embedding`` and ``from_cache``; what was missing is added to the cache.
 
     Equal texts are embedded once. ``days``: older entries count as missing. Null texts have no key and no embedding.
+    Only keys are dealt out to the buckets; the texts that are missing are then gathered in as many tasks as they need.
     """
     keyed = items.withColumn("cache_key", hashing.cache_key(F.col(text), model))
-    distinct = keyed.where(F.col("cache_key").isNotNull()).groupBy("cache_key").agg(F.first(text).alias(text))
+    some = keyed.where(F.col("cache_key").isNotNull())
     since = None if days is None else as_of_literal(as_of) - F.make_dt_interval(F.lit(days))
-    known = cut_lineage(look_up(distinct, name, since))
-    fresh = cut_lineage(known.where("embedding IS NULL").select(
+    known = cut_lineage(look_up(some.select("cache_key").distinct(), name, since))
+    texts = some.groupBy("cache_key").agg(F.first(text).alias(text))
+    missing = texts.join(known.where("embedding IS NULL").select("cache_key"), "cache_key", "left_semi")
+    fresh = cut_lineage(missing.select(
         "cache_key", embedder(F.col(text)).alias("embedding"), as_of_literal(as_of).alias("created_at")
     ))
     add(fresh, name)

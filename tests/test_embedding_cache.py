@@ -87,3 +87,13 @@ def test_a_new_session_finds_what_is_stored(spark, cache):
         assert embedding_cache.embed(texts(spark, "a"), again, lengths, "m", AS_OF).first().from_cache
     finally:
         spark.sql(f"DROP TABLE {again}")
+
+
+def test_texts_are_not_dealt_out_to_the_buckets(spark, cache, monkeypatch):
+    """There are as many tasks as buckets, so what each of them reads must be narrow."""
+    name, _ = cache
+    dealt, look_up = [], embedding_cache.look_up
+    monkeypatch.setattr(embedding_cache, "look_up", lambda keys, *a: dealt.append(keys.columns) or look_up(keys, *a))
+    out = embedding_cache.embed(texts(spark, "a", "bb", "a", None), name, lengths, "m", AS_OF)
+    assert {r.id: (r.embedding, r.from_cache) for r in out.collect()} == {0: ([1.0], False), 1: ([2.0], False), 2: ([1.0], False), 3: (None, None)}
+    assert dealt == [["cache_key"]]
