@@ -1,11 +1,13 @@
 """The registry of what was seen as keyed state of a stream.
 
-Every url hash has one state row: first and last sighting, number of sightings, fields of the first. An event-time timer drops
-it once its last sighting lies further back than ``days`` before the newest one, so state is bounded by the live keys and no log of
-sightings is summed up. The state itself is the registry: ``live_registry`` reads it from the checkpoint.
+Every url hash has an entry: first and last sighting, number of sightings, fields of the first. Entries lie in ``BUCKETS`` state rows
+by a hash of the url hash, since a call of Python for every key costs a thousand times what the key itself does. An event-time timer
+of a row drops entries whose last sighting lies further back than ``days`` before the newest one, so state is bounded by the live keys
+and no log of sightings is summed up. The state itself is the registry: ``live_registry`` reads it from the checkpoint.
 
 A micro-batch first forgets what is expired by the watermark known at its start, then counts its sightings; sightings that are
-older than the watermark are dropped. Only the sightings of one micro-batch meet per key, in Arrow batches.
+older than the watermark are dropped. It reads and writes the rows that its keys fall into. Only the sightings of one micro-batch
+meet per row, in Arrow batches. An entry of the very millisecond of the watermark may stay until that has moved by two.
 """
 
 from __future__ import annotations
@@ -15,16 +17,20 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from pressloom.operators import registry
 from pressloom.streaming.feeds import with_event_time
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-_FIELDS = "news_item_id string, title_hash string, content_hash string"
-_STATE = f"first_us long, last_us long, occurrence_count long, {_FIELDS}"
-_CHANGE = f"url_hash string, {_STATE}, removed boolean"
+#: A choice for the life of a checkpoint: more rows are narrower and take more calls when all of them are met.
+BUCKETS = 4_096
+_ENTRY = "url_hash string, first_us long, last_us long, occurrence_count long, news_item_id string, title_hash string, content_hash string"
+_CHANGE = f"{_ENTRY}, removed boolean"
 _NAMES = [c.split()[0] for c in _CHANGE.split(", ")]
+# The entries of a row, column by column.
+_STATE = ", ".join("{} array<{}>".format(*c.split()) for c in _ENTRY.split(", "))
 
 
 def _order(seen: int, fields) -> tuple:
@@ -32,41 +38,25 @@ def _order(seen: int, fields) -> tuple:
     return (seen, *[(f is not None, f or "") for f in fields])
 
 
-class _Sightings(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.seen = handle.getValueState("seen", _STATE)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        cutoff = timerValues.getCurrentWatermarkInMs() * 1000
-        state = self.seen.get() if self.seen.exists() else None
-        if state is not None and state[1] < cutoff:
-            state = None
-        first, last, count, fields = (state[0], state[1], state[2], tuple(state[3:6])) if state else (None, None, 0, None)
-        for frame in rows:
-            count += len(frame)
-            newest = int(frame["seen_us"].max())
-            last = newest if last is None else max(last, newest)
-            at = zip(frame["seen_us"], *(frame[c] for c in ("news_item_id", "title_hash", "content_hash")))
-            low, *low_fields = min(at, key=lambda r: _order(int(r[0]), r[1:]))
-            if first is None or _order(int(low), low_fields) < _order(first, fields):
-                first, fields = int(low), tuple(low_fields)
-        for timer in list(self.handle.listTimers()):
-            self.handle.deleteTimer(timer)
-        self.handle.registerTimer(last // 1000)
-        self.seen.update((first, last, count, *fields))
-        yield pd.DataFrame([(key[0], first, last, count, *fields, False)], columns=_NAMES)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        state = self.seen.get()
-        if state[1] >= timerValues.getCurrentWatermarkInMs() * 1000:
-            self.handle.registerTimer(state[1] // 1000 + 1)  # exactly at the limit it still lives
-            return
-        self.seen.clear()
-        yield pd.DataFrame([(key[0], *state, True)], columns=_NAMES)
-
-    def close(self) -> None:
-        pass
+def _sightings(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    mark = state.getCurrentWatermarkMs()
+    entries = {url: rest for url, *rest in zip(*state.get)} if state.exists else {}
+    live = {url: entry for url, entry in entries.items() if entry[1] >= mark * 1000}
+    seen = set()
+    for frame in () if state.hasTimedOut else frames:
+        for url, at, *fields in zip(*(frame[c].tolist() for c in ("url_hash", "seen_us", "news_item_id", "title_hash", "content_hash"))):
+            first, last, count, *known = live.get(url, (at, at, 0, *fields))
+            if _order(at, fields) < _order(first, known):
+                first, known = at, fields
+            live[url] = [first, max(last, at), count + 1, *known]
+            seen.add(url)
+    if live:
+        state.update(tuple(map(list, zip(*((url, *entry) for url, entry in live.items())))))
+        state.setTimeoutTimestamp(max(min(entry[1] for entry in live.values()) // 1000, mark + 1))
+    else:
+        state.remove()
+    changes = [(url, *live[url], False) for url in seen] + [(url, *entry, True) for url, entry in entries.items() if url not in live]
+    yield pd.DataFrame(changes, columns=_NAMES)
 
 
 def registry_changes(items: DataFrame, days: int = registry.KEEP_DAYS) -> DataFrame:
@@ -77,9 +67,8 @@ def registry_changes(items: DataFrame, days: int = registry.KEEP_DAYS) -> DataFr
     sightings = registry.registry_rows(items).select("url_hash", "news_item_id", "title_hash", "content_hash", "first_seen_at")
     timed = with_event_time(sightings.where("first_seen_at IS NOT NULL"), "first_seen_at").withWatermark("event_time", f"{days} days")
     rows = timed.withColumn("seen_us", F.unix_micros("event_time")).drop("first_seen_at")
-    return rows.groupBy("url_hash").transformWithStateInPandas(
-        statefulProcessor=_Sightings(), outputStructType=_CHANGE, outputMode="Update", timeMode="EventTime"
-    )
+    dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("url_hash"), F.lit(BUCKETS)))
+    return dealt.groupBy("bucket").applyInPandasWithState(_sightings, _CHANGE, _STATE, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def keep_registry(items: DataFrame, checkpoint: str, days: int = registry.KEEP_DAYS, sink=None) -> StreamingQuery:
@@ -98,12 +87,14 @@ def keep_registry(items: DataFrame, checkpoint: str, days: int = registry.KEEP_D
 
 def live_registry(spark: SparkSession, checkpoint: str) -> DataFrame:
     """The registry as the state of the last finished micro-batch, one row per live key."""
-    state = spark.read.format("statestore").option("path", checkpoint).option("stateVarName", "seen").load()
+    state = spark.read.format("statestore").option("path", checkpoint).load()
+    entry = F.arrays_zip(*[F.col(f"value.groupState.{c}") for c in _NAMES[:-1]])
+    state = state.select(F.explode(entry).alias("entry"))
     moment = lambda c: F.convert_timezone(
         F.current_timezone(), F.lit("UTC"), F.timestamp_micros(c).cast("timestamp_ntz")
     )
     return state.select(
-        F.col("key.url_hash").alias("url_hash"), "value.title_hash", "value.content_hash", "value.news_item_id",
-        moment(F.col("value.first_us")).alias("first_seen_at"), moment(F.col("value.last_us")).alias("last_seen_at"),
-        "value.occurrence_count",
+        "entry.url_hash", "entry.title_hash", "entry.content_hash", "entry.news_item_id",
+        moment(F.col("entry.first_us")).alias("first_seen_at"), moment(F.col("entry.last_us")).alias("last_seen_at"),
+        "entry.occurrence_count",
     )

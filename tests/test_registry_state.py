@@ -71,3 +71,21 @@ def test_without_expiry_it_is_the_upsert(spark, tmp_path):
     whole = registry.merge_registry(registry.registry_rows(items(spark, *rows))).select(*live.columns)
     assert sorted(map(tuple, live.collect())) == sorted(map(tuple, whole.collect()))
     assert {r.url_hash for r in changes} == {r.url_hash for r in live.collect()} and not any(r.removed for r in changes)
+
+
+def test_python_is_called_for_rows_of_many_keys(spark, tmp_path, monkeypatch):
+    """The state rows, and with them the calls, are bounded whatever the number of keys; none is left when all keys are gone."""
+    monkeypatch.setattr(registry_state, "BUCKETS", 4)
+    arrivals, state = str(tmp_path / "in"), str(tmp_path / "state")
+    at = when("2024-01-10 00:00:00")
+    later = at + timedelta(days=30)
+    for rows in ([item(f"a{k}", url=f"u{k % 50}", collected_at=at) for k in range(60)], [item("z", url=None, collected_at=later), item("y", url="u1", collected_at=later)]):
+        items(spark, *rows).coalesce(1).write.mode("append").parquet(arrivals)
+        stream = spark.readStream.schema(items(spark, item("x")).schema).parquet(arrivals)
+        changes = []
+        registry_state.keep_registry(stream, state, 6, lambda df, n: changes.extend(df.collect())).awaitTermination()
+        live = registry_state.live_registry(spark, state).collect()
+        assert spark.read.format("statestore").option("path", state).load().count() <= 4
+        assert len(live) == (50 if len(rows) == 60 else 2)
+    assert sorted(r.occurrence_count for r in live) == [1, 3] and sum(r.removed for r in changes) == 49
+    assert {r.url_hash is None for r in live} == {True, False}
