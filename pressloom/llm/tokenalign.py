@@ -8,8 +8,9 @@ with a space before it. Byte offsets at which a token of A and one of B both end
 of A is linked with every token of B in its group. The count of a pair of ids is the number of documents
 that hold it linked.
 
-How counts reach the texts: a task aligns a stretch of texts at a time (``STRETCH`` bytes or one text) and
-lists the distinct pairs of the stretch once; its texts refer to that list by place. Counts are added over all lists, go
+How counts reach the texts: a task takes a stretch of texts at a time (``STRETCH`` bytes or one text) and
+lists the distinct pairs of the stretch once; its texts refer to that list by place. Within a stretch texts are aligned in
+parts (``PART`` bytes or one text), so that what is held for each token is held for one part. Counts are added over all lists, go
 back to each list, and a list meets its texts again. So a pair is moved once per stretch however many texts hold it, no
 key is hot, and no table of all pairs is broadcast.
 
@@ -26,7 +27,8 @@ import base64
 import hashlib
 import json
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +40,9 @@ from pressloom.llm.bpe import byte_letters
 from pressloom.operators.skew import lookup_join
 from pressloom.sources.scratch import cut_lineage
 
-#: Bytes of text that are aligned together.
+#: Bytes of text whose pairs are listed together, and that are encoded and aligned together.
 STRETCH = 1 << 21
+PART = 1 << 18
 MEASURES = ["n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum"]
 # How pieces write a space, and the pattern that splits byte-level texts.
 PIECE_SPACE = "▁"
@@ -50,20 +53,26 @@ class ByteVocabulary:
     """Vocabulary A: a tokenizer file of byte-level pieces."""
 
     def __init__(self, content: str):
-        from tokenizers import Tokenizer
-
+        self.content = content
         spec = json.loads(content)
         ids = spec["model"]["vocab"]
         byte = {c: b for b, c in enumerate(byte_letters())}
         self.bytes = [b""] * (max(ids.values()) + 1)
         for token, i in ids.items():
             self.bytes[i] = bytes(byte[c] for c in token) if all(c in byte for c in token) else token.encode("utf-8")
-        self.library = Tokenizer.from_str(content)
-        self.library.encode_special_tokens = True
-        self.library.no_truncation()
-        self.library.no_padding()
         self.ranked = self._ranked(spec, ids)
 
+    @cached_property
+    def library(self):
+        """Made only where ids have no ranks."""
+        from tokenizers import Tokenizer
+
+        made = Tokenizer.from_str(self.content)
+        made.encode_special_tokens = True
+        made.no_truncation()
+        made.no_padding()
+        return made
+
     def _ranked(self, spec: dict, ids: dict[str, int]):
         """The same vocabulary by ranks, which is encoded several times faster; None if its ids are not in
         the order of the merges or its texts are split in another way."""
@@ -111,18 +120,24 @@ class Spelling:
         self.tokens = pa.array(tokens, pa.large_binary())
         self.sizes = np.array([len(t) for t in tokens], np.int64)
 
-    def joined(self, ids: np.ndarray) -> memoryview:
+    def joined(self, ids: np.ndarray) -> np.ndarray:
         """The bytes of all tokens in a row."""
         taken = self.tokens.take(pa.array(ids))
         return _bytes_of(taken)
 
 
-def _bytes_of(taken: pa.Array) -> memoryview:
+def _bytes_of(taken: pa.Array) -> np.ndarray:
     _, offsets, data = taken.buffers()
     if data is None or not len(taken):
-        return memoryview(b"")
+        return np.zeros(0, np.uint8)
     ends = np.frombuffer(offsets, np.int64)[taken.offset : taken.offset + len(taken) + 1]
-    return memoryview(data)[ends[0] : ends[-1]]
+    return np.frombuffer(data, np.uint8)[ends[0] : ends[-1]]
+
+
+def _flat(ids: list[list[int]]) -> tuple[np.ndarray, np.ndarray]:
+    """All ids in a row, and how many each text has."""
+    counts = np.fromiter(map(len, ids), np.int64, len(ids))
+    return np.fromiter(chain.from_iterable(ids), np.int64, counts.sum()), counts
 
 
 def _grouped(keys: np.ndarray, ids: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,33 +163,37 @@ class Aligner:
         #: Decimal ids with what follows them: at 3 * id, 3 * id + 1, 3 * id + 2.
         self.written = pa.array([f"{i}{c}".encode() for i in range(most) for c in ",|;"], pa.large_binary())
 
-    def _encoded(self, texts: list[str]) -> tuple[list[list[int]], list[list[int]]]:
-        """Ids of every text; none where the tokens do not spell it."""
+    def _encoded(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """By A and by B: ids of all texts in a row and how many each text has; none where the tokens do not spell it."""
         a, b = self.a.encode([" " + t for t in texts]), self.b.encode(texts)
         raw = [b" " + t.encode("utf-8") for t in texts]
-        whole = memoryview(b"".join(raw))
-        size = [len(r) for r in raw]
-        for ids, spell in ((a, self.spell_a), (b, self.spell_b)):
-            flat = np.fromiter((i for x in ids for i in x), np.int64, sum(map(len, ids)))
-            counts = np.array([len(x) for x in ids], np.int64)
-            made = np.bincount(np.repeat(np.arange(len(ids)), counts), spell.sizes[flat], len(ids)).astype(np.int64)
-            if (made == size).all() and spell.joined(flat) == whole:
+        whole = np.frombuffer(b"".join(raw), np.uint8)
+        stops = np.cumsum([0, *map(len, raw)])
+        both = [_flat(a), _flat(b)]
+        wrong: set[int] = set()
+        for (flat, counts), spell in zip(both, (self.spell_a, self.spell_b)):
+            ends = np.r_[0, np.cumsum(spell.sizes[flat])][np.r_[0, np.cumsum(counts)]]
+            if np.array_equal(ends, stops) and np.array_equal(spell.joined(flat), whole):
                 continue
-            for i, r in enumerate(raw):
-                if bytes(spell.joined(np.array(ids[i], np.int64))) != r:
-                    a[i], b[i] = [], []
-        return a, b
+            firsts = np.cumsum(counts) - counts
+            wrong |= {i for i, r in enumerate(raw) if spell.joined(flat[firsts[i] : firsts[i] + counts[i]]).tobytes() != r}
+        if not wrong:
+            return both
+        return [_flat([[] if i in wrong else x for i, x in enumerate(ids)]) for ids in (a, b)]
 
     def align(self, texts: list[str]) -> dict[str, np.ndarray | list]:
         """Measures of each text, its digest, and its distinct pairs as ``text, pair, times`` in three arrays."""
-        ids_a, ids_b = self._encoded(texts)
         n = len(texts)
-        n_a, n_b = (np.array([len(x) for x in ids], np.int64) for ids in (ids_a, ids_b))
-        a, b = (np.fromiter((i for x in ids for i in x), np.int64, m) for ids, m in ((ids_a, n_a.sum()), (ids_b, n_b.sum())))
+        (a, n_a), (b, n_b) = self._encoded(texts)
         end_a, end_b = np.cumsum(self.spell_a.sizes[a]), np.cumsum(self.spell_b.sizes[b])
         # Both kinds spell the same bytes, text by text, so the offsets of all texts in a row can be compared at once.
-        cuts = np.intersect1d(end_a, end_b)
-        group_a, group_b = np.searchsorted(cuts, end_a), np.searchsorted(cuts, end_b)
+        ends = [np.zeros(max(end_a[-1:].sum(), end_b[-1:].sum()) + 1, bool) for _ in "ab"]
+        ends[0][end_a], ends[1][end_b] = True, True
+        cut = ends[0] & ends[1]
+        cuts = np.flatnonzero(cut)
+        # The group of a token: how many cuts lie before its end.
+        before = np.cumsum(cut, dtype=np.int64) - cut
+        group_a, group_b = before[end_a], before[end_b]
         size_a, size_b = np.bincount(group_a, minlength=len(cuts)), np.bincount(group_b, minlength=len(cuts))
         text_of = np.zeros(len(cuts), np.int64)
         text_of[group_a] = np.repeat(np.arange(n), n_a)
@@ -192,7 +211,7 @@ class Aligner:
         first_b = np.cumsum(size_b) - size_b
         single = (size_a == 1) & (size_b == 1)
         alone = single[group_a]
-        texts, pairs, times = [text_of[group_a[alone]]], [a[alone] * self.n_b + b[first_b[group_a[alone]]]], [np.ones(alone.sum(), np.int64)]
+        texts, pairs, times = [text_of[group_a[alone]]], [a[alone] * self.n_b + b[first_b[group_a[alone]]]], [None]
         if not single.all():
             in_a, in_b = ~alone, ~single[group_b]
             key_a, id_a, times_a = _grouped(group_a[in_a], a[in_a], len(self.a.bytes))
@@ -202,11 +221,16 @@ class Aligner:
             texts.append(text_of[key_a[at_a]])
             pairs.append(id_a[at_a] * self.n_b + id_b[at_b])
             times.append(times_a[at_a] * times_b[at_b])
-        text, pair, many = map(np.concatenate, (texts, pairs, times))
-        order = np.lexsort((pair, text))
-        text, pair, many = text[order], pair[order], many[order]
-        new = np.flatnonzero(np.r_[True, (text[1:] != text[:-1]) | (pair[1:] != pair[:-1])][: len(text)])
-        return text[new], pair[new], np.add.reduceat(many, new) if len(new) else many
+        # Pairs of single tokens are counted first, so that the rest has a row for each distinct one.
+        width = len(self.a.bytes) * self.n_b
+        keys, counts = np.unique(texts[0] * width + pairs[0], return_counts=True)
+        if len(texts) > 1:
+            keys, counts = np.r_[keys, texts[1] * width + pairs[1]], np.r_[counts, times[1]]
+            order = np.argsort(keys, kind="stable")
+            keys, counts = keys[order], counts[order]
+            new = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]][: len(keys)])
+            keys, counts = keys[new], np.add.reduceat(counts, new) if len(new) else counts
+        return keys // width, keys % width, counts
 
     def _digests(self, a, b, group_a, group_b, size_a, size_b, n_a, n_b) -> list[str]:
         """The digest of the groups of each text, written as one row of ids for all texts."""
@@ -249,7 +273,11 @@ def _lists(values: np.ndarray, ends: np.ndarray, kind: pa.DataType) -> pa.ListAr
 
 def _stretch(batch: pa.RecordBatch, aligner: Aligner) -> pa.RecordBatch:
     """One row of ``_STRETCH`` for the texts of ``batch`` (text, m1, m2, copies)."""
-    done = aligner.align(batch.column("text").to_pylist())
+    parts = []
+    for start, part in _runs(batch.select(["text"]), PART):
+        parts.append(aligner.align(part.column("text").to_pylist()))
+        parts[-1]["text"] += start
+    done = {k: list(chain.from_iterable(p[k] for p in parts)) if k == "groups_sha256" else np.concatenate([p[k] for p in parts]) for k in parts[0]}
     n = len(batch)
     pairs, at = np.unique(done["pair"], return_inverse=True)
     documents = np.zeros(len(pairs), np.int64)
@@ -262,16 +290,16 @@ def _stretch(batch: pa.RecordBatch, aligner: Aligner) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(row, schema=_STRETCH)
 
 
-def _stretches(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
-    """Neighbouring rows with ``STRETCH`` bytes of text in all, or a single row."""
+def _runs(batch: pa.RecordBatch, most: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Neighbouring rows with ``most`` bytes of text in all, or a single row, and the place of the first."""
     start, total = 0, 0
     for i, size in enumerate(pc.binary_length(batch.column("text")).to_pylist()):
-        if i > start and total + size > STRETCH:
-            yield batch.slice(start, i - start)
+        if i > start and total + size > most:
+            yield start, batch.slice(start, i - start)
             start, total = i, 0
         total += size
     if start < len(batch):
-        yield batch.slice(start)
+        yield start, batch.slice(start)
 
 
 def _weighed(texts: pa.Array, facts: pa.Array) -> pa.Array:
@@ -315,7 +343,7 @@ def measures(texts: DataFrame, vocabulary_a: str, vocabulary_b: str) -> DataFram
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = _aligner(*shared.value)
         for batch in batches:
-            for part in _stretches(batch):
+            for _, part in _runs(batch, STRETCH):
                 yield _stretch(part, aligner)
 
     marked = texts.withColumns(_marks()).select("text", "m1", "m2", "copies")

@@ -3,6 +3,7 @@ import json
 import random
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 import sentencepiece
 from pyspark.sql import functions as F
@@ -120,3 +121,19 @@ def test_awkward_rows(spark, plain):
     assert tokenalign.aligned(df.limit(0), A, B).count() == 0
     blank = tokenalign.aligned(df.where("doc_id < 3"), A, B).select(*COLUMNS).distinct().collect()
     assert [tuple(r) for r in blank] == [(0, 0, 0, 0, 0, 0, "")]
+
+
+def test_a_stretch_is_aligned_in_parts(monkeypatch):
+    aligner = tokenalign.Aligner(tokenalign.ByteVocabulary(open(A, encoding="utf-8").read()), tokenalign.PieceVocabulary(open(B, "rb").read()))
+    texts = [*ODD, "the naïve end. " * 200, *ODD[::-1]]
+    n = len(texts)
+    columns = [pa.array(texts), *[pa.array(range(n), pa.int64()) for _ in range(2)], pa.array([1 + i % 3 for i in range(n)], pa.int64())]
+    batch = pa.RecordBatch.from_arrays(columns, ["text", "m1", "m2", "copies"])
+    monkeypatch.setattr(tokenalign, "PART", 1 << 30)
+    whole = tokenalign._stretch(batch, aligner).to_pylist()
+    held, align = [], aligner.align
+    monkeypatch.setattr(aligner, "align", lambda part: held.append([len(t.encode()) for t in part]) or align(part))
+    monkeypatch.setattr(tokenalign, "PART", 1_000)
+    assert tokenalign._stretch(batch, aligner).to_pylist() == whole
+    assert len(held) > 3 and sum(map(len, held)) == n
+    assert all(len(part) == 1 or sum(part) <= 1_000 for part in held)
