@@ -74,33 +74,25 @@ def _tries(edits: int) -> list[tuple[bool, int, int, int]]:
     return out
 
 
-def keys(line: Column, n: Column, edits: int = EDITS) -> Column:
-    """``array<long>``: the segments of a line and the substrings it probes with, hashed. The lowest bit of
-    a key tells whether it probes; the others are the same for a segment and a probe that meet.
+def keyed(lines: DataFrame, edits: int = EDITS) -> DataFrame:
+    """``h1, key, probe`` for the segments of every line (``h1, line, n``) and the substrings it probes with: a row for each.
+    Keys are hashes, of which a segment and a probe that meet have the same 63 bits.
 
-    One short function over a constant list: written out, it would be too long to be compiled.
+    The tries are rows and not a function of the line, so that what makes a key is short and is compiled.
     """
-    names = ("probe", "i", "shift")
-    shorter = sorted({t[2] for t in _tries(edits)})
-    tries = {d: F.array(*[F.struct(*[F.lit(int(v)).alias(k) for k, v in zip(names, (p, i, s))]) for p, i, e, s in _tries(edits) if e == d]) for d in shorter}
-    parts, least = F.lit(edits + 1), lambda a, b: F.when(a < b, a).otherwise(b)
-
-    def of_length(d: int) -> Column:
-        length = n - d
-        return once(F.struct(length.alias("length"), F.call_function("div", length, parts).cast("int").alias("base")), lambda at: F.filter(F.transform(tries[d], lambda t: key(at, t)), F.isnotnull))
-
-    def key(at: Column, t: Column) -> Column:
-        base = at["base"]
-        # The last segments are one longer, as many as the length needs.
-        spare = t["i"] + at["length"] - base * parts - parts
-        start = base * t["i"] + t["shift"] - least(F.lit(0), -spare)
-        size = base + F.when(spare >= 0, 1).otherwise(0)
-        place = F.struct(start.alias("start"), size.alias("size"))
-        hashed = lambda p: F.xxhash64(at["length"], t["i"], F.substring(line, p["start"] + 1, p["size"]))
-        named = lambda p: hashed(p).bitwiseAND(F.lit(-2).cast("long")) + t["probe"]
-        return once(place, lambda p: F.when((p["start"] >= 0) & (p["start"] + p["size"] <= n), named(p)))
-
-    return F.flatten(F.array(*[of_length(d) for d in shorter]))
+    names = ("probe", "i", "shorter", "shift")
+    tries = F.array(*[F.struct(*[F.lit(int(v)).alias(k) for k, v in zip(names, t)]) for t in _tries(edits)])
+    rows = lines.select("h1", "line", "n", F.explode(tries).alias("t")).select("h1", "line", "n", "t.*")
+    length, parts, least = F.col("n") - F.col("shorter"), edits + 1, lambda a, b: F.when(a < b, a).otherwise(b)
+    rows = rows.select("h1", "line", "n", "probe", "i", "shift", length.alias("length"), F.call_function("div", length, F.lit(parts)).cast("int").alias("base"))
+    # The last segments are one longer, as many as the length needs.
+    spare = F.col("i") + F.col("length") - F.col("base") * parts - parts
+    start = F.col("base") * F.col("i") + F.col("shift") - least(F.lit(0), -spare)
+    size = F.col("base") + F.when(spare >= 0, 1).otherwise(0)
+    rows = rows.select("h1", "line", "n", "probe", "i", "length", start.alias("start"), size.alias("size"))
+    rows = rows.where((F.col("start") >= 0) & (F.col("start") + F.col("size") <= F.col("n")))
+    hashed = F.xxhash64("length", "i", F.substring("line", F.col("start") + 1, F.col("size")))
+    return rows.select("h1", F.call_function("shiftright", hashed, F.lit(1)).alias("key"), (F.col("probe") == 1).alias("probe"))
 
 
 def once(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -172,17 +164,15 @@ def links(found: DataFrame, kinds: DataFrame, edits: int = EDITS) -> DataFrame:
     total = kinds.agg(F.sum("copies")).first()[0] or 0
     hot = kinds.where(F.col("copies") > max(HOT, total // HOT)).select("h1", "h2", F.col("first").alias("_first"))
     # At most HOT lines can have so large a part.
-    keyed = found.join(F.broadcast(hot), ["h1", "h2"], "left")
+    placed = found.join(F.broadcast(hot), ["h1", "h2"], "left")
     at_first = reduce(Column.__and__, [F.col(c) == F.col(f"_first.{c}") for c in (*MARKS, "pos")])
-    keyed = keyed.where(F.col("_first").isNull() | at_first)
-    keyed = keyed.select("h1", F.explode(keys(F.col("line"), F.col("n"), edits)).alias("key"))
+    tried = keyed(placed.where(F.col("_first").isNull() | at_first), edits)
     # Two numbers a row: what a segment and its probes have in common, and the line's hash, whose sign says which it is.
-    probes = F.col("key").bitwiseAND(F.lit(1).cast("long")) == 1
     sign, rest = F.lit(-(1 << 63)).cast("long"), F.lit((1 << 63) - 1).cast("long")
     hash63 = F.col("h1").bitwiseAND(rest)
-    keyed = keyed.select(F.call_function("shiftright", "key", F.lit(1)).alias("key"), F.when(probes, hash63).otherwise(hash63.bitwiseOR(sign)).alias("h"))
+    tried = tried.select("key", F.when(F.col("probe"), hash63).otherwise(hash63.bitwiseOR(sign)).alias("h"))
     group = Window.partitionBy("key")
-    met = keyed.withColumns({"low": F.min("h").over(group), "high": F.max("h").over(group)})
+    met = tried.withColumns({"low": F.min("h").over(group), "high": F.max("h").over(group)})
     # Some segment is there, and something else.
     shared = met.where((F.col("low") < 0) & (F.col("low") < F.col("high"))).select("key", "h").distinct()
     shared = cut_lineage(shared.select("key", (F.col("h") >= 0).alias("probe"), F.col("h").bitwiseAND(rest).alias("h")))

@@ -120,3 +120,26 @@ def test_clashing_results_are_replaced(spark):
     out = linededup.dedup_lines(df, shortest=1)
     assert len(set(out.columns)) == len(out.columns) and out.columns[-4:] == ["n_lines", "n_removed", "n_near", "n_links"]
     assert [(r.text, r.n_lines, r.gone, r["a b"]) for r in out.collect()] == [("one line", 2, "mine", 1)]
+
+
+def test_keys_are_compiled_and_near_lines_meet(spark):
+    random.seed(8)
+    pairs = []
+    for i in range(300):
+        line = "".join(random.choices("abcdé ", k=random.randrange(20, 60)))
+        near = list(line)
+        for _ in range(linededup.EDITS):
+            at, kind = random.randrange(len(near)), random.randrange(3)
+            near[at : at + (kind > 0)] = [] if kind == 1 else ["x"]
+        pairs.append((2 * i, line))
+        pairs.append((2 * i + 1, "".join(near).ljust(18, "z")))
+    lines = spark.createDataFrame(pairs, "h1 long, line string").withColumn("n", F.length("line"))
+    tried = linededup.keyed(lines)
+    assert "lambda" not in tried._jdf.queryExecution().toString()
+    found = {}
+    for r in tried.collect():
+        found.setdefault((r.h1, r.probe), set()).add(r.key)
+    for (a, short), (b, long) in zip(pairs[::2], pairs[1::2]):
+        # A line of the same length may be the one that probes, too.
+        sides = [(x, y) for x, y, shorter in ((a, b, len(long) - len(short)), (b, a, len(short) - len(long))) if shorter >= 0]
+        assert any(found[x, False] & (found[y, True] | found[y, False]) for x, y in sides), (short, long)
