@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import DateType, StructField, StructType
+from pyspark.sql.types import DateType, StringType, StructField, StructType
 
 from pressloom.functions.dates import as_of_literal
 from pressloom.operators import dedup, filters
@@ -15,6 +15,12 @@ from pressloom.sources import files
 from pressloom.sources.scratch import cut_lineage
 
 
+#: Text of a day that stays in one task, about, and what a row has besides its texts. Neighbouring parts share a task, so that
+#: small ones make no more files.
+DAY_BYTES = 8 << 20
+_ROW_BYTES = 100
+
+
 def _first_of_id():
     return [F.asc("published_at"), F.asc("url")]
 
@@ -26,13 +32,18 @@ def new_keys(batch: DataFrame, stored: DataFrame, stored_urls: DataFrame | None
     Ids and urls are unique, also within the batch. The batch is reduced to one row per id and
     per url first, so the anti-joins against the stored keys meet no hot key.
     """
+    return _new_rows(batch, stored, stored_urls).select("id", "url")
+
+
+def _new_rows(batch: DataFrame, stored: DataFrame, stored_urls: DataFrame | None) -> DataFrame:
+    """``new_keys`` with ``published_at``."""
     narrow = batch.select("id", "url", "published_at")
     by_id = first_per(narrow, ["id"], _first_of_id())
     one = first_per(by_id, ["url"], [F.asc("published_at"), F.asc("id")])
     small = fits(narrow)
     known = lambda table, key: only_keys_of(table.select(key), narrow, [key], small)
     fresh = one.join(known(stored, "id"), "id", "left_anti")
-    return fresh.join(known(stored if stored_urls is None else stored_urls, "url"), "url", "left_anti").select("id", "url")
+    return fresh.join(known(stored if stored_urls is None else stored_urls, "url"), "url", "left_anti").select("id", "url", "published_at")
 
 
 def new_items(batch: DataFrame, stored: DataFrame, stored_urls: DataFrame | None = None) -> DataFrame:
@@ -51,7 +62,33 @@ def write_items(items: DataFrame, path: str, mode: str = "append") -> None:
     split a day that is too large for one task and join days that are small.
     """
     dated = items.withColumn("published_date", F.to_date("published_at"))
-    dated.hint("rebalance", "published_date").write.mode(mode).partitionBy("published_date").parquet(path)
+    write_dated(dated.hint("rebalance", "published_date"), path, mode)
+
+
+def new_items_by_day(batch: DataFrame, kept: DataFrame, stored: DataFrame, stored_urls: DataFrame | None = None) -> DataFrame:
+    """The ``new_items`` of ``kept``, the rows of a day together; wide rows are shuffled once, by day.
+
+    ``kept`` holds, of each id in ``batch``, all rows or none, and only its narrow columns are read. The keys that may be added
+    are dealt out with the rows of ``batch`` as marks, one before the rows of its id; the row that follows a mark stays.
+    Days, and those with much text in parts by id, are dealt out in order and in like numbers of rows.
+    """
+    day = F.to_date("published_at")
+    marks = _new_rows(kept, stored, stored_urls).where("id IS NOT NULL").select("id", "published_at", F.lit(True).alias("_mark"))
+    texts = [F.coalesce(F.octet_length(f.name), F.lit(0)) for f in batch.schema if isinstance(f.dataType, StringType)]
+    amount = F.sum(sum(texts, F.lit(_ROW_BYTES)).cast("long"))
+    days = batch.groupBy(day.alias("_day")).agg(F.ceil(amount / DAY_BYTES).cast("int").alias("_fan"))
+    rows = batch.unionByName(marks, allowMissingColumns=True).withColumn("published_date", day)
+    sized = rows.join(F.broadcast(days), F.col("published_date").eqNullSafe(F.col("_day")), "left")
+    salt = F.pmod(F.xxhash64("id"), F.coalesce("_fan", F.lit(1))).cast("int")
+    dealt = sized.withColumn("_salt", salt).repartitionByRange("published_date", "_salt")
+    w = Window.partitionBy("published_date", "_salt", "id").orderBy(F.desc_nulls_last("_mark"), *_first_of_id())
+    first = dealt.withColumn("_marked", F.lag("_mark").over(w)).where("_marked AND _mark IS NULL")
+    return first.drop("_day", "_fan", "_salt", "_mark", "_marked")
+
+
+def write_dated(dated: DataFrame, path: str, mode: str = "append") -> None:
+    """Write items that have a ``published_date`` and lie together by it."""
+    dated.write.mode(mode).partitionBy("published_date").parquet(path)
 
 
 def append_items(batch: DataFrame, stored: DataFrame, path: str) -> DataFrame:
